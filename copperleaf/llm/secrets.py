@@ -32,6 +32,7 @@ WORD = "[A-Za-z0-9+/_=-]{3,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 K = len(ALPHABET)
 SAMPLE_ROWS = 2048
+BACKOFF = 20
 #: Natural logarithm of the odds that must be overcome: one random token in a million.
 PRIOR = math.log(1e6)
 UNIT = 1000  # log ratios are whole thousandths, so that sums don't depend on their order
@@ -85,17 +86,22 @@ def samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def train(tokens: DataFrame) -> list[int]:
-    """(K+1)^2 log-likelihood ratios of character pairs, in thousandths; add-one smoothing within each first character."""
+    """(K+1)^2 log-likelihood ratios of character pairs, in thousandths.
+
+    A pair's probability is its share after its first character, smoothed by BACKOFF times the share of the second
+    character alone (add-one), so that characters rare among identifiers count even after a first character not seen.
+    """
     counts = tokens.select("random", F.explode(steps(F.col("token"))).alias("pair")).groupBy("random", "pair").count().collect()
     size = K + 1
     n = {True: [0] * size * size, False: [0] * size * size}
     for random, pair, c in counts:
         n[random][pair] = c
-    out = []
-    for a in range(size):
-        all_r, all_o = (sum(n[x][a * size : (a + 1) * size]) + size for x in (True, False))
-        out += [round(UNIT * (math.log((n[True][a * size + b] + 1) / all_r) - math.log((n[False][a * size + b] + 1) / all_o))) for b in range(size)]
-    return out
+    logs = {}
+    for x, own in n.items():
+        alone = [sum(own[b::size]) + 1 for b in range(size)]
+        share = [c / sum(alone) for c in alone]
+        logs[x] = [math.log((own[a * size + b] + BACKOFF * share[b]) / (sum(own[a * size : (a + 1) * size]) + BACKOFF)) for a in range(size) for b in range(size)]
+    return [round(UNIT * (r - o)) for r, o in zip(logs[True], logs[False], strict=True)]
 
 
 def llr(token: Column, model: list[int]) -> Column:
