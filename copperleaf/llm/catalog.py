@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import packing, quality, secrets
 
-MODULES = (secrets, quality)
+MODULES = (secrets, quality, packing)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
