@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets
+from . import bpe, chat, packing, quality, secrets
 
-MODULES = (secrets, quality, packing)
+MODULES = (secrets, quality, bpe, chat, packing)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
