@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, packing, quality, secrets
+from . import bpe, chat, html, packing, quality, secrets, topk
 
-MODULES = (secrets, quality, bpe, chat, packing, html)
+MODULES = (secrets, quality, bpe, chat, packing, topk, html)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a block of rows holds at most, one longer row excepted.
 BLOCK_BYTES = 8 << 20
@@ -34,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """`rows` rows of df at most: those of the smallest hash of `by`. Only hashes are sorted; the rows stay where they are."""
+    h = F.xxhash64(*by)
+    last = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(last)).limit(rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

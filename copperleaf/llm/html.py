@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, smallest, table
 
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|head|iframe|object|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -121,7 +121,7 @@ def fit(pages: DataFrame, rows: int = TRAIN_PAGES) -> list[float]:
                         sums[FEATURES + 1, int(x[3] > 0)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(sums.size)), pa.array(sums.ravel())], ["i", "v"])
 
-    own = pages.select("html", F.xxhash64("page_id").alias("h")).orderBy("h", "html").limit(rows).select("html")
+    own = smallest(pages.select("page_id", "html"), rows, "page_id").select("html")
     total = own.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     sums = np.zeros((FEATURES + 2) * FEATURES)
     for i, v in total:
