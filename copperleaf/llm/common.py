@@ -6,11 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of a bitmap that says which keys may be wanted: fixed, so 8 MB whatever the input.
+BITS = 1 << 26
 #: Bytes of text that a block of rows holds at most, one longer row excepted.
 BLOCK_BYTES = 8 << 20
 
@@ -62,3 +65,18 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
                 begin, size = i, 0
             size += n or 0
         yield batch.slice(begin)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """BITS bits, those set of which a value of the only column of keys has the number; of fixed size."""
+    bit = F.pmod(F.col(keys.columns[0]), F.lit(BITS))
+    words = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("x"))
+    out = np.zeros(BITS // 32, np.uint32)
+    rows = words.toArrow()
+    out[rows["w"].to_numpy()] = rows["x"].to_numpy().astype(np.uint32)
+    return out
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys % BITS
+    return (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) == 1
