@@ -9,8 +9,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Of a bitmap that says which keys may be wanted: fixed, so 8 MB whatever the input.
 BITS = 1 << 26
@@ -80,3 +82,30 @@ def bitmap(keys: DataFrame) -> np.ndarray:
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     bit = keys % BITS
     return (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def text_hash(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def parted(docs: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs whose text's hash is in no row of hashes (one column) for certain, and the others with their hash as __h.
+
+    So only rows that may be concerned go on to a join. The bitmap is of fixed size."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(hashes))
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def split(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        h = np.fromiter(map(text_hash, b.column(at).to_pylist()), np.int64, b.num_rows)
+        return h, marked(shared.value, h)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text"):
+            yield b.filter(pa.array(~split(b)[1]))
+
+    def concerned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text"):
+            h, m = split(b)
+            yield pa.RecordBatch.from_arrays([*b.filter(pa.array(m)).columns, pa.array(h[m])], [*b.schema.names, "__h"])
+
+    return docs.mapInArrow(others, schema), docs.mapInArrow(concerned, StructType([*schema, StructField("__h", LongType())]))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITS, bitmap, blocks, cut, marked, partitions, table
+from .common import BITS, bitmap, blocks, cut, marked, parted, partitions, table, text_hash
 from .components import components
 
 WORDS = 5
@@ -281,33 +281,36 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def membership(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles of every row."""
+    """doc_id, h (hash of the text), node, n_shingles of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, found in sets(batches, 1, once=False):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in found], pa.int64()), pa.array([len(t) for _, t in found], pa.int64())], ["doc_id", "node", "n_shingles"])
+            h = [text_hash(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (h, [k for k, _ in found], [len(t) for _, t in found]))], ["doc_id", "h", "node", "n_shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h long, node long, n_shingles long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, h, n_shingles, component_id of every row."""
     rows = cut(membership(docs))
     roots = linked(docs)
     classed = rows.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     least = classed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     out = classed.join(least, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is their component's smallest one; all columns are kept."""
-    gone = classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = cut(classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__gone_h")).distinct())
+    others, concerned = parted(docs, gone.select("__gone_h"))
+    left = concerned.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__h") == F.col("__gone_h")), "left_anti")
+    return others.unionAll(left.drop("__h"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h")
 
 
 QUERIES = {"op9_ngram_jaccard": op9_ngram_jaccard}
