@@ -6,7 +6,8 @@ distinct pre-tokens are dealt by hash into buckets, once from each block, and ev
 pre-tokens once, whatever number of blocks has it. Their ids go back to the blocks, where each text is put together by
 position. Decoding joins the token-byte table (one row for each id of the vocabulary, a proven bound).
 
-Rows of pre-tokens travel packed: one row for each block and bucket, its pre-tokens sorted and compressed. A third of
+Rows travel packed: one for each block and bucket with its pre-tokens sorted, and one for some thousand numbers of
+texts, numbers dealt by falling frequency, both compressed. A third of
 all texts may share a word: it then is one entry for each block, not one row for each occurrence.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded row by row, equal doc_ids included; an
@@ -23,7 +24,6 @@ from functools import lru_cache
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -37,8 +37,11 @@ from .common import blocks, partitions, table
 
 #: Bytes of text in a block: the larger, the fewer times a pre-token is sent.
 BLOCK = 24 << 20
-#: Length-prefixed pre-tokens, or what answers them; see split() and answered().
-PART = "block string, bucket int, doc_id long, payload binary"
+#: Bucket rows: the pre-tokens of a block and bucket, later their ids. Text rows (bucket null): doc_ids, how many
+#: pre-tokens each text has, and all their numbers.
+PART = "block string, bucket int, keys array<long>, sizes array<int>, payload binary"
+#: Numbers in a text row, about.
+ROW = 1 << 16
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
@@ -58,15 +61,26 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(n) - n, n
 
 
-def packed(words: list[bytes]) -> bytes:
-    return zstandard.compress(np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words), 1)
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by byte planes: those of small numbers are mostly zeros and compress well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def unpacked(payload: bytes, n: int) -> list[bytes]:
-    raw = zstandard.decompress(payload)
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n)).tolist()
-    body = raw[4 * n :]
-    return [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+def numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+
+
+def packed(ranks: np.ndarray, words: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    return len(words).to_bytes(4, "little") + zstandard.compress(planes(ranks) + planes(sizes) + b"".join(words), 3)
+
+
+def unpacked(payload: bytes) -> tuple[bytes, list[bytes]]:
+    """The planes of the numbers, and the pre-tokens."""
+    n, raw = int.from_bytes(payload[:4], "little"), zstandard.decompress(payload[4:])
+    ends = np.cumsum(numbers(raw[4 * n :], n), dtype=np.int64).tolist()
+    body = raw[8 * n :]
+    return raw[: 4 * n], [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def gathered(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -77,33 +91,38 @@ def gathered(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray
 
 
 def split(docs: DataFrame, buckets: int, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """PART rows. Bucket rows: a block's distinct pre-tokens of that bucket in the order of their numbers (payload: their
-    count, then packed). Text rows (bucket null): the numbers of a text's pre-tokens by position."""
+    """PART rows. A block numbers its distinct pre-tokens by falling frequency; its text rows hold the numbers by position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, task, serial = splitter(pattern).findall, TaskContext.get().partitionId(), count()
         for b in blocks(batches, "text", BLOCK):
             name = f"{task}-{next(serial)}"
             number: defaultdict[str, int] = defaultdict(count().__next__)
-            keys = b.column(0).to_pylist()
-            order = []
+            keys, order = b.column(0).to_pylist(), []
             for text in b.column(1).to_pylist():
                 words = find(text or "")
-                order.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                order.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+            times = np.bincount(np.concatenate(order), minlength=len(number))
+            rank = np.empty(len(number), np.uint32)
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(number))
+            out, begin, size = [], 0, 0
+            for i in range(len(order) + 1):
+                if i == len(order) or size > ROW:
+                    own = order[begin:i]
+                    out.append((name, None, keys[begin:i], [len(x) for x in own], zstandard.compress(planes(rank[np.concatenate(own)]), 3)))
+                    begin, size = i, 0
+                if i < len(order):
+                    size += len(order[i])
             words = [w.encode("utf-8", "surrogatepass") for w in number]
-            # numbers are dealt anew so that a bucket's words, sorted, follow one another
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            by = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
-            renumbered = np.empty(len(words), np.int64)
-            renumbered[by] = np.arange(len(words))
-            out = [(name, None, k, zstandard.compress(renumbered[o].astype("<u4").tobytes(), 1)) for k, o in zip(keys, order, strict=True)]
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1)) if words else np.zeros(buckets + 1, np.int64)
-            for k in range(buckets):
-                if edges[k] < edges[k + 1]:
-                    own = [words[i] for i in by[edges[k] : edges[k + 1]]]
-                    out.append((name, k, None, len(own).to_bytes(4, "little") + packed(own)))
-            for i in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 2000], strict=True), (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["block", "bucket", "doc_id", "payload"])
+            held: list[list[int]] = [[] for _ in range(buckets)]
+            for i, w in enumerate(words):
+                held[zlib.crc32(w) % buckets].append(i)
+            for k, own in enumerate(held):
+                if own:
+                    own.sort(key=words.__getitem__)
+                    out.append((name, k, None, None, packed(rank[own], [words[i] for i in own])))
+            types = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "bucket", "keys", "sizes", "payload"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PART)
 
@@ -111,26 +130,24 @@ def split(docs: DataFrame, buckets: int, pattern: str = public_tokenizers.PATTER
 def answered(parts: DataFrame, buckets: int, rank_file: str = tokens.RANKS) -> DataFrame:
     """parts, with the ids of each pre-token instead of its bytes; text rows pass unchanged, spread over all buckets."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(t: pa.Table) -> pa.Table:
         encode, known, out = tokens.rank_encoding(rank_file).encode_ordinary, {}, []
-        for payload in pdf["payload"]:
-            n = int.from_bytes(payload[:4], "little")
-            ids = []
-            for w in unpacked(payload[4:], n):
-                if (x := known.get(w)) is None:
-                    x = known[w] = encode(w.decode("utf-8", "surrogatepass"))
-                ids.append(x)
-            sizes = np.fromiter(map(len, ids), "<u2" if all(len(x) < 65536 for x in ids) else "<u4", n)
-            flat = np.array([i for x in ids for i in x], "<u4")
-            out.append(payload[:4] + bytes([sizes.itemsize]) + zstandard.compress(sizes.tobytes() + flat.tobytes(), 1))
-        return pdf.assign(payload=out)
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = pdf["bucket"].notna()
-        return pd.concat([run(pdf[words]), pdf[~words]]) if words.any() else pdf
-
-    dealt = F.coalesce("bucket", F.pmod(F.xxhash64("block", "doc_id"), F.lit(buckets)).cast("int"))
-    return parts.withColumn("dealt", dealt).groupBy("dealt").applyInPandas(lambda pdf: each(pdf.drop(columns="dealt")).astype({"bucket": "Int32", "doc_id": "Int64"}), PART)
+        for bucket, payload in zip(t["bucket"].to_pylist(), t["payload"].to_pylist(), strict=True):
+            if bucket is not None:
+                ranks, words = unpacked(payload)
+                ids = []
+                for w in words:
+                    if (x := known.get(w)) is None:
+                        x = known[w] = encode(w.decode("utf-8", "surrogatepass"))
+                    ids.append(x)
+                sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
+                flat = np.array([i for x in ids for i in x], np.uint32)
+                payload = payload[:4] + zstandard.compress(ranks + planes(sizes) + planes(flat), 3)
+            out.append(payload)
+        return pa.Table.from_arrays([*(t[c] for c in ("block", "bucket", "keys", "sizes")), pa.array(out, pa.binary())], ["block", "bucket", "keys", "sizes", "payload"])
+
+    dealt = F.coalesce("bucket", F.pmod(F.xxhash64("block", "keys"), F.lit(buckets)).cast("int"))
+    return parts.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(run, PART)
 
 
 def encode(docs: DataFrame, buckets: int | None = None, rank_file: str = tokens.RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -143,23 +160,32 @@ def assembled(docs: DataFrame, made, schema: str, buckets: int | None = None, ra
     buckets = buckets or 2 * partitions(docs.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = pdf[pdf["bucket"].notna()].sort_values("bucket")
-        sizes, flat = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
-        for payload in words["payload"]:
-            n, width = int.from_bytes(payload[:4], "little"), payload[4]
-            raw = zstandard.decompress(payload[5:])
-            sizes.append(np.frombuffer(raw, f"<u{width}", n).astype(np.int64))
-            flat.append(np.frombuffer(raw, "<u4", offset=n * width))
-        n, ids = np.concatenate(sizes), np.concatenate(flat)
-        first = np.cumsum(n) - n
+    def run(t: pa.Table) -> pa.Table:
+        rows = list(zip(*(t[c].to_pylist() for c in ("bucket", "keys", "sizes", "payload")), strict=True))
+        ranks, sizes, flat = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], [np.empty(0, "<u4")]
+        for bucket, _, _, payload in rows:
+            if bucket is not None:
+                n, raw = int.from_bytes(payload[:4], "little"), zstandard.decompress(payload[4:])
+                ranks.append(numbers(raw, n))
+                sizes.append(numbers(raw[4 * n :], n))
+                flat.append(numbers(raw[8 * n :], len(raw) // 4 - 2 * n))
+        n, ids, rank = np.concatenate(sizes).astype(np.int64), np.concatenate(flat), np.concatenate(ranks)
+        first = np.empty(len(n), np.int64)
+        first[rank] = np.cumsum(n) - n
+        n[rank] = n.copy()
         out = []
-        for key, payload in pdf.loc[pdf["bucket"].isna(), ["doc_id", "payload"]].itertuples(index=False):
-            at = np.frombuffer(zstandard.decompress(payload), "<u4")
-            out.append(made(None if pd.isna(key) else int(key), gathered(ids, first[at], n[at])))
-        return pd.DataFrame(out, columns=names)
-
-    return answered(split(docs, buckets, pattern), buckets, rank_file).groupBy("block").applyInPandas(run, schema)
+        for bucket, keys, own, payload in rows:
+            if bucket is None:
+                at = numbers(zstandard.decompress(payload), sum(own))
+                begin = 0
+                for key, size in zip(keys, own, strict=True):
+                    x = at[begin : begin + size]
+                    begin += size
+                    out.append(made(key, gathered(ids, first[x], n[x])))
+        return pa.Table.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
+    return answered(split(docs, buckets, pattern), buckets, rank_file).groupBy("block").applyInArrow(run, schema)
 
 
 def decoded(ids: np.ndarray, rank_file: str = tokens.RANKS) -> bytes:
