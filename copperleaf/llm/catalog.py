@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, jaccard, lines, packing, quality, secrets, topk
+from . import bpe, chat, html, jaccard, lines, packing, quality, repeats, secrets, topk
 
-MODULES = (secrets, quality, bpe, chat, packing, topk, html, jaccard, lines)
+MODULES = (secrets, quality, bpe, chat, packing, topk, html, repeats, jaccard, lines)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

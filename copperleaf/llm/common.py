@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
@@ -109,3 +110,48 @@ def parted(docs: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*b.filter(pa.array(m)).columns, pa.array(h[m])], [*b.schema.names, "__h"])
 
     return docs.mapInArrow(others, schema), docs.mapInArrow(concerned, StructType([*schema, StructField("__h", LongType())]))
+
+
+def bit_of(tokens: np.ndarray) -> np.ndarray:
+    """The bit of 64-bit hashes in a bitmap: their first ones."""
+    return (tokens >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+
+
+def range_bits(spark: SparkSession) -> int:
+    """As a power of two, the ranges that hashes are counted in; they grow with the shuffle partitions."""
+    return min(16, max(6, (4 * partitions(spark) - 1).bit_length()))
+
+
+def in_ranges(tokens: np.ndarray, bits: int) -> pa.RecordBatch:
+    """range, tokens: the first 40 bits of 64-bit hashes, five bytes each, by ranges of their values."""
+    every = np.sort(tokens) >> np.uint64(24)
+    edges = np.searchsorted(every, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(40 - bits)).tolist()
+    raw = every.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    rows = [(r, raw[5 * a : 5 * z]) for r, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if a < z]
+    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["range", "tokens"])
+
+
+def count_bits(ranged: DataFrame, *least: int) -> list[np.ndarray]:
+    """For each bound, the bitmap of hashes that occur so often or more in the rows of in_ranges(). Only bits, a fixed
+    number, reach the driver."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = np.frombuffer(b"".join(pdf["tokens"]), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        t, n = np.unique(wide.view(np.uint64).ravel(), return_counts=True)
+        out = []
+        for kind, bound in enumerate(least):
+            bit = (t[n >= bound] >> np.uint64(40 - BITS.bit_length() + 1)).astype(np.int64)
+            word, first = np.unique(bit >> 5, return_index=True)
+            value = np.bitwise_or.reduceat(np.int64(1) << (bit & 31), first) if len(first) else np.empty(0, np.int64)
+            out.append(pd.DataFrame({"kind": kind, "w": word, "x": value}))
+        return pd.concat(out)
+
+    rows = ranged.groupBy("range").applyInPandas(run, "kind int, w long, x long").toArrow()
+    kind, w, x = (rows[c].to_numpy() for c in ("kind", "w", "x"))
+    out = []
+    for k in range(len(least)):
+        out.append(np.zeros(BITS // 32, np.uint32))
+        out[k][w[kind == k]] = x[kind == k].astype(np.uint32)
+    return out
