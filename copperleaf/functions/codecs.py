@@ -54,16 +54,23 @@ def backwards(f: Column, length: int) -> Column:
 
 
 def packed(f: Column, length: int, scale: int = 0, precision: int | None = None) -> Decoded:
+    return packed_hex(F.hex(f), length, scale, precision)
+
+
+def packed_hex(h: Column, length: int, scale: int = 0, precision: int | None = None) -> Decoded:
     """Two digits a byte, the last half byte the sign: C F A E plus, D B minus. No bytes are zero."""
     if length == 0:
         return Decoded(F.lit(0).cast(f"decimal({precision or 1},{scale})"), NO_ERROR)
-    h, n = F.hex(f), 2 * length - 1
+    n = 2 * length - 1
     v = pointed(F.substring(h, 1, n), n, scale, precision)
     return checked(F.when(F.substring(h, n + 1, 1).isin("D", "B"), -v).otherwise(v), h.rlike("^[0-9]+[A-F]$"), "invalid packed decimal")
 
 
 def packed_unsigned(f: Column, length: int, scale: int = 0, precision: int | None = None) -> Decoded:
-    h = F.hex(f)
+    return packed_unsigned_hex(F.hex(f), length, scale, precision)
+
+
+def packed_unsigned_hex(h: Column, length: int, scale: int = 0, precision: int | None = None) -> Decoded:
     return checked(pointed(h, 2 * length, scale, precision), h.rlike("^[0-9]+$"), "invalid unsigned packed decimal")
 
 
@@ -157,27 +164,32 @@ def stripped(text: Column) -> Column:
 PLUS, MINUS = "{ABCDEFGHI", "}JKLMNOPQR"
 
 
-def zoned(text: Column, length: int, scale: int = 0, signed: bool = False, overpunch: bool = True, separate: str | None = None) -> Decoded:
-    """A number in characters, the sign punched over the last digit or, separate ("leading", "trailing"), beside it.
-
-    Blank or all zero is 0; blanks before digits are dropped, those inside count as 0; anything else is an error."""
-    t = F.rtrim(text)
-    minus = F.lit(False)
-    n = max(length, 1)
+def zoned_parts(text: Column, length: int, signed: bool = False, overpunch: bool = True, separate: str | None = None) -> tuple[Column, Column]:
+    """Whether a number in characters is negative, and its digits, blanks before them gone and those inside as 0."""
+    t, minus = F.rtrim(text), F.lit(False)
     if separate:
-        sign = F.substring(text, 1, 1) if separate == "leading" else F.substring(text, length, 1)
-        t = F.substring(text, 2, length - 1) if separate == "leading" else F.substring(text, 1, length - 1)
-        minus, t = sign == "-", F.rtrim(t)
+        minus = (F.substring(text, 1, 1) if separate == "leading" else F.substring(text, length, 1)) == "-"
+        t = F.rtrim(F.substring(text, 2, length - 1) if separate == "leading" else F.substring(text, 1, length - 1))
     elif signed and overpunch:
         last = F.substring(t, -1, 1)
         minus = F.instr(F.lit(MINUS), last) > 0
         t = F.concat(F.left(t, F.greatest(F.length(t) - 1, F.lit(0))), F.translate(last, PLUS + MINUS, "01234567890123456789"))
     elif signed:
-        minus = t.startswith("-")
-        t = F.regexp_replace(t, "^[+-]", "")
-    digits = F.translate(F.ltrim(t), " ", "0")
+        minus, t = t.startswith("-"), F.regexp_replace(t, "^[+-]", "")
+    return F.coalesce(minus, F.lit(False)), F.translate(F.ltrim(t), " ", "0")
+
+
+def zoned_value(minus: Column, digits: Column, length: int, scale: int = 0) -> Decoded:
+    n = max(length, 1)
     v = pointed(F.when(digits == "", "0").otherwise(digits), n, scale, min(38, n + (1 if scale >= n else 0)))
-    return checked(F.when(F.coalesce(minus, F.lit(False)), -v).otherwise(v), (digits == "") | digits.rlike("^[0-9]+$"), "invalid zoned number")
+    return checked(F.when(minus, -v).otherwise(v), (digits == "") | digits.rlike("^[0-9]+$"), "invalid zoned number")
+
+
+def zoned(text: Column, length: int, scale: int = 0, signed: bool = False, overpunch: bool = True, separate: str | None = None) -> Decoded:
+    """A number in characters, the sign punched over the last digit or, separate ("leading", "trailing"), beside it.
+
+    Blank or all zero is 0; anything but digits is an error."""
+    return zoned_value(*zoned_parts(text, length, signed, overpunch, separate), length, scale)
 
 
 # --- dates --------------------------------------------------------------------------------------------------------

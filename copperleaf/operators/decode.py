@@ -27,31 +27,47 @@ def text_of(f: Column, options: DecodeOptions, strip: bool = True) -> Column:
     return (codecs.ascii_text(f, strip) if options.ascii else codecs.ebcdic_text(f, options.page, strip)).value
 
 
-def codec(c: ir.Column, f: Column, options: DecodeOptions) -> Decoded:
-    """By the column's kind; blank text is null in a nullable column."""
+def once(df: DataFrame) -> DataFrame:
+    """df, its columns worked out once: filters above are not rewritten into the expressions below, which would repeat
+    them many times over."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+IN_HEX = ("packed", "packed_unsigned")
+
+
+def base(c: ir.Column, f: Column, options: DecodeOptions) -> Column:
+    """What a column's codec reads: text, hex or the bytes themselves."""
+    if c.kind in ("text", "zoned"):
+        return text_of(f, options, strip=c.kind == "text" or bool(c.date_format))
+    return F.hex(f) if c.kind in IN_HEX else f
+
+
+def separate_sign(c: ir.Column) -> str | None:
+    return None if c.sign == "overpunch" else c.sign
+
+
+def codec(c: ir.Column, b: Column, options: DecodeOptions, parts: tuple[Column, Column] | None = None) -> Decoded:
+    """By the column's kind, from its base; blank text is null in a nullable column."""
     match c.kind:
         case "packed":
-            out = codecs.packed(f, c.length, c.scale, c.precision)
+            out = codecs.packed_hex(b, c.length, c.scale, c.precision)
         case "packed_unsigned":
-            out = codecs.packed_unsigned(f, c.length, c.scale, c.precision)
+            out = codecs.packed_unsigned_hex(b, c.length, c.scale, c.precision)
         case "binary":
-            out = codecs.binary(f, c.length, c.signed, options.big_endian, c.scale)
+            out = codecs.binary(b, c.length, c.signed, options.big_endian, c.scale)
         case "binary_little":
-            out = codecs.binary(f, c.length, c.signed, False, c.scale)
+            out = codecs.binary(b, c.length, c.signed, False, c.scale)
         case "float":
-            out = codecs.ieee(f, c.length, options.big_endian)
+            out = codecs.ieee(b, c.length, options.big_endian)
         case "index":
-            out = codecs.unsigned_index(f, c.length, options.big_endian)
+            out = codecs.unsigned_index(b, c.length, options.big_endian)
         case "zoned" if not c.date_format:
-            raw = text_of(f, options, strip=False)
-            out = codecs.zoned(raw, c.length, c.scale, c.signed, separate=None if c.sign == "overpunch" else c.sign)
-            if c.nullable:
-                out = out.nulled(codecs.stripped(raw) == "")
+            out = codecs.zoned_value(*(parts or codecs.zoned_parts(b, c.length, c.signed, separate=separate_sign(c))), c.length, c.scale)
         case _:
-            t = text_of(f, options)
-            out = Decoded(codecs.date_of(t, c.date_format, options.pivot), codecs.NO_ERROR) if c.date_format else Decoded(t, codecs.NO_ERROR)
-            if c.nullable:
-                out = out.nulled(codecs.stripped(t) == "")
+            out = Decoded(codecs.date_of(b, c.date_format, options.pivot) if c.date_format else b, codecs.NO_ERROR)
+    if c.nullable and c.kind in ("text", "zoned"):
+        out = out.nulled(codecs.stripped(b) == "")
     if listed := [*c.sentinels, *([] if c.sentinels else options.sentinels)]:
         out = out.nulled(codecs.is_sentinel(out.value, listed))
     return out
@@ -61,33 +77,40 @@ def target(c: ir.Column) -> str:
     return "date" if c.date_format else c.type.spark
 
 
-def decoded(c: ir.Column, raw: Column, options: DecodeOptions, offset: int | Column | None = None) -> tuple[Column, Column]:
-    """Value and error (null if fine) of a column; a record that ends before the column is an error."""
-    at = c.offset if offset is None else offset
-    end = at + c.length
-    f = codecs.slice_of(raw, at, c.length)
-    out = codec(c, f, options)
-    short = F.length(raw) < end
-    value = F.when(~short, out.value.try_cast(target(c)))
+def finished(c: ir.Column, out: Decoded, raw: Column, at: int) -> tuple[Column, Column]:
+    """Value and error (null if fine); a record that ends before the column is an error."""
+    short = F.length(raw) < at + c.length
     message = F.when(short, F.lit("record too short")).otherwise(out.error)
-    spot = at if isinstance(at, Column) else F.lit(at)
-    error = F.when(message.isNotNull(), F.struct(F.lit(c.name).alias("column"), spot.cast("int").alias("byte_offset"), F.lit(c.length).alias("byte_length"), F.lower(F.hex(f)).alias("raw_hex"), message.alias("message")))
-    return value, error
+    facts = F.struct(F.lit(c.name).alias("column"), F.lit(at).alias("byte_offset"), F.lit(c.length).alias("byte_length"), F.lower(F.hex(codecs.slice_of(raw, at, c.length))).alias("raw_hex"), message.alias("message"))
+    return F.when(~short, out.value.try_cast(target(c))), F.when(message.isNotNull(), facts)
+
+
+def decoded(c: ir.Column, raw: Column, options: DecodeOptions, offset: int | None = None) -> tuple[Column, Column]:
+    """One column in one expression."""
+    at = c.offset if offset is None else offset
+    return finished(c, codec(c, base(c, codecs.slice_of(raw, at, c.length), options), options), raw, at)
 
 
 def decode(records: DataFrame, columns: list[ir.Column] | ir.Table, options: DecodeOptions = DecodeOptions(), on_error: str = "reject") -> DataFrame:
-    """The records' other columns, the decoded ones and errors. on_error "reject": a bad record has no values; "null": only bad columns have none."""
+    """The records' other columns, the decoded ones and errors. on_error "reject": a bad record has no values; "null": only bad columns have none.
+
+    Columns are decoded in steps (text or hex, digits, value and error, verdict), each read from the one before, so an
+    expression doesn't grow with the number of times it is used. With "null", columns that nothing reads are pruned."""
     columns = [c for c in (columns.columns if isinstance(columns, ir.Table) else columns) if c.kind not in ("row_number", "array", "overlay")]
-    names = {c.name for c in columns}
+    names, each = {c.name for c in columns}, list(enumerate(columns))
     others = [x for x in records.columns if x != "raw" and x not in names]
-    # two steps: what is decoded once serves the value, the errors and the verdict
-    pairs = [decoded(c, F.col("raw"), options) for c in columns]
-    own = records.select(*others, *(v.alias(f"__v{i}") for i, (v, _) in enumerate(pairs)), *(e.alias(f"__e{i}") for i, (_, e) in enumerate(pairs)))
-    errors = F.array_compact(F.array(*(F.col(f"__e{i}") for i in range(len(columns)))))
+    raw = F.col("raw")
+    step = records.select(*others, "raw", *(base(c, codecs.slice_of(raw, c.offset, c.length), options).alias(f"__b{i}") for i, c in each))
+    of_parts = {i: codecs.zoned_parts(F.col(f"__b{i}"), c.length, c.signed, separate=separate_sign(c)) for i, c in each if c.kind == "zoned" and not c.date_format}
+    step = step.select(*others, "raw", *(f"__b{i}" for i, _ in each), *(x.alias(f"__{k}{i}") for i, p in of_parts.items() for k, x in zip("md", p, strict=True)))
+    pairs = [finished(c, codec(c, F.col(f"__b{i}"), options, (F.col(f"__m{i}"), F.col(f"__d{i}")) if i in of_parts else None), raw, c.offset) for i, c in each]
+    step = step.select(*others, *(v.alias(f"__v{i}") for i, (v, _) in enumerate(pairs)), *(e.alias(f"__e{i}") for i, (_, e) in enumerate(pairs)))
+    errors = F.array_compact(F.array(*(F.col(f"__e{i}") for i, _ in each)))
     if on_error == "reject":
-        good = F.coalesce(*(F.col(f"__e{i}") for i in range(len(columns)))).isNull()
-        return own.select(*others, *(F.when(good, F.col(f"__v{i}")).alias(c.name) for i, c in enumerate(columns)), errors.alias("errors"))
-    return own.select(*others, *(F.col(f"__v{i}").alias(c.name) for i, c in enumerate(columns)), errors.alias("errors"))
+        step = once(step)  # the verdict needs every column, so nothing could be pruned
+        good = F.coalesce(*(F.col(f"__e{i}") for i, _ in each)).isNull()
+        return step.select(*others, *(F.when(good, F.col(f"__v{i}")).alias(c.name) for i, c in each), errors.alias("errors"))
+    return step.select(*others, *(F.col(f"__v{i}").alias(c.name) for i, c in each), errors.alias("errors"))
 
 
 def accepted(rows: DataFrame) -> DataFrame:

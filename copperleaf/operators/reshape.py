@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copperleaf.functions import codecs
-from copperleaf.operators.decode import DecodeOptions, decoded, text_of
+from copperleaf.operators.decode import DecodeOptions, decode, decoded, text_of
 from copperleaf.plans import schema as ir
 
 
@@ -44,9 +44,8 @@ def child_rows(records: DataFrame, a: ir.Array, keys: list[ir.Column], counter:
     count = decoded(counter, raw, options)[0] if counter else None
     others = [x for x in records.columns if x != "raw"]
     rows = records.select(*others, *of_key, F.posexplode(elements(a, raw, count)).alias("__at", "raw"))
-    pairs = [(c, *decoded(c, raw, options)) for c in a.columns]
-    errors = F.filter(F.array(*[e for _, _, e in pairs]), lambda e: e.isNotNull())
-    return rows.select(*others, *[k.name for k in keys], (F.col("__at") + 1).cast("short").alias("occurrence_index"), *(v.alias(c.name) for c, v, _ in pairs), errors.alias("errors"))
+    numbered = rows.withColumn("occurrence_index", (F.col("__at") + 1).cast("short")).drop("__at")
+    return decode(numbered, a.columns, options, on_error="null")
 
 
 def element_structs(a: ir.Array, raw: Column, counter: Column | None = None, options: DecodeOptions = DecodeOptions()) -> Column:

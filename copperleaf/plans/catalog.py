@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from copperleaf.functions import codecs
 from copperleaf.functions import encoders as enc
 from copperleaf.operators import load, reconcile, reshape, transform
-from copperleaf.operators.decode import DecodeOptions, accepted, decode, page_scores, rejected
+from copperleaf.operators.decode import DecodeOptions, accepted, decode, once, page_scores, rejected
 from copperleaf.plans import state
 from copperleaf.plans.schema import Options, Table, compile_copybook
 from copperleaf.sources import records
@@ -118,7 +118,7 @@ def customer_records(c: DataFrame, page: str = "cp037", balance: Column | None =
         enc.binary(F.col("c_custkey"), 4), enc.text(F.col("c_name"), 18, page), enc.text(enc.zoned(F.col("c_nationkey"), 2, signed=False), 2, page),
         enc.packed(money("c_acctbal"), 6, 2) if balance is None else balance, enc.text(F.col("c_mktsegment"), 10, page), enc.text(F.lit(""), 4, page),
     )
-    return c.select("c_custkey", raw.alias("raw"))
+    return once(c.select("c_custkey", raw.alias("raw")))
 
 
 def order_records(o: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def order_records(o: DataFrame) -> DataFrame:
         enc.text(F.lit("O"), 1), enc.binary(F.col("o_orderkey"), 8), enc.binary(F.col("o_custkey"), 4, big_endian=False), enc.text(F.col("o_orderstatus"), 1),
         enc.text(enc.zoned(money("o_totalprice"), 11, 2), 11), enc.text(F.date_format("o_orderdate", "yyyyMMdd"), 8), enc.text(F.col("o_orderpriority"), 15),
     )
-    return o.select("o_orderkey", raw.alias("raw"))
+    return once(o.select("o_orderkey", raw.alias("raw")))
 
 
 def line_records(x: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def line_records(x: DataFrame) -> DataFrame:
         enc.packed(money("l_quantity", 5, 0), 3), enc.packed(money("l_extendedprice", 13), 7, 2), enc.ieee(F.col("l_discount")), enc.packed_unsigned(money("l_tax", 3), 2, 2),
         enc.text(F.col("l_returnflag"), 1), enc.text(F.col("l_linestatus"), 1), enc.text(F.date_format("l_shipdate", "yyyyDDD"), 7),
     )
-    return x.select("l_orderkey", raw.alias("raw"))
+    return once(x.select("l_orderkey", raw.alias("raw")))
 
 
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
@@ -149,14 +149,14 @@ def order_line_records(x: DataFrame, padded: bool = False) -> DataFrame:
     one = x.groupBy("l_orderkey").agg(every.alias("e"))
     body = F.array_join(F.transform("e", lambda y: y["h"]), "")
     body = F.rpad(body, 480, "0") if padded else body
-    return one.select("l_orderkey", joined(enc.binary(F.col("l_orderkey"), 8), enc.binary(F.size("e"), 2), F.unhex(body)).alias("raw"))
+    return once(one.select("l_orderkey", joined(enc.binary(F.col("l_orderkey"), 8), enc.binary(F.size("e"), 2), F.unhex(body)).alias("raw")))
 
 
 def event_records(e: DataFrame) -> DataFrame:
     amount = joined(enc.packed(money("value", 9), 5, 2), enc.text(F.lit(""), 3))
     code = enc.text(enc.zoned(F.expr("cast(event_id % 100000000 as bigint)"), 8, signed=False), 8)
     body = F.when(F.col("event_type") == "purchase", amount).when(F.col("event_type") == "error", code).otherwise(enc.text(F.lit("-"), 8))
-    return e.select("event_id", joined(enc.binary(F.col("event_id"), 8), enc.text(F.col("event_type"), 8), enc.binary(F.col("user_id"), 4), body).alias("raw"))
+    return once(e.select("event_id", joined(enc.binary(F.col("event_id"), 8), enc.text(F.col("event_type"), 8), enc.binary(F.col("user_id"), 4), body).alias("raw")))
 
 
 # --- scans ------------------------------------------------------------------------------------------------------------
