@@ -23,7 +23,8 @@ class Decoded:
         return Decoded(F.when(~F.coalesce(when, F.lit(False)), self.value), self.error)
 
 
-NO_ERROR = F.lit(None).cast("string")
+def no_error() -> Column:
+    return F.lit(None).cast("string")
 
 
 def checked(value: Column, good: Column, message: str) -> Decoded:
@@ -60,7 +61,7 @@ def packed(f: Column, length: int, scale: int = 0, precision: int | None = None)
 def packed_hex(h: Column, length: int, scale: int = 0, precision: int | None = None) -> Decoded:
     """Two digits a byte, the last half byte the sign: C F A E plus, D B minus. No bytes are zero."""
     if length == 0:
-        return Decoded(F.lit(0).cast(f"decimal({precision or 1},{scale})"), NO_ERROR)
+        return Decoded(F.lit(0).cast(f"decimal({precision or 1},{scale})"), no_error())
     n = 2 * length - 1
     v = pointed(F.substring(h, 1, n), n, scale, precision)
     return checked(F.when(F.substring(h, n + 1, 1).isin("D", "B"), -v).otherwise(v), h.rlike("^[0-9]+[A-F]$"), "invalid packed decimal")
@@ -96,11 +97,11 @@ def binary(f: Column, length: int, signed: bool = True, big_endian: bool = True,
     v = whole(f if big_endian else backwards(f, length), length, signed)
     if scale:
         v = (v * F.lit(f"1E-{scale}").cast(f"decimal({scale + 1},{scale})")).cast(f"decimal({min(38, 20 + scale)},{scale})")
-    return Decoded(v, NO_ERROR)
+    return Decoded(v, no_error())
 
 
 def unsigned_index(f: Column, length: int = 4, big_endian: bool = True) -> Decoded:
-    return Decoded(F.conv(F.hex(f if big_endian else backwards(f, length)), 16, 10).cast("decimal(20,0)"), NO_ERROR)
+    return Decoded(F.conv(F.hex(f if big_endian else backwards(f, length)), 16, 10).cast("decimal(20,0)"), no_error())
 
 
 def ieee(f: Column, length: int, big_endian: bool = True) -> Decoded:
@@ -118,7 +119,7 @@ def ieee(f: Column, length: int, big_endian: bool = True) -> Decoded:
     )
     negative = F.shiftrightunsigned(bits, 8 * length - 1).bitwiseAND(F.lit(1)) == 1
     v = F.when(negative, -size).otherwise(size)
-    return Decoded(v.cast("float") if length == 4 else v, NO_ERROR)
+    return Decoded(v.cast("float") if length == 4 else v, no_error())
 
 
 # --- text ---------------------------------------------------------------------------------------------------------
@@ -149,12 +150,12 @@ def characters(f: Column, page: str = DEFAULT_CODE_PAGE) -> Column:
 def ebcdic_text(f: Column, page: str = DEFAULT_CODE_PAGE, strip: bool = True) -> Decoded:
     """Text without trailing spaces; other white space and NULs stay."""
     v = characters(f, page)
-    return Decoded(F.rtrim(v) if strip else v, NO_ERROR)
+    return Decoded(F.rtrim(v) if strip else v, no_error())
 
 
 def ascii_text(f: Column, strip: bool = True) -> Decoded:
     v = F.make_valid_utf8(f.cast("string"))
-    return Decoded(F.rtrim(v) if strip else v, NO_ERROR)
+    return Decoded(F.rtrim(v) if strip else v, no_error())
 
 
 def stripped(text: Column) -> Column:

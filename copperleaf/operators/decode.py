@@ -65,7 +65,7 @@ def codec(c: ir.Column, b: Column, options: DecodeOptions, parts: tuple[Column,
         case "zoned" if not c.date_format:
             out = codecs.zoned_value(*(parts or codecs.zoned_parts(b, c.length, c.signed, separate=separate_sign(c))), c.length, c.scale)
         case _:
-            out = Decoded(codecs.date_of(b, c.date_format, options.pivot) if c.date_format else b, codecs.NO_ERROR)
+            out = Decoded(codecs.date_of(b, c.date_format, options.pivot) if c.date_format else b, codecs.no_error())
     if c.nullable and c.kind in ("text", "zoned"):
         out = out.nulled(codecs.stripped(b) == "")
     if listed := [*c.sentinels, *([] if c.sentinels else options.sentinels)]:
