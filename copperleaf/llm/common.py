@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -85,6 +86,26 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
+class SharedBits:
+    """A bitmap on the executors, sent compressed: its size there follows the bits that are set."""
+
+    def __init__(self, spark: SparkSession, bits: np.ndarray):
+        self.sent = spark.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+        self.name = uuid.uuid4().hex
+
+    @property
+    def value(self) -> np.ndarray:
+        if self.name not in _opened:
+            while len(_opened) > 3:
+                _opened.pop(next(iter(_opened)))
+            _opened[self.name] = np.frombuffer(zlib.decompress(self.sent.value), np.uint32)
+        return _opened[self.name]
+
+
+#: Bitmaps that this worker has opened.
+_opened: dict[str, np.ndarray] = {}
+
+
 def text_hash(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -93,7 +114,7 @@ def parted(docs: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs whose text's hash is in no row of hashes (one column) for certain, and the others with their hash as __h.
 
     So only rows that may be concerned go on to a join. The bitmap is of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(hashes))
+    shared = SharedBits(docs.sparkSession, bitmap(hashes))
     at, schema = docs.columns.index("text"), docs.schema
 
     def split(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

@@ -146,7 +146,7 @@ def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, rank_file: str =
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = {x: b.column(i).to_numpy() for i, x in enumerate(b.schema.names)}
+            at = {x: b.column(b.schema.get_field_index(x)).to_numpy() for x in ("units", "rank")}
             key = at["units"] * RANKS_OF_ONE + at["rank"]
             i = np.searchsorted(first, key, "right") - 1
             yield pa.RecordBatch.from_arrays(

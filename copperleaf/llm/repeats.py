@@ -14,7 +14,7 @@ whose first words occur once are left out before the sort, by counts over all do
 bitmap of fixed size; bits that hashes share let some more through.
 
 Words are maximal runs of anything but space and \\x09-\\x0D, compared by hash (64 bits for the first SAME, 32 for each
-word after). Defined results: null, empty and short texts have no spans; a repeat within one doc_id alone is none; an
+word after). Defined results: null, empty and short texts have no spans, rows without doc_id take no part; a repeat within one doc_id alone is none; an
 empty table gives no rows; other columns are ignored; texts of any length are read whole.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bit_of, blocks, count_bits, cut, in_ranges, marked, partitions, range_bits, table
+from .common import SharedBits, bit_of, blocks, count_bits, cut, in_ranges, marked, partitions, range_bits, table
 from .jaccard import WordHashes, mixed
 
 LEAST, WINDOW, SAME = 50, 19, 32
@@ -70,14 +70,14 @@ def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarr
 
 def kept_suffixes(docs: DataFrame) -> DataFrame:
     """SUFFIX rows whose first words occur twice or more."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = range_bits(docs.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words, begin in words_of(batches):
             yield in_ranges(suffixes(words, begin)[1], bits)
 
-    twice = docs.sparkSession.sparkContext.broadcast(count_bits(own.mapInArrow(keys, "range int, tokens binary"), 2)[0])
+    twice = SharedBits(docs.sparkSession, count_bits(own.mapInArrow(keys, "range int, tokens binary"), 2)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, words, begin in words_of(batches):

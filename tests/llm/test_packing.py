@@ -40,6 +40,7 @@ def test_edges(spark):
     docs = spark.createDataFrame([(k, t, 7) for k, t in texts.items()], "doc_id long, text string, start long")
     whole(packing.pack(docs).collect(), texts)
     assert packing.pack(docs.limit(0)).count() == 0
+    assert packing.pack(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")).count() == 2
 
 
 def test_rank_file_splits_latin_like_the_vocabulary():

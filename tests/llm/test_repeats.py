@@ -37,6 +37,7 @@ def test_planted_passages(spark):
     left = {r.doc_id: r.text for r in repeats.without_repeats(docs).collect()}
     assert left[3] == rows[3][1] and len(left[60].split()) < len(rows[10][1].split())
     assert repeats.spans(docs.limit(0)).count() == 0
+    assert repeats.spans(docs.selectExpr("cast(null as bigint) as doc_id", "text")).count() == 0
 
 
 def test_query(spark, sf):
