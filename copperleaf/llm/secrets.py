@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import smallest, table
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 or more: no later start in the run of a failing match can be longer
@@ -72,7 +72,7 @@ def steps(token: Column) -> Column:
 
 def samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """token, random: labelled tokens of the `rows` documents of smallest hash. Assigned values, keys and hexadecimal runs are random."""
-    own = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(rows)
+    own = smallest(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rows, "doc_id")
     cleared = F.col("text")
     for p in (ASSIGN, ACCESS, HEX):
         cleared = F.regexp_replace(cleared, p, " ")
