@@ -10,6 +10,8 @@ Rows travel packed: one for each block and bucket with its pre-tokens sorted, an
 texts, numbers dealt by falling frequency, both compressed. A third of
 all texts may share a word: it then is one entry for each block, not one row for each occurrence.
 
+docs is read twice and must give the same blocks, as a table or a written stage does; if not, the job fails.
+
 Defined results: a null or empty text has no ids; repeated rows are encoded row by row, equal doc_ids included; an
 empty table gives no rows; a text of any length is encoded whole.
 """
@@ -27,8 +29,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,13 +92,13 @@ def gathered(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray
     return values[at]
 
 
-def split(docs: DataFrame, buckets: int, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """PART rows. A block numbers its distinct pre-tokens by falling frequency; its text rows hold the numbers by position."""
+def split(docs: DataFrame, buckets: int, texts: bool, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """PART rows: the text rows of each block, or its bucket rows. A block is named by its content and numbers its
+    distinct pre-tokens by falling frequency; text rows hold the numbers by position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, task, serial = splitter(pattern).findall, TaskContext.get().partitionId(), count()
+        find = splitter(pattern).findall
         for b in blocks(batches, "text", BLOCK):
-            name = f"{task}-{next(serial)}"
             number: defaultdict[str, int] = defaultdict(count().__next__)
             keys, order = b.column(0).to_pylist(), []
             for text in b.column(1).to_pylist():
@@ -105,49 +107,52 @@ def split(docs: DataFrame, buckets: int, pattern: str = public_tokenizers.PATTER
             times = np.bincount(np.concatenate(order), minlength=len(number))
             rank = np.empty(len(number), np.uint32)
             rank[np.argsort(-times, kind="stable")] = np.arange(len(number))
-            out, begin, size = [], 0, 0
-            for i in range(len(order) + 1):
-                if i == len(order) or size > ROW:
-                    own = order[begin:i]
-                    out.append((name, None, keys[begin:i], [len(x) for x in own], zstandard.compress(planes(rank[np.concatenate(own)]), 3)))
-                    begin, size = i, 0
-                if i < len(order):
-                    size += len(order[i])
-            words = [w.encode("utf-8", "surrogatepass") for w in number]
-            held: list[list[int]] = [[] for _ in range(buckets)]
-            for i, w in enumerate(words):
-                held[zlib.crc32(w) % buckets].append(i)
-            for k, own in enumerate(held):
-                if own:
-                    own.sort(key=words.__getitem__)
-                    out.append((name, k, None, None, packed(rank[own], [words[i] for i in own])))
+            words, every = [w.encode("utf-8", "surrogatepass") for w in number], np.concatenate(order)
+            name = xxhash.xxh3_128_hexdigest(b"\0".join(words) + every.tobytes() + np.array([len(x) for x in order]).tobytes())
+            out = []
+            if texts:
+                begin = size = 0
+                for i in range(len(order) + 1):
+                    if i == len(order) or size > ROW:
+                        own = order[begin:i]
+                        out.append((name, None, keys[begin:i], [len(x) for x in own], zstandard.compress(planes(rank[np.concatenate(own)]), 3)))
+                        begin, size = i, 0
+                    if i < len(order):
+                        size += len(order[i])
+            else:
+                held: list[list[int]] = [[] for _ in range(buckets)]
+                for i, w in enumerate(words):
+                    held[zlib.crc32(w) % buckets].append(i)
+                for k, own in enumerate(held):
+                    if own:
+                        own.sort(key=words.__getitem__)
+                        out.append((name, k, None, None, packed(rank[own], [words[i] for i in own])))
+            if not out:
+                continue
             types = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "bucket", "keys", "sizes", "payload"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PART)
 
 
-def answered(parts: DataFrame, buckets: int, rank_file: str = tokens.RANKS) -> DataFrame:
-    """parts, with the ids of each pre-token instead of its bytes; text rows pass unchanged, spread over all buckets."""
+def answered(parts: DataFrame, rank_file: str = tokens.RANKS) -> DataFrame:
+    """Bucket rows with the ids of each pre-token instead of its bytes."""
 
     def run(t: pa.Table) -> pa.Table:
         encode, known, out = tokens.rank_encoding(rank_file).encode_ordinary, {}, []
-        for bucket, payload in zip(t["bucket"].to_pylist(), t["payload"].to_pylist(), strict=True):
-            if bucket is not None:
-                ranks, words = unpacked(payload)
-                ids = []
-                for w in words:
-                    if (x := known.get(w)) is None:
-                        x = known[w] = encode(w.decode("utf-8", "surrogatepass"))
-                    ids.append(x)
-                sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
-                flat = np.array([i for x in ids for i in x], np.uint32)
-                payload = payload[:4] + zstandard.compress(ranks + planes(sizes) + planes(flat), 3)
-            out.append(payload)
+        for payload in t["payload"].to_pylist():
+            ranks, words = unpacked(payload)
+            ids = []
+            for w in words:
+                if (x := known.get(w)) is None:
+                    x = known[w] = encode(w.decode("utf-8", "surrogatepass"))
+                ids.append(x)
+            sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
+            flat = np.array([i for x in ids for i in x], np.uint32)
+            out.append(payload[:4] + zstandard.compress(ranks + planes(sizes) + planes(flat), 3))
         return pa.Table.from_arrays([*(t[c] for c in ("block", "bucket", "keys", "sizes")), pa.array(out, pa.binary())], ["block", "bucket", "keys", "sizes", "payload"])
 
-    dealt = F.coalesce("bucket", F.pmod(F.xxhash64("block", "keys"), F.lit(buckets)).cast("int"))
-    return parts.withColumn("dealt", dealt).groupBy("dealt").applyInArrow(run, PART)
+    return parts.groupBy("bucket").applyInArrow(run, PART)
 
 
 def encode(docs: DataFrame, buckets: int | None = None, rank_file: str = tokens.RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -185,7 +190,9 @@ def assembled(docs: DataFrame, made, schema: str, buckets: int | None = None, ra
         return pa.Table.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), types, strict=True)], names)
 
     types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
-    return answered(split(docs, buckets, pattern), buckets, rank_file).groupBy("block").applyInArrow(run, schema)
+    # texts are split twice, once for either kind of row: their numbers need not travel with the pre-tokens
+    both = answered(split(docs, buckets, False, pattern), rank_file).unionAll(split(docs, buckets, True, pattern))
+    return both.groupBy("block").applyInArrow(run, schema)
 
 
 def decoded(ids: np.ndarray, rank_file: str = tokens.RANKS) -> bytes:
