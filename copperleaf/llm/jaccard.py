@@ -8,14 +8,18 @@ there, so with m hash classes of tokens two of them are in one class: pairs of o
 depends on the size only; sizes of partners differ by a factor of 4/3 at most, so each node indexes pairs for the size
 step of its own and the next one.
 
-Which tokens are frequent (FREQUENT or more nodes of a task each) and which occur once is counted over the prefixes of
-all documents; the counts reach the tasks as two bitmaps of fixed size. Bits that tokens share change the amount of
-work, never the result. A token that occurs once can match nothing: its node's overlap is bounded by the others.
-
-In each index group the nodes are ranked, those with the fewest unmatched tokens first. The first one meets all others
-of the group, the links are verified and united; then only groups with several components remain, where the next ranks
-meet the members of other components, then all that are left. So a group of near copies costs one row for each
-member, and no pair that could link two components is left untested. Nothing is capped.
+Sets are made once and written to the shared folder, 48 bits of each hash (two sets of 20,000 shingles agree by chance
+in one shingle with a probability of 1e-6). Which tokens are frequent (FREQUENT nodes or more, counted once in a task)
+and which occur once is counted over the prefixes of all documents; the counts reach the tasks as two bitmaps of fixed
+size. Bits that tokens share change the amount of work, never the result. A rare token that no
+other node indexes can match nothing: its node's overlap is bounded by the others. Before sets are compared, counts of their tokens by hash range give a
+second exact bound of the overlap at a sixteenth of the bytes.
+
+In each index group the nodes are ranked, those with the fewest rare tokens first. The first one meets all others of
+the group, the links are verified and united; then only groups with several components remain, where nodes meet the
+members of other components. Groups of more than LARGE nodes, as near copies of one text make them, are compared in
+blocks of bounded size, which give a spanning forest of their links instead of pairs. Nothing is capped: no pair that
+could link two components is left untested.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; with fewer than five
 words the whole sequence is the one shingle; repeated rows stay rows, equal texts are one component; an empty table
@@ -28,20 +32,25 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITS, bitmap, blocks, cut, marked, parted, partitions, table, text_hash
+from .common import SharedBits, bit_of, bitmap, blocks, count_bits, cut, in_ranges, marked, parted, partitions, range_bits, table, text_hash
 from .components import components
 
 WORDS = 5
-FREQUENT = 64
-SEEN = 1 << 20
+FREQUENT = 24
+SEEN = 1 << 18
+#: Rows that go to a Python worker at once.
+BATCH = 1000
+#: Bytes kept of a token.
+KEPT = 6
 #: Ranks that meet the rest of their group in each round; the last round takes all.
-ROUNDS = (1, 8, None)
+ROUNDS = (1, None)
+#: Groups of more nodes are compared in blocks of about BLOCK nodes, COLUMNS tokens at once.
+LARGE, BLOCK, COLUMNS = 64, 256, 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,73 +82,79 @@ def node_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), len(tokens)) - (1 << 63)
 
 
-def sets(batches: Iterator[pa.RecordBatch], column: int = 0, once: bool = True) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray]]]]:
-    """Blocks with (node, tokens) of their rows; once: not those whose node the task has seen not long ago."""
-    seen: set[int] = set()
-    for b in blocks(batches, "text"):
-        known, out = WordHashes(), []
-        for text in b.column(column).to_pylist():
-            tokens = shingles(text, known)
-            node = node_of(tokens)
-            if once and (node in seen or not len(tokens)):
-                continue
-            seen.add(node)
-            out.append((node, tokens))
-        if len(seen) > SEEN or not once:
-            seen.clear()
-        yield b, out
-
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), node, n (size) of every row; tokens (the set, KEPT bytes each), null where the task has met the node before."""
 
-def prefix_size(n: int) -> int:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in blocks(batches, "text", 2 << 20):
+            known, out = WordHashes(), []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tokens = shingles(text, known)
+                node = node_of(tokens)
+                raw = None
+                if node not in seen and len(tokens):
+                    seen.add(node)
+                    raw = tokens.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes()
+                out.append((key, text_hash(text), node, len(tokens), raw))
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], ["doc_id", "h", "node", "n", "tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h long, node long, n long, tokens binary")
+
+
+def tokens_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a column of sets, one set after the other, and where each set begins (one entry more than sets)."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, KEPT)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, 8 - KEPT :] = raw
+    return wide.view(np.uint64).ravel(), (ends - ends[0]) // KEPT
+
+
+def places(chosen: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each chosen token, how many chosen ones come before it in its set (others: any number)."""
+    before = np.cumsum(chosen) - chosen
+    n = np.diff(begin)
+    return before - np.repeat(before[np.minimum(begin[:-1], len(before) - 1)], n)
+
+
+def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - (3 * n + 3) // 4 + 1
 
 
-def bit_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-
+def counted(rows: DataFrame, frequent=None, entered: bool = False) -> list[np.ndarray]:
+    """Bitmaps over the prefix tokens of all sets: those of two or more, and those of FREQUENT or more.
 
-def ordered(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rare tokens, then frequent ones, both by hash."""
-    f = marked(frequent, bit_of(tokens))
-    return tokens[~f], tokens[f]
-
-
-def counted(docs: DataFrame, frequent=None) -> dict[str, np.ndarray]:
-    """Bitmaps over the prefix tokens of all documents: "two", those of two or more; "many", those of FREQUENT or more.
-
-    Tokens go to ranges of their values, five bytes each; only bits, a fixed number, reach the driver."""
-    ranges = min(16, max(6, (4 * partitions(docs.sparkSession) - 1).bit_length()))
+    With the class of frequent tokens, the rare ones of the prefixes are counted; entered: only those that lie there
+    because frequent ones before them left."""
+    bits = range_bits(rows.sparkSession)
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in sets(batches):
-            parts = [(t if frequent is None else ordered(t, frequent.value)[0])[: prefix_size(len(t))] for _, t in found if len(t) > 2]
-            if parts:
-                every = np.sort(np.concatenate(parts)) >> np.uint64(24)
-                edges = np.searchsorted(every, np.arange(1 << ranges, dtype=np.uint64) << np.uint64(40 - ranges)).tolist()
-                raw = every.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                rows = [(r, raw[5 * a : 5 * z]) for r, (a, z) in enumerate(zip(edges, [*edges[1:], len(every)], strict=True)) if a < z]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["range", "tokens"])
-
-    def bits_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(pdf["tokens"]), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        t, n = np.unique(wide.view(np.uint64).ravel(), return_counts=True)
-        out = []
-        for kind, least in ((0, 2), (1, FREQUENT)):
-            bit = (t[n >= least] >> np.uint64(40 - BITS.bit_length() + 1)).astype(np.int64)
-            word, first = np.unique(bit >> 5, return_index=True)
-            value = np.bitwise_or.reduceat(np.int64(1) << (bit & 31), first) if len(first) else np.empty(0, np.int64)
-            out.append(pd.DataFrame({"kind": kind, "w": word, "x": value}))
-        return pd.concat(out)
-
-    rows = docs.select("text").mapInArrow(tokens_of, "range int, tokens binary").groupBy("range").applyInPandas(bits_of, "kind int, w long, x long").toArrow()
-    kind, w, x = (rows[c].to_numpy() for c in ("kind", "w", "x"))
-    out = {}
-    for k, name in enumerate(("two", "many")):
-        out[name] = np.zeros(BITS // 32, np.uint32)
-        out[name][w[kind == k]] = x[kind == k].astype(np.uint32)
-    return out
+        for b in blocks(batches, "tokens", 2 << 20):
+            tokens, begin = tokens_in(b.column(0))
+            n = np.diff(begin)
+            of, p = np.repeat(np.arange(len(n)), n), prefix_size(n)
+            rare = np.ones(len(tokens), bool) if frequent is None else ~marked(frequent.value, bit_of(tokens))
+            chosen = rare & (places(rare, begin) < p[of]) & (n > 2)[of]
+            if entered:
+                chosen &= np.arange(len(tokens)) - begin[:-1][of] >= p[of]
+            yield in_ranges(tokens[chosen], bits)
+
+    return count_bits(rows.select("tokens").where("tokens is not null").mapInArrow(tokens_of, "range int, tokens binary"), 2, FREQUENT)
+
+
+def frequent_class(rows: DataFrame):
+    """The bitmap of the frequent class, on the executors. As frequent tokens leave the prefixes others enter; they are
+    counted in their turn until none of them is frequent."""
+    bits = counted(rows)[1]
+    while True:
+        shared = SharedBits(rows.sparkSession, bits)
+        more = counted(rows, shared, entered=True)[1]
+        if not (more & ~bits).any():
+            return shared
+        bits = bits | more
 
 
 def size_step(n: int) -> int:
@@ -158,39 +173,33 @@ def pair_keys(tokens: np.ndarray, step: int, classes: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, int]:
-    """A node's index keys, and how many of its tokens are known to match nothing."""
-    n = len(tokens)
-    if n <= 2:
-        return tokens[:0], 0  # partners of one or two tokens are equal
-    p = prefix_size(n)
-    rare, often = ordered(tokens, frequent)
-    shared = marked(two, bit_of(rare[:p]))
-    keys = [rare[:p][shared]]
-    if len(rare) < p:
-        for step in (size_step(n), size_step(n) + 1):
-            classes = max(1, round(1.34**step / 8))
-            keys.append(pair_keys(often[: p - len(rare) + classes], step, classes))
-    return np.concatenate(keys), int((~shared).sum())
-
-
-def index(docs: DataFrame, frequent, two) -> DataFrame:
-    """key, rank, node, n, free (tokens known to match nothing): groups of two or more nodes, ranked from 1."""
+def index(rows: DataFrame, frequent, two) -> DataFrame:
+    """key, rank, node, n, rare (rare tokens of its prefix), single: groups of two or more nodes, ranked from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in sets(batches):
-            keys, nodes, n, free = [np.empty(0, np.uint64)], [], [], []
-            for node, tokens in found:
-                k, u = index_keys(tokens, frequent.value, two.value)
-                keys.append(k)
-                nodes.append(np.full(len(k), node, np.int64))
-                n.append(np.full(len(k), len(tokens), np.int32))
-                free.append(np.full(len(k), u, np.int32))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(n), np.concatenate(free))], ["key", "node", "n", "free"])
+        for b in blocks(batches, "tokens", 2 << 20):
+            tokens, begin = tokens_in(b.column(2))
+            n = np.diff(begin)
+            of, p = np.repeat(np.arange(len(n)), n), prefix_size(n)
+            bit = bit_of(tokens)
+            rare = ~marked(frequent.value, bit)
+            first = rare & (places(rare, begin) < p[of]) & (n > 2)[of]  # partners of one or two tokens are equal
+            single = first & marked(two.value, bit)
+            keys, owners = [tokens[single]], [of[single]]
+            n_rare = np.bincount(of[rare], minlength=len(n))
+            for i in np.flatnonzero((n_rare < p) & (n > 2)).tolist():
+                often = tokens[begin[i] : begin[i + 1]][~rare[begin[i] : begin[i + 1]]]
+                for step in (size_step(n[i]), size_step(n[i]) + 1):
+                    classes = max(1, round(1.34**step / 8))
+                    keys.append(pair_keys(often[: p[i] - n_rare[i] + classes], step, classes))
+                    owners.append(np.full(len(keys[-1]), i))
+            owner = np.concatenate(owners)
+            in_prefix = np.bincount(of[first], minlength=len(n))
+            columns = [np.concatenate(keys).view(np.int64), None, n[owner].astype(np.int32), in_prefix[owner].astype(np.int32), (np.arange(len(owner)) < len(keys[0])).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)) if c is None else pa.array(c) for c in columns], ["key", "node", "n", "rare", "single"])
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by key, free, node. A group's first row waits for a second one."""
+        """Rows come by key, rare, node. A group's first row waits for a second one."""
         held: list[np.ndarray] | None = None  # the last row, as arrays
         rank0, told = 0, True  # its rank, and whether it has been sent
         for b in batches:
@@ -215,86 +224,175 @@ def index(docs: DataFrame, frequent, two) -> DataFrame:
                 send[0] = not told and len(key) > 1 and key[1] == key[0]
             held, rank0 = [x[-1:] for x in c], int(rank[-1])
             told = bool(send[-1]) or (told and len(key) == 1)
-            rows = [c[0], rank.astype(np.int32), c[1], c[2], c[3]]
-            yield pa.RecordBatch.from_arrays([pa.array(x[send]) for x in rows], ["key", "rank", "node", "n", "free"])
+            rows = [c[0], rank.astype(np.int32), *c[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[send]) for x in rows], ["key", "rank", "node", "n", "rare", "single"])
+
+    keyed = rows.select("node", "n", "tokens").where("tokens is not null").mapInArrow(run, "key long, node long, n int, rare int, single int")
+    dealt = keyed.repartition(2 * partitions(rows.sparkSession), "key").sortWithinPartitions("key", "rare", "node")
+    return dealt.mapInArrow(ranked, "key long, rank int, node long, n int, rare int, single int")
+
+
+def of_nodes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, tokens of the nodes in wanted (one column) and, where bits are shared, of some others."""
+    bits = SharedBits(rows.sparkSession, bitmap(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(marked(bits.value, b.column(0).to_numpy())))
+
+    return rows.select("node", "tokens").where("tokens is not null").mapInArrow(run, "node long, tokens binary")
 
-    rows = docs.select("text").mapInArrow(run, "key long, node long, n int, free int")
-    dealt = rows.repartition(2 * partitions(docs.sparkSession), "key").sortWithinPartitions("key", "free", "node")
-    return dealt.mapInArrow(ranked, "key long, rank int, node long, n int, free int")
 
+def profile(tokens: np.ndarray) -> bytes:
+    """How many tokens lie in each of a power of two of equal ranges, two on average; empty where a byte can't hold it."""
+    width = max(3, (len(tokens) - 1).bit_length() - 1)
+    n = np.bincount((tokens >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b""
 
-def tokens_of_nodes(docs: DataFrame, wanted) -> DataFrame:
-    """node, tokens (binary) of the nodes whose bit is set."""
 
+def profiles(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in sets(batches):
-            keys = np.array([k for k, _ in found], np.int64)
-            keep = [x for x, m in zip(found, marked(wanted.value, keys), strict=True) if m] if len(keys) else []
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([t.tobytes() for _, t in keep], pa.binary())], ["node", "tokens"])
+        for b in blocks(batches, "tokens", 2 << 20):
+            tokens, begin = tokens_in(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([profile(tokens[a:z]) for a, z in zip(begin[:-1], begin[1:], strict=True)], pa.binary()), pa.array(np.diff(begin))], ["node", "profile", "n"])
 
-    return docs.select("text").mapInArrow(run, "node long, tokens binary")
+    return sets.mapInArrow(run, "node long, profile binary, n long")
 
 
-def verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+def enough(both: int, n: int) -> bool:
+    """Whether `both` common tokens of two sets of n in all are a Jaccard similarity of 0.75 or more."""
+    return 175 * both >= 75 * n
+
+
+def possible(a: bytes, b: bytes, n: int) -> bool:
+    """Whether profiles leave room for enough common tokens."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    k = min(len(x), len(y))
+    return enough(int(np.minimum(x.reshape(k, -1).sum(1), y.reshape(k, -1).sum(1)).sum()), n)
+
+
+def joined(pairs: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
+    """pairs a, b with the facts of both."""
+    own = facts.groupBy("node").agg(*(F.first(x).alias(x) for x in names))
+    side = lambda k: own.select(F.col("node").alias(k), *(F.col(x).alias(f"{k}_{x}") for x in names))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{k}_{x}" for x in names for k in "ab"))
+
+
+def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [possible(*x[:2], x[2] + x[3]) for x in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return joined(pairs, facts, "profile", "n").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(a) + len(b) - both))
+            (x, at), (y, bt) = tokens_in(batch.column(2)), tokens_in(batch.column(3))
+            keep = [enough(len(np.intersect1d(x[at[i] : at[i + 1]], y[bt[i] : bt[i + 1]], assume_unique=True)), at[i + 1] - at[i] + bt[i + 1] - bt[i]) for i in range(batch.num_rows)]
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    own = tokens.groupBy("node").agg(F.first("tokens").alias("tokens"))
-    side = lambda k: own.select(F.col("node").alias(k), F.col("tokens").alias(f"{k}_tokens"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
+    return joined(pairs, sets, "tokens").mapInArrow(run, "a long, b long")
+
+
+def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links between the sets numbered in left and those in right, enough to connect what they connect."""
+    n = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), n)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # of tokens that two sets or more have
+    of, token = of[times[token] > 1], number[token[times[token] > 1]]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, int(token.max(initial=-1)) + 1, COLUMNS):
+        here = (token >= k) & (token < k + COLUMNS)
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[of[here], token[here] - k] = 1
+        both += has[left] @ has[right].T
+    up = list(range(len(sets)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(175 * both >= 75 * (n[left][:, None] + n[right])), strict=True):
+        x, y = top(left[i]), top(right[j])
+        if x != y:
+            up[x] = y
+            out.append((int(left[i]), int(right[j])))
+    return out
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """node, root: nodes that are linked with another one."""
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
-    frequent = share(counted(docs)["many"])
-    groups = cut(index(docs, frequent, share(counted(docs, frequent)["two"])))
-    tokens = cut(tokens_of_nodes(docs, share(bitmap(groups.select("node")))))
-    links = roots = tested = None
-    low = 1
+def of_large_groups(large: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b: links that connect the linked nodes of large groups. Groups that share nodes are one cluster; a cluster is
+    cut into blocks of about BLOCK nodes, and every two blocks are compared in a task of their own, set by set, by a
+    product of matrices. Only the links of a spanning forest leave the task."""
+    tied = large.join(large.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").distinct()
+    clusters = cut(components(tied)).withColumnRenamed("root", "cluster")
+    parts = clusters.groupBy("cluster").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias("parts"))
+    sets = of_nodes(rows, clusters.select("node")).groupBy("node").agg(F.first("tokens").alias("tokens"))
+    own = clusters.join(parts, "cluster").join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "tokens")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        tokens, begin = tokens_in(t["tokens"].chunk(0))
+        sets = [tokens[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
+        part, i, j = t["part"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        node = t["node"].to_numpy()
+        found = np.array(forest(sets, np.flatnonzero(part == i), np.flatnonzero(part == j)), np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
+
+    return met.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """node, root: nodes that are linked with another one. rows: see stored()."""
+    frequent = frequent_class(rows)
+    twice = SharedBits(rows.sparkSession, counted(rows, frequent)[0])
+    indexed = cut(index(rows, frequent, twice))
+    # rare tokens whose groups no other node shares match nothing; a node with too many of them has no partner
+    bound = indexed.groupBy("node").agg((F.first("rare") - F.sum("single")).cast("int").alias("free"))
+    every = indexed.join(bound, "node").where("175L * (n - free) >= 75L * (n + (3L * n + 3) div 4)").select("key", "rank", "node", "n", "free")
+    size = indexed.groupBy("key").agg(F.max("rank").alias("size"))
+    every = cut(every.join(size, "key"))
+    groups = every.where(F.col("size") <= LARGE).drop("size")
+    links = cut(of_large_groups(every.where(F.col("size") > LARGE), rows))
+    roots = cut(components(links))
+    facts = cut(profiles(of_nodes(rows, groups.select("node").distinct())))
+    tested, low = None, 1
     for high in ROUNDS:
-        own = groups if roots is None else groups.join(roots, "node", "left")
-        own = own.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        if roots is not None:  # groups of one component are done
-            open_keys = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            own = cut(own.join(open_keys, "key", "left_semi"))
+        # groups of one component are done
+        own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_keys = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        own = cut(own.join(open_keys, "key", "left_semi"))
         leads = own.where(F.col("rank").between(low, high or 2**31 - 1)).select("key", *(F.col(c).alias(f"l_{c}") for c in ("rank", "node", "n", "free", "root")))
         near = F.expr("175L * least(n - free, l_n - l_free) >= 75L * (n + l_n)")
         met = leads.join(own, "key").where((F.col("rank") > F.col("l_rank")) & (F.col("root") != F.col("l_root")) & near)
         pairs = met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        new = verified(pairs, tokens)
-        links = cut(new if roots is None else links.unionAll(new))
+        tested = pairs
+        likely = cut(plausible(pairs, facts))
+        links = cut(links.unionAll(verified(likely, of_nodes(rows, likely.select("a").unionAll(likely.select("b"))))))
         roots = cut(components(links))
         low = (high or 0) + 1
     return roots
 
 
-def membership(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), node, n_shingles of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in sets(batches, 1, once=False):
-            h = [text_hash(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (h, [k for k, _ in found], [len(t) for _, t in found]))], ["doc_id", "h", "node", "n_shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h long, node long, n_shingles long")
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, h, n_shingles, component_id of every row."""
-    rows = cut(membership(docs))
-    roots = linked(docs)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"  # sets are large rows: fewer of them at once
+    docs.sparkSession.conf.set(batch, min(BATCH, int(docs.sparkSession.conf.get(batch))))
+    rows = cut(stored(docs))
+    roots = linked(rows)
+    rows = rows.select("doc_id", "h", "node", F.col("n").alias("n_shingles"))
     classed = rows.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     least = classed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     out = classed.join(least, "class", "left")

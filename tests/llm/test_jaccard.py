@@ -35,6 +35,8 @@ def test_query(spark, sf):
 def test_near_copies_of_many(spark, monkeypatch):
     """A low bound makes most tokens of the large groups frequent, so that pairs are indexed."""
     monkeypatch.setattr(jaccard, "FREQUENT", 5)
+    monkeypatch.setattr(jaccard, "LARGE", 10)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng = random.Random(8)
     rows = [(0, None), (1, ""), (2, " \n"), (3, "One two"), (4, "one TWO"), (5, "one two three"), (6, "É x"), (7, "é x")]
     for size, n in ((30, 60), (130, 40), (12, 25), (400, 12)):
@@ -55,4 +57,5 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", 1), (1, "a b c d e f g", 1), (2, "x " * 5000, 1)], "doc_id long, text string, n int")
     assert jaccard.classes(docs).count() == 3
     assert jaccard.classes(docs.limit(0)).count() == 0
+    assert jaccard.keep_one(docs.selectExpr("cast(null as bigint) as doc_id", "text", "n")).count() == 3
     assert sorted(r.doc_id for r in jaccard.keep_one(docs.unionAll(docs.selectExpr("doc_id + 5", "text", "n"))).collect()) == [1, 1, 2]
