@@ -11,9 +11,9 @@ step of its own and the next one.
 Sets are made once and written to the shared folder, 48 bits of each hash (two sets of 20,000 shingles agree by chance
 in one shingle with a probability of 1e-6). Which tokens are frequent (FREQUENT nodes or more, counted once in a task)
 and which occur once is counted over the prefixes of all documents; the counts reach the tasks as two bitmaps of fixed
-size. Bits that tokens share change the amount of work, never the result. A rare token that no
-other node indexes can match nothing: its node's overlap is bounded by the others. Before sets are compared, counts of their tokens by hash range give a
-second exact bound of the overlap at a sixteenth of the bytes.
+size. Bits that tokens share change the amount of work, never the result. Nodes index their prefixes only, so a token
+that no other node indexes may still lie in other sets: it bounds nothing. Before sets are compared, their sizes and
+then counts of their tokens by hash range bound the overlap exactly, at a sixteenth of the bytes.
 
 In each index group the nodes are ranked, those with the fewest rare tokens first. The first one meets all others of
 the group, the links are verified and united; then only groups with several components remain, where nodes meet the
@@ -174,7 +174,7 @@ def pair_keys(tokens: np.ndarray, step: int, classes: int) -> np.ndarray:
 
 
 def index(rows: DataFrame, frequent, two) -> DataFrame:
-    """key, rank, node, n, rare (rare tokens of its prefix), single: groups of two or more nodes, ranked from 1."""
+    """key, rank, node, n, rare (rare tokens of its prefix): groups of two or more nodes, ranked from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "tokens", 2 << 20):
@@ -195,8 +195,8 @@ def index(rows: DataFrame, frequent, two) -> DataFrame:
                     owners.append(np.full(len(keys[-1]), i))
             owner = np.concatenate(owners)
             in_prefix = np.bincount(of[first], minlength=len(n))
-            columns = [np.concatenate(keys).view(np.int64), None, n[owner].astype(np.int32), in_prefix[owner].astype(np.int32), (np.arange(len(owner)) < len(keys[0])).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)) if c is None else pa.array(c) for c in columns], ["key", "node", "n", "rare", "single"])
+            columns = [np.concatenate(keys).view(np.int64), None, n[owner].astype(np.int32), in_prefix[owner].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)) if c is None else pa.array(c) for c in columns], ["key", "node", "n", "rare"])
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by key, rare, node. A group's first row waits for a second one."""
@@ -225,11 +225,11 @@ def index(rows: DataFrame, frequent, two) -> DataFrame:
             held, rank0 = [x[-1:] for x in c], int(rank[-1])
             told = bool(send[-1]) or (told and len(key) == 1)
             rows = [c[0], rank.astype(np.int32), *c[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(x[send]) for x in rows], ["key", "rank", "node", "n", "rare", "single"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[send]) for x in rows], ["key", "rank", "node", "n", "rare"])
 
-    keyed = rows.select("node", "n", "tokens").where("tokens is not null").mapInArrow(run, "key long, node long, n int, rare int, single int")
+    keyed = rows.select("node", "n", "tokens").where("tokens is not null").mapInArrow(run, "key long, node long, n int, rare int")
     dealt = keyed.repartition(2 * partitions(rows.sparkSession), "key").sortWithinPartitions("key", "rare", "node")
-    return dealt.mapInArrow(ranked, "key long, rank int, node long, n int, rare int, single int")
+    return dealt.mapInArrow(ranked, "key long, rank int, node long, n int, rare int")
 
 
 def of_nodes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -358,11 +358,8 @@ def linked(rows: DataFrame) -> DataFrame:
     frequent = frequent_class(rows)
     twice = SharedBits(rows.sparkSession, counted(rows, frequent)[0])
     indexed = cut(index(rows, frequent, twice))
-    # rare tokens whose groups no other node shares match nothing; a node with too many of them has no partner
-    bound = indexed.groupBy("node").agg((F.first("rare") - F.sum("single")).cast("int").alias("free"))
-    every = indexed.join(bound, "node").where("175L * (n - free) >= 75L * (n + (3L * n + 3) div 4)").select("key", "rank", "node", "n", "free")
     size = indexed.groupBy("key").agg(F.max("rank").alias("size"))
-    every = cut(every.join(size, "key"))
+    every = cut(indexed.select("key", "rank", "node", "n").join(size, "key"))
     groups = every.where(F.col("size") <= LARGE).drop("size")
     links = cut(of_large_groups(every.where(F.col("size") > LARGE), rows))
     roots = cut(components(links))
@@ -373,8 +370,8 @@ def linked(rows: DataFrame) -> DataFrame:
         own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_keys = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         own = cut(own.join(open_keys, "key", "left_semi"))
-        leads = own.where(F.col("rank").between(low, high or 2**31 - 1)).select("key", *(F.col(c).alias(f"l_{c}") for c in ("rank", "node", "n", "free", "root")))
-        near = F.expr("175L * least(n - free, l_n - l_free) >= 75L * (n + l_n)")
+        leads = own.where(F.col("rank").between(low, high or 2**31 - 1)).select("key", *(F.col(c).alias(f"l_{c}") for c in ("rank", "node", "n", "root")))
+        near = F.expr("175L * least(n, l_n) >= 75L * (n + l_n)")
         met = leads.join(own, "key").where((F.col("rank") > F.col("l_rank")) & (F.col("root") != F.col("l_root")) & near)
         pairs = met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))

@@ -53,6 +53,20 @@ def test_near_copies_of_many(spark, monkeypatch):
     assert got(jaccard.classes(docs)) == brute(rows)
 
 
+def test_texts_with_passages_added_or_cut_off(spark):
+    """Groups of two: a token that only one of them indexes may be common all the same."""
+    rng, rows = random.Random(12), []
+    for k in range(150):
+        own = [f"p{k}_{i}" for i in range(rng.randrange(30, 200))]
+        n = len(own) - 4
+        more = [f"q{k}_{i}" for i in range(int(n / rng.uniform(0.75, 0.85)) - n)]
+        at = rng.randrange(len(more) + 1)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(more[:at] + own + more[at:]))]
+    want = brute(rows)
+    assert sum(c != k for k, (_, c) in want.items()) > 140
+    assert got(jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", 1), (1, "a b c d e f g", 1), (2, "x " * 5000, 1)], "doc_id long, text string, n int")
     assert jaccard.classes(docs).count() == 3
