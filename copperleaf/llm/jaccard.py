@@ -29,7 +29,7 @@ gives no rows; other columns are ignored by classes() and kept by keep_one().
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -301,8 +301,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined(pairs, sets, "tokens").mapInArrow(run, "a long, b long")
 
 
-def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links between the sets numbered in left and those in right, enough to connect what they connect."""
+def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] = lambda both, n: 175 * both >= 75 * n) -> list[tuple[int, int]]:
+    """Of the links between the sets numbered in left and those in right, enough to connect what they connect. alike: of
+    counts of common tokens and of tokens in all."""
     n = np.array([len(x) for x in sets])
     of = np.repeat(np.arange(len(sets)), n)
     _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -322,7 +323,7 @@ def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(175 * both >= 75 * (n[left][:, None] + n[right])), strict=True):
+    for i, j in zip(*np.nonzero(alike(both.astype(np.float64), n[left][:, None] + n[right])), strict=True):
         x, y = top(left[i]), top(right[j])
         if x != y:
             up[x] = y

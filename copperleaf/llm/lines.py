@@ -3,9 +3,11 @@
 Lines are the \\n-split pieces of a text; those without a word are left alone. Two lines are alike when their sets of
 SHINGLE-character shingles have a Jaccard similarity of LIKE or more; shorter lines only when equal. Signatures of
 BANDS * ROWS MinHash values are banded (a pair at the threshold shares a band with probability 0.995). In each bucket,
-sorted, every line meets the first one and the one before it: two candidates for each row of a bucket, whatever its
-size. Candidates are verified by exact Jaccard similarity on the lines' own text; verified links go through a
-distributed union-find; of each component the occurrence of smallest (doc_id, line number) stays.
+sorted, every line meets the first one and the one before it. Candidates are verified by exact Jaccard similarity on the
+lines' own text; verified links go through a distributed union-find. Buckets that still hold several components, as
+lines made from one template do, are tested whole: lines of different components meet pair by pair, in buckets of more
+than LARGE lines by blocks of bounded size, which give a spanning forest of their links. No pair of a bucket that could
+link two components is left untested. Of each component the occurrence of smallest (doc_id, line number) stays.
 
 What is shuffled: 64-bit hashes of lines and bands, and the text of lines that are candidates only. A bitmap of fixed
 size, filled from the candidates' hashes, keeps the text of the others out of that shuffle; should it fill
@@ -27,11 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import SharedBits, bitmap, blocks, cut, marked, parted, partitions, table, text_hash
 from .components import components
+from .jaccard import forest
 
 SHINGLE, LIKE, BANDS, ROWS = 8, 0.8, 10, 4
 #: Code points that are hashed at once, so that work stays in a processor's cache.
 PORTION = 1 << 17
 SEEN = 1 << 20
+#: Buckets of more lines are compared in blocks of about BLOCK lines.
+LARGE, BLOCK = 64, 256
 
 _seed = np.random.default_rng(20)
 MULTIPLIERS = (_seed.integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -111,29 +116,42 @@ def banded(docs: DataFrame) -> DataFrame:
 
 
 def candidates(bands: DataFrame) -> DataFrame:
-    """a, b: each line of a bucket with the first and with the one before it."""
+    """a, b: each line of a bucket with the first and with the one before it; and, with a band and without b, a as a
+    line of that bucket, for buckets of three lines or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band0 = first0 = last0 = None
+        rank0 = 0
         for batch in batches:
             band, line = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(band):
                 continue
-            new = np.append(True, band[1:] != band[:-1])
-            first = line[np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))]
-            before = np.append(line[:1], line[:-1])
-            if band0 == band[0]:
-                run0 = np.cumsum(new) == 1
-                first = np.where(run0, first0, first)
-                before[0], new[0] = last0, False
-            a = np.concatenate([first, before[~new]])
-            b = np.concatenate([line, line[~new]])
-            real = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[real]), pa.array(np.maximum(a, b)[real])], ["a", "b"])
-            band0, first0, last0 = band[-1], first[-1], line[-1]
+            again = np.append(band0 == band[0] and last0 == line[0], (band[1:] == band[:-1]) & (line[1:] == line[:-1]))
+            band, line = band[~again], line[~again]
+            if not len(band):
+                continue
+            new, at = np.append(band0 != band[0], band[1:] != band[:-1]), np.arange(len(band))
+            start = np.maximum.accumulate(np.where(new, at, 0))
+            first, rank, before = line[start], at - start + 1, np.append(line[:1], line[:-1])
+            if not new[0]:
+                run0 = np.cumsum(new) == 0
+                first, rank = np.where(run0, first0, first), np.where(run0, rank + rank0, rank)
+                before[0] = last0
+            met, third, more = rank > 1, rank == 3, rank >= 3
+            a, b = np.concatenate([first[met], before[more]]), np.concatenate([line[met], line[more]])
+            lines = np.concatenate([first[third], before[third], line[more]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.minimum(a, b), lines])),
+                    pa.chunked_array([pa.array(np.maximum(a, b)), pa.nulls(len(lines), pa.int64())]).combine_chunks(),
+                    pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(np.concatenate([band[third], band[third], band[more]]))]).combine_chunks(),
+                ],
+                ["a", "b", "band"],
+            )
+            band0, first0, last0, rank0 = band[-1], first[-1], line[-1], int(rank[-1])
 
     n = 2 * partitions(bands.sparkSession)
-    return bands.repartition(n, "band").sortWithinPartitions("band", "line").mapInArrow(run, "a long, b long").distinct()
+    return bands.repartition(n, "band").sortWithinPartitions("band", "line").mapInArrow(run, "a long, b long, band long").distinct()
 
 
 def texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -176,12 +194,48 @@ def verified(pairs: DataFrame, texts: DataFrame, like: float = LIKE) -> DataFram
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
+def of_large_buckets(large: DataFrame, texts: DataFrame, like: float) -> DataFrame:
+    """a, b: links that connect the lines of large buckets that are alike. large: band, line, size. Every two blocks of
+    a bucket are compared in a task of their own; only the links of a spanning forest leave it."""
+    parts = F.expr(f"cast((size - 1) div {BLOCK} + 1 as int)")
+    own = large.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")).join(texts, "line")
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "line", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        windows = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), SHINGLE) for x in t["text"].to_pylist()]
+        _, number = np.unique(np.ascontiguousarray(np.concatenate(windows)).view(f"<U{SHINGLE}").ravel(), return_inverse=True)
+        sets = [np.unique(x) for x in np.split(number, np.cumsum([len(x) for x in windows])[:-1])]
+        part, line = t["part"].to_numpy(), t["line"].to_numpy()
+        left, right = (np.flatnonzero(part == t[k][0].as_py()) for k in "ij")
+        found = np.array(forest(sets, left, right, lambda both, n: both / (n - both) >= like), np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(line[found[:, 0]]), pa.array(line[found[:, 1]])], ["a", "b"])
+
+    return met.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
+
+
+def linked(docs: DataFrame, like: float) -> DataFrame:
+    """node, root: lines that are linked with another one."""
+    met = cut(candidates(banded(docs)))
+    pairs = cut(met.where("band is null").select("a", "b"))
+    texts = cut(texts_of(docs, cut(pairs.select("a").unionAll(pairs.select("b")).distinct())))
+    links = cut(verified(pairs, texts, like))
+    roots = cut(components(links))
+    lines = met.where("band is not null").select("band", F.col("a").alias("line"))
+    own = cut(lines.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line")))
+    # buckets of one component are done
+    several = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("band", "size")
+    own = cut(own.join(several, "band"))
+    small = own.where(F.col("size") <= LARGE).drop("size")
+    others = small.select("band", F.col("line").alias("l_line"), F.col("root").alias("l_root"))
+    more = small.join(others, "band").where("line < l_line and root <> l_root").select(F.col("line").alias("a"), F.col("l_line").alias("b")).distinct()
+    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+    large = of_large_buckets(own.where(F.col("size") > LARGE), texts, like)
+    return components(cut(links.unionAll(verified(more, texts, like)).unionAll(large)))
+
+
 def dropped(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """doc_id, h, lines (numbers of those that go), one row for each document that loses any."""
-    pairs = cut(candidates(banded(docs)))
-    wanted = cut(pairs.select("a").unionAll(pairs.select("b")).distinct())
-    texts = cut(texts_of(docs, wanted))
-    roots = components(verified(pairs, texts, like))
+    roots = linked(docs, like)
     own = cut(occurrences(docs))
     classed = own.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("root", "line")).drop("line", "root")
     kept = classed.groupBy("class").agg(F.min(F.struct("doc_id", "n", "h")).alias("kept"), F.count(F.lit(1)).alias("all")).where("all > 1")

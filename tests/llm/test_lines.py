@@ -77,6 +77,23 @@ def test_query_against_brute_force(spark, sf):
         assert r.n_dropped == len(want[r.doc_id])
 
 
+def test_lines_of_one_template(spark, monkeypatch):
+    """Pairs of lines that are alike, while all lines share most of their text and so their buckets."""
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    base, rows = "x" + word(198) + "x", []
+    for k in range(150):
+        own = base + word(40)
+        rows += [(2 * k, own + word(3) + "x"), (2 * k + 1, own + word(3) + "y")]
+    want = brute(rows)
+    assert len(want) >= 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for large, block in ((64, 50), (10**6, 256)):
+        monkeypatch.setattr(lines, "LARGE", large)
+        monkeypatch.setattr(lines, "BLOCK", block)
+        assert {r.doc_id: r.lines for r in lines.dropped(docs).collect()} == want
+
+
 def test_dedup(spark):
     long = "a line that is long enough to be compared with others by its shingles, and so on for a while, up to here"
     rows = [
