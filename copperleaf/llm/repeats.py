@@ -180,20 +180,31 @@ def compared(rows: DataFrame) -> DataFrame:
     return spans.unionAll(edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(borders, SPAN))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (words, end exclusive), partner (another document that holds part of the span, the smallest one met)."""
-    found = compared(cut(kept_suffixes(docs))).groupBy("doc_id", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner"))
+def united(found: DataFrame) -> DataFrame:
+    """SPAN rows of a document that touch, as one with the smallest partner."""
     w = Window.partitionBy("doc_id").orderBy("start")  # a document's own spans
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("reach") >= F.col("start"), 0).otherwise(1)).over(w)
-    united = found.withColumn("reach", reach).withColumn("island", island)
-    return united.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner")).drop("island")
+    out = found.groupBy("doc_id", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner")).withColumn("reach", reach).withColumn("island", island)
+    return out.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner")).drop("island")
+
+
+def matched(docs: DataFrame) -> DataFrame:
+    """SPAN rows, one for each match: the partner holds the whole of it."""
+    return compared(cut(kept_suffixes(docs)))
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end (words, end exclusive), partner (another document that holds part of the span, the smallest one met)."""
+    return united(matched(docs))
 
 
 def without_repeats(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """doc_id and text of every row, spans taken out of the larger of two doc_ids; words are joined by one space there."""
-    found = spans(docs) if found is None else found
-    gone = found.where("partner < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    """doc_id and text of every row, matches taken out of the larger of two doc_ids; words are joined by one space there.
+
+    found: rows of matched(). Only words that a smaller doc_id holds go, so the smallest holder of a passage keeps it."""
+    found = matched(docs) if found is None else found
+    gone = united(found.where("partner < doc_id")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -40,6 +40,15 @@ def test_planted_passages(spark):
     assert repeats.spans(docs.selectExpr("cast(null as bigint) as doc_id", "text")).count() == 0
 
 
+def test_a_copy_of_each_passage_is_left(spark):
+    """Document 2 shares overlapping passages with a smaller and with a larger document."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(1, words[:60]), (2, words), (3, words[50:])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    left = {r.doc_id: (r.text or "").split() for r in repeats.without_repeats(docs).collect()}
+    assert left == {1: words[:60], 2: words[60:], 3: []}
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {k: set() for k, _ in rows}
