@@ -9,7 +9,9 @@ are spans; spans of a document that touch are united, so longer passages are cov
 
 Suffixes are sorted by range over all tasks: a passage that a third of all documents hold is spread over many of them
 by the words around it. Neighbours across a range's border meet afterwards: of each range, the first and the last run
-of suffixes of one document. Suffixes
+of suffixes of one document. That order knows
+the words to the right alone; where a key has several continuations, every LEAST words around a kept position are also
+compared by hash, so a passage that needs words to its left is found whatever stands between. Suffixes
 whose first words occur once are left out before the sort, by counts over all documents that reach the tasks as a
 bitmap of fixed size; bits that hashes share let some more through.
 
@@ -180,6 +182,19 @@ def compared(rows: DataFrame) -> DataFrame:
     return spans.unionAll(edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(borders, SPAN))
 
 
+def windows(rows: DataFrame) -> DataFrame:
+    """SPAN rows of LEAST words around suffixes whose neighbours may hide a match: of keys of three suffixes or more
+    that go on differently. Each suffix meets those with the same l words before and AROUND - l after, for each l."""
+    some = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("after")).alias("a"), F.max(F.xxhash64("after")).alias("z"), F.min("n_after").alias("least"))
+    own = rows.join(some.where(f"n > 2 and (a <> z or least < {AROUND})").select("key"), "key").where(f"n_before + n_after >= {AROUND}")
+    own = own.withColumn("l", F.expr(f"explode(sequence({AROUND} - n_after, n_before))"))
+    group = F.expr(f"xxhash64(key, l, substring(before, 1, 4 * l), substring(after, 1, 4 * ({AROUND} - l)))")
+    met = own.select(group.alias("g"), "doc_id", (F.col("at") - F.col("l")).cast("long").alias("start"))
+    holders = met.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
+    partner = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    return met.join(holders, "g").select("doc_id", "start", (F.col("start") + LEAST).alias("end"), partner.alias("partner"))
+
+
 def united(found: DataFrame) -> DataFrame:
     """SPAN rows of a document that touch, as one with the smallest partner."""
     w = Window.partitionBy("doc_id").orderBy("start")  # a document's own spans
@@ -191,7 +206,8 @@ def united(found: DataFrame) -> DataFrame:
 
 def matched(docs: DataFrame) -> DataFrame:
     """SPAN rows, one for each match: the partner holds the whole of it."""
-    return compared(cut(kept_suffixes(docs)))
+    rows = cut(kept_suffixes(docs))
+    return compared(rows).unionAll(windows(rows))
 
 
 def spans(docs: DataFrame) -> DataFrame:

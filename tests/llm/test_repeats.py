@@ -40,6 +40,18 @@ def test_planted_passages(spark):
     assert repeats.spans(docs.selectExpr("cast(null as bigint) as doc_id", "text")).count() == 0
 
 
+def test_passages_that_need_words_to_their_left(spark):
+    """Others that share most of a passage stand between the two documents that share the whole of it."""
+    rng, rows = random.Random(4), []
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    for n in (50, 52, 56, 60) * 5:
+        p = text(n)
+        rows += [(len(rows) + i, f"{text(30)} {p} {text(30)}") for i in range(2)]
+        rows += [(len(rows) + i, f"{text(30)} {' '.join(p.split()[-49:])} {text(30)}") for i in range(20)]
+    got = words_in(repeats.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect(), dict(rows))
+    assert got == brute(rows)
+
+
 def test_a_copy_of_each_passage_is_left(spark):
     """Document 2 shares overlapping passages with a smaller and with a larger document."""
     words = [f"w{i}" for i in range(120)]
