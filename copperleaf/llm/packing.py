@@ -4,7 +4,8 @@ Each document's ids, ended by END, are cut into pieces of WINDOW tokens and a re
 rounded up, so the histogram has WINDOW/GRAIN bins whatever the input. The combinations of one to three lengths that
 fill a window are enumerated; non-negative least squares finds how often to repeat each so that together they use up
 the histogram; the counts are rounded down, and what is left is packed greedily, longest first. That plan is a few
-hundred rows. A piece's rank among those of its length, from counts by length and hash, gives its place in the plan.
+hundred rows. Pieces carry their ids (little-endian, four bytes each), and the row of a sequence's first piece holds the
+whole sequence, padded with END. A piece's rank among those of its length, from counts by length and hash, gives its place in the plan.
 
 Tokens are read once: pieces are written to the shared folder before they are counted and placed. Ranks are taken
 within (length, hash of the piece), so that a length that a third of all pieces have is spread over all tasks.
@@ -29,7 +30,7 @@ from .common import blocks, cut, partitions, table
 
 WINDOW, GRAIN, END = 1024, 8, 0
 UNITS = WINDOW // GRAIN
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 RANKS_OF_ONE = np.int64(1) << 44  # more pieces than one length can have
 
 
@@ -41,8 +42,8 @@ def pieces(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, rank_file: str
             out: list[tuple] = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(tokens.vocabulary_ids(text, vocabulary, rank_file), np.uint32(END)).astype("<u4")
-                out += [(key, i, len(x), zlib.crc32(x.tobytes()), len(ids)) for i in range(0, len(ids), window) for x in (ids[i : i + window],)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                out += [(key, i, len(x), zlib.crc32(x.tobytes()), len(ids), x.tobytes()) for i in range(0, len(ids), window) for x in (ids[i : i + window],)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.binary()), strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 
@@ -130,7 +131,8 @@ def slots(steps: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndar
 
 
 def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, rank_file: str = tokens.RANKS) -> DataFrame:
-    """PIECE columns with sequence_id and offset."""
+    """PIECE columns but ids, with sequence_id, offset, and sequence: the ids of all its pieces and its padding, WINDOW of
+    them, in the row of offset 0, null in others."""
     spark = docs.sparkSession
     own = cut(pieces(docs, vocabulary, rank_file).withColumn("units", F.expr(f"(length + {GRAIN - 1}) div {GRAIN}")))
     histogram = np.zeros(UNITS + 1, np.int64)
@@ -150,17 +152,20 @@ def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, rank_file: str =
             key = at["units"] * RANKS_OF_ONE + at["rank"]
             i = np.searchsorted(first, key, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in range(5)), pa.array(sequence[i] + key - first[i]), pa.array(place[i])],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "place"],
+                [*(b.column(k) for k in range(6)), pa.array(sequence[i] + key - first[i]), pa.array(place[i])],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "place"],
             )
 
-    out = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "units", "rank").mapInArrow(placed, f"{PIECE}, sequence_id long, place long")
-    above = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # WINDOW rows at most
-    return out.withColumn("offset", F.coalesce(F.sum("length").over(above), F.lit(0)).cast("long")).drop("place")
+    out = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "units", "rank").mapInArrow(placed, f"{PIECE}, sequence_id long, place long")
+    held = Window.partitionBy("sequence_id").orderBy("place")  # WINDOW rows at most
+    above, every = held.rowsBetween(Window.unboundedPreceding, -1), held.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = out.withColumn("offset", F.coalesce(F.sum("length").over(above), F.lit(0)).cast("long")).withColumn("all", F.collect_list("ids").over(every))
+    joined = F.expr(f"rpad(aggregate(all, X'', (x, y) -> concat(x, y)), {4 * WINDOW}, X'{END:02x}')")
+    return out.withColumn("sequence", F.when(F.col("offset") == 0, joined)).drop("place", "ids", "all")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).drop("sequence")
 
 
 QUERIES = {"op5_packing": op5_packing}

@@ -2,7 +2,8 @@
 
 Quality rules drop documents that fail; line dedup leaves one of the lines that are equal or nearly so, and drops
 documents that keep none; the n-gram Jaccard join keeps one document of each group of near copies; secret scans mask
-what they find; packing cuts what is left into sequences, one row for each piece.
+what they find; packing cuts what is left into sequences, one row for each piece; the first piece's row holds
+the sequence's padded token ids.
 
 Each stage works on all rows that its predecessor kept. Null texts fail the quality rules; empty input gives no rows.
 """

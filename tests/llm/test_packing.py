@@ -43,6 +43,22 @@ def test_edges(spark):
     assert packing.pack(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")).count() == 2
 
 
+def test_sequences_hold_their_tokens(spark):
+    texts = {1: None, 2: "", 3: "word " * 5000, 4: "中文 it's", **{k: f"text {k} " * k for k in range(5, 60)}}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    tk, held, used = Tokenizer.from_file(tokens.VOCABULARY), {}, defaultdict(int)
+    for r in rows:
+        assert (r.sequence is None) == (r.offset > 0)
+        if r.offset == 0:
+            held[r.sequence_id] = np.frombuffer(r.sequence, "<u4")
+            assert len(held[r.sequence_id]) == packing.WINDOW
+    for r in rows:
+        ids = [*tk.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, packing.END]
+        assert held[r.sequence_id][r.offset : r.offset + r.length].tolist() == ids[r.start : r.start + r.length]
+        used[r.sequence_id] += r.length
+    assert all((x[used[k] :] == packing.END).all() for k, x in held.items())
+
+
 def test_rank_file_splits_latin_like_the_vocabulary():
     rng, tk = random.Random(3), Tokenizer.from_file(tokens.VOCABULARY)
     for _ in range(300):
