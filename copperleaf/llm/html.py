@@ -35,17 +35,21 @@ MARK = re.compile(
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 AWAY_TAGS = frozenset("nav footer header aside form menu dialog button fieldset".split())
 HERE_TAGS = frozenset("article main".split())
-AWAY_NAME = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-\w+|consent|cookies?|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|replies|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])", re.I)
+#: Their names say what a page or text is, not that it is none.
+NO_AWAY_NAME = HERE_TAGS | {"html", "body"}
+AWAY_NAME = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?(?<![a-z])(?<!\bhas[-_])(?<!\bno[-_])(?<!\bwith[-_])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-\w+|consent|cookies?|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|replies|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])", re.I)
 HERE_NAME = re.compile(r"(?:class|id|role|itemprop)\s*=\s*[\"']?[^\"'>]*?(?<![a-z])(?:article|articlebody|content|entry|main|post|story)(?![a-z])", re.I)
 TRAIN_PAGES = 1000
 #: Scores of a block inside an element that names its role; text statistics weigh about one.
 AWAY, HERE = -6.0, 2.5
+#: The same where only a class, id or role says so: the text may outvote it.
+NAMED = -1.5
 NEXT, SIBLING = 0.5, 0.7
 FEATURES = 7
 
 
 def parsed(page: str) -> list[tuple[str, int, str, int, int, int]]:
-    """(text, characters inside links, tag, role, parent, depth) of each block; role: -1 away, 1 here, 0 neither."""
+    """(text, characters inside links, tag, role, parent, depth) of each block; role: -1 away, -2 away by a name alone, 1 here, 0 neither."""
     out: list[tuple] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, role, number
     text: list[str] = []
@@ -89,8 +93,13 @@ def parsed(page: str) -> list[tuple[str, int, str, int, int, int]]:
                     stack.pop()
                 if tag != "hr":
                     role, rest, serial = stack[-1][1], m["rest"], serial + 1
-                    if tag in AWAY_TAGS and not (tag == "header" and role > 0) or rest and AWAY_NAME.search(rest):
+                    away = bool(rest and AWAY_NAME.search(rest))
+                    if tag in AWAY_TAGS and not (tag == "header" and role > 0):
                         role = -1
+                    elif away and tag not in NO_AWAY_NAME:
+                        role = role if role == -1 else -2
+                    elif role < 0 and tag in HERE_TAGS and not away:  # an article named comment stays what it lies in
+                        role = 1
                     elif role == 0 and (tag in HERE_TAGS or rest and HERE_NAME.search(rest)):
                         role = 1
                     stack.append((tag, role, serial))
@@ -117,7 +126,7 @@ def fit(pages: DataFrame, rows: int = TRAIN_PAGES) -> list[float]:
                     if x[3]:
                         f = np.array(features(x))
                         sums[:FEATURES] += np.outer(f, f)
-                        sums[FEATURES] += x[3] * f
+                        sums[FEATURES] += (1 if x[3] > 0 else -1) * f
                         sums[FEATURES + 1, int(x[3] > 0)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(sums.size)), pa.array(sums.ravel())], ["i", "v"])
 
@@ -194,7 +203,7 @@ def content_side(scores: list[float], edges: list[tuple[int, int, float]]) -> li
 
 def labelled(found: list[tuple], weights: list[float]) -> list[bool]:
     """Which blocks are content."""
-    scores = [sum(w * f for w, f in zip(weights, features(x), strict=True)) + (AWAY if x[3] < 0 else HERE * x[3]) for x in found]
+    scores = [sum(w * f for w, f in zip(weights, features(x), strict=True)) + (0.0, HERE, NAMED, AWAY)[x[3]] for x in found]
     edges, last = [], {}
     for i, x in enumerate(found):
         if i:

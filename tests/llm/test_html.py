@@ -19,6 +19,20 @@ def test_page():
     assert html.main_text(PAGE, RULE) == "Café & more\n\nFirst paragraph, with bold and a link in it. Same block.\n\nSecond one: long enough to be read, surely.\n\nShort."
 
 
+def test_names_do_not_take_pages_away():
+    text = "A paragraph of the page, long enough to be read, with commas, and then some more words."
+    for open_, close in (
+        ('<body class="has-sidebar no-comments">', "</body>"),
+        ('<body class="sidebar">', "</body>"),
+        ('<div id="page" class="with-nav">', "</div>"),
+        ('<div class="widget"><article>', "</article></div>"),
+        ('<form id="aspnet"><main>', "</main></form>"),
+        ('<div class="banner">', f"<p>{text * 8}</p></div>"),
+    ):
+        assert text in html.main_text(f"{open_}<p>{text}</p><p>{text}</p>{close}", RULE), open_
+    assert html.main_text('<div class="comments"><article class="comment"><p>Thanks, nice.</p></article></div>', RULE) == ""
+
+
 def test_edges():
     for page in (None, "", "   ", "<p></p>", "<!-- only", "<script>x</script>", "<", "<p", "</p></div>"):
         assert html.main_text(page, RULE) in ("", "<")
