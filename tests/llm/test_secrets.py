@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from copperleaf.llm import secrets
 
@@ -34,6 +35,45 @@ def test_base_spans(spark):
         assert out[i].spans == "x"
 
 
+def test_texts_of_many_matches(spark):
+    """The work follows the number of matches: 20,000 in one text."""
+    rng = random.Random(12)
+    parts = []
+    for i in range(5000):
+        hexadecimal = "".join(rng.choice("0123456789abcdef") for _ in range(34))
+        parts.append(f"é {hexadecimal} token={i:09d}x AKIA{i:016d} {'Zq7' * 8}")
+    text = "\n".join(parts)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    row = secrets.scan(docs, model=[100000] * (secrets.K + 1) ** 2).first()
+    assert [(x.s, x.k, x.e) for x in row["__base"]] == brute(text)
+    assert len(row["__added"]) == 5000 and all(text[x.s : x.e] == "Zq7" * 8 for x in row["__added"])
+    left = secrets.redact(docs, model=[100000] * (secrets.K + 1) ** 2).first().text
+    assert left == "\n".join(["é [SECRET] [SECRET] [SECRET] [SECRET]"] * 5000)
+    assert time.monotonic() - began < 60
+
+
+def test_no_python_workers(spark):
+    docs = spark.range(5).selectExpr("id as doc_id", "'token=abcdefgh1' as text")
+    plan = secrets.redact(docs, model=[0] * (secrets.K + 1) ** 2)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|InPandas", plan)
+
+
+def test_added_spans_overlap_no_base_spans(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(200):
+        base = sorted((s, rng.randrange(3), s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randrange(8))))
+        more, at = [], 0
+        while (at := at + rng.randrange(0, 9)) < 60:
+            more.append((at, 3, at + rng.randrange(1, 6)))
+            at = more[-1][2]
+        rows.append((i, base, more))
+    df = spark.createDataFrame(rows, f"i long, base array<{secrets.SPAN}>, more array<{secrets.SPAN}>")
+    for r in df.withColumn("free", secrets.free("base", "more")).collect():
+        assert r.free == [m for m in r.more if not any(b.s < m.e and m.s < b.e for b in r.base)]
+
+
 def test_query_against_brute_force(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = secrets.op1_secret_scans(spark, sf).collect()
