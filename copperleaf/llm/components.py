@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _mirrored(edges: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             roots = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
             return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-        now = cut(_star(_star(now, True), False))
+        last, now = now, cut(_star(_star(now, True), False))
+        discard(last)

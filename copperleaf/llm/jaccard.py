@@ -8,18 +8,21 @@ there, so with m hash classes of tokens two of them are in one class: pairs of o
 depends on the size only; sizes of partners differ by a factor of 4/3 at most, so each node indexes pairs for the size
 step of its own and the next one.
 
-Sets are made once and written to the shared folder, 48 bits of each hash (two sets of 20,000 shingles agree by chance
-in one shingle with a probability of 1e-6). Which tokens are frequent (FREQUENT nodes or more, counted once in a task)
-and which occur once is counted over the prefixes of all documents; the counts reach the tasks as two bitmaps of fixed
-size. Bits that tokens share change the amount of work, never the result. Nodes index their prefixes only, so a token
-that no other node indexes may still lie in other sets: it bounds nothing. Before sets are compared, their sizes and
-then counts of their tokens by hash range bound the overlap exactly, at a sixteenth of the bytes.
+Sets are made once and written to the shared folder. Which tokens are frequent (FREQUENT nodes or more, counted once in
+a task) is counted in two passes: the first p tokens by hash of every node, then, of nodes that have frequent ones there,
+those that may move up into their place. A third pass counts the rare tokens of the prefixes. Any class would give the same result; this one keeps index groups small. The
+class reaches the tasks as a bitmap whose size is bounded: where it would grow beyond that, only more frequent tokens
+are in it. A second bitmap keeps tokens that one node alone indexes out of the shuffle, as long as their number allows
+one. A node's number is a 64-bit hash of its set; sets of one number and another second hash are told apart.
 
 In each index group the nodes are ranked, those with the fewest rare tokens first. The first one meets all others of
-the group, the links are verified and united; then only groups with several components remain, where nodes meet the
-members of other components. Groups of more than LARGE nodes, as near copies of one text make them, are compared in
-blocks of bounded size, which give a spanning forest of their links instead of pairs. Nothing is capped: no pair that
-could link two components is left untested.
+the group, the links are verified and united, and it leaves the group: it has met everyone there. Groups whose nodes are
+one component by then are done, which is what becomes of the near copies of one text however many they are. In small
+groups that are still open, nodes meet the members of other components. In large ones (more than LARGE nodes) another
+node leads, outside the group's largest component, as long as that shrinks the rest; what is left outside is compared
+with the group in blocks of bounded size, which give a spanning forest of their links instead of pairs. Nothing is
+capped: no pair that could link two components is left untested. Before sets are compared, their sizes and then counts
+of their tokens by hash range bound the overlap, at a sixteenth of the bytes.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; with fewer than five
 words the whole sequence is the one shingle; repeated rows stay rows, equal texts are one component; an empty table
@@ -37,20 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SharedBits, bit_of, bitmap, blocks, count_bits, cut, in_ranges, marked, parted, partitions, range_bits, table, text_hash
+from .common import MOST_BITS, PER_KEY, Marks, blocks, cut, discard, parted, partitions, repeated, small_batches, table, tallied, text_hash
 from .components import components
 
 WORDS = 5
 FREQUENT = 24
 SEEN = 1 << 18
-#: Rows that go to a Python worker at once.
-BATCH = 1000
-#: Bytes kept of a token.
-KEPT = 6
-#: Ranks that meet the rest of their group in each round; the last round takes all.
-ROUNDS = (1, None)
 #: Groups of more nodes are compared in blocks of about BLOCK nodes, COLUMNS tokens at once.
 LARGE, BLOCK, COLUMNS = 64, 256, 4096
+#: A further round of leaders is worth it while it leaves this share of the nodes outside, or less.
+SHRINKS = 0.8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,12 +77,13 @@ def shingles(text: str | None, known: WordHashes) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def node_of(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes(), len(tokens)) - (1 << 63)
+def node_of(tokens: np.ndarray, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed) - (1 << 63)
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), node, n (size) of every row; tokens (the set, KEPT bytes each), null where the task has met the node before."""
+    """doc_id, h (hash of the text), node and check (hashes of the set), n (its size) of every row; tokens (the set, eight
+    bytes each), null where the task has met the node before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -91,26 +91,31 @@ def stored(docs: DataFrame) -> DataFrame:
             known, out = WordHashes(), []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tokens = shingles(text, known)
-                node = node_of(tokens)
-                raw = None
-                if node not in seen and len(tokens):
-                    seen.add(node)
-                    raw = tokens.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes()
-                out.append((key, text_hash(text), node, len(tokens), raw))
+                node, check, raw = node_of(tokens), node_of(tokens, 1), None
+                if node ^ check not in seen and len(tokens):
+                    seen.add(node ^ check)
+                    raw = tokens.tobytes()
+                out.append((key, text_hash(text), node, check, len(tokens), raw))
             if len(seen) > SEEN:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], ["doc_id", "h", "node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.binary()), strict=True)], ["doc_id", "h", "node", "check", "n", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h long, node long, n long, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h long, node long, check long, n long, tokens binary")
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows, where nodes of one number and different second hashes get numbers of their own. Hardly ever are there any."""
+    clash = cut(rows.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("node", "lo"))
+    if clash.isEmpty():
+        return rows
+    own = F.when(F.col("check") > F.col("lo"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return cut(rows.join(clash, "node", "left").withColumn("node", own).select(*rows.columns))
 
 
 def tokens_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of a column of sets, one set after the other, and where each set begins (one entry more than sets)."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, KEPT)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, 8 - KEPT :] = raw
-    return wide.view(np.uint64).ravel(), (ends - ends[0]) // KEPT
+    return np.frombuffer(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].tobytes(), np.uint64), (ends - ends[0]) // 8
 
 
 def places(chosen: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -124,37 +129,53 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - (3 * n + 3) // 4 + 1
 
 
-def counted(rows: DataFrame, frequent=None, entered: bool = False) -> list[np.ndarray]:
-    """Bitmaps over the prefix tokens of all sets: those of two or more, and those of FREQUENT or more.
+def first_of(kind: np.ndarray, begin: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The tokens of a kind that are among the first `most` ones of it in their set."""
+    return kind & (places(kind, begin) < np.repeat(most, np.diff(begin)))
 
-    With the class of frequent tokens, the rare ones of the prefixes are counted; entered: only those that lie there
-    because frequent ones before them left."""
-    bits = range_bits(rows.sparkSession)
 
-    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "tokens", 2 << 20):
-            tokens, begin = tokens_in(b.column(0))
-            n = np.diff(begin)
-            of, p = np.repeat(np.arange(len(n)), n), prefix_size(n)
-            rare = np.ones(len(tokens), bool) if frequent is None else ~marked(frequent.value, bit_of(tokens))
-            chosen = rare & (places(rare, begin) < p[of]) & (n > 2)[of]
-            if entered:
-                chosen &= np.arange(len(tokens)) - begin[:-1][of] >= p[of]
-            yield in_ranges(tokens[chosen], bits)
+def moving_up(tokens: np.ndarray, begin: np.ndarray, frequent: Marks) -> np.ndarray:
+    """Tokens that may come into a prefix for frequent ones there, twice as many as those."""
+    n, rare = np.diff(begin), ~frequent.of(tokens)
+    of, p = np.repeat(np.arange(len(n)), n), prefix_size(n)
+    first = first_of(np.ones(len(tokens), bool), begin, p)
+    lost = np.bincount(of[first & ~rare], minlength=len(n))
+    return first_of(rare, begin, (p + lost) * (lost > 0)) & ~first
+
+
+def prefixes(rows: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """key, n: the chosen ones of the tokens of all nodes, tallied. Nodes of one or two tokens have only equal partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keys() -> Iterator[np.ndarray]:
+            for b in blocks(batches, "tokens", 1 << 20):
+                tokens, begin = tokens_in(b.column(0))
+                n = np.diff(begin)
+                yield tokens[chosen(tokens, begin) & np.repeat(n > 2, n)]
+
+        yield from tallied(keys())
 
-    return count_bits(rows.select("tokens").where("tokens is not null").mapInArrow(tokens_of, "range int, tokens binary"), 2, FREQUENT)
+    return rows.select("tokens").where("tokens is not null").mapInArrow(run, "key long, n long")
 
 
-def frequent_class(rows: DataFrame):
-    """The bitmap of the frequent class, on the executors. As frequent tokens leave the prefixes others enter; they are
-    counted in their turn until none of them is frequent."""
-    bits = counted(rows)[1]
-    while True:
-        shared = SharedBits(rows.sparkSession, bits)
-        more = counted(rows, shared, entered=True)[1]
-        if not (more & ~bits).any():
-            return shared
-        bits = bits | more
+def bound_of(counts: DataFrame) -> int:
+    """FREQUENT, or the least power of two beyond it that leaves no more tokens than a bitmap holds."""
+    sizes = counts.where(F.col("n") >= FREQUENT).groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect()  # 64 rows
+    bound = FREQUENT
+    while sum(r["count"] for r in sizes if 2 << r.power > bound) * PER_KEY > MOST_BITS:
+        bound = 1 << bound.bit_length()
+    return bound
+
+
+def token_classes(rows: DataFrame) -> tuple[Marks, Marks]:
+    """The frequent class, and the rare tokens that two nodes or more index."""
+    often = lambda counts: counts.where(F.col("n") >= bound_of(counts)).select("key")
+    first = repeated(prefixes(rows, lambda _, begin: first_of(np.ones(begin[-1], bool), begin, prefix_size(np.diff(begin)))), FREQUENT)
+    some = Marks(cut(often(first)))
+    more = repeated(prefixes(rows, lambda tokens, begin: moving_up(tokens, begin, some)), FREQUENT)
+    frequent = Marks(cut(often(first.unionAll(more))))
+    twice = repeated(prefixes(rows, lambda tokens, begin: first_of(~frequent.of(tokens), begin, prefix_size(np.diff(begin)))))
+    return frequent, Marks(twice.select("key"))
 
 
 def size_step(n: int) -> int:
@@ -173,18 +194,17 @@ def pair_keys(tokens: np.ndarray, step: int, classes: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def index(rows: DataFrame, frequent, two) -> DataFrame:
+def index(rows: DataFrame, frequent: Marks, twice: Marks) -> DataFrame:
     """key, rank, node, n, rare (rare tokens of its prefix): groups of two or more nodes, ranked from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "tokens", 2 << 20):
+        for b in blocks(batches, "tokens", 1 << 20):
             tokens, begin = tokens_in(b.column(2))
             n = np.diff(begin)
             of, p = np.repeat(np.arange(len(n)), n), prefix_size(n)
-            bit = bit_of(tokens)
-            rare = ~marked(frequent.value, bit)
+            rare = ~frequent.of(tokens)
             first = rare & (places(rare, begin) < p[of]) & (n > 2)[of]  # partners of one or two tokens are equal
-            single = first & marked(two.value, bit)
+            single = first & twice.of(tokens)
             keys, owners = [tokens[single]], [of[single]]
             n_rare = np.bincount(of[rare], minlength=len(n))
             for i in np.flatnonzero((n_rare < p) & (n > 2)).tolist():
@@ -233,12 +253,12 @@ def index(rows: DataFrame, frequent, two) -> DataFrame:
 
 
 def of_nodes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, tokens of the nodes in wanted (one column) and, where bits are shared, of some others."""
-    bits = SharedBits(rows.sparkSession, bitmap(wanted))
+    """node, tokens of the nodes in wanted (one column, written by cut()) and, where bits are shared, of some others."""
+    marks = Marks(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(marked(bits.value, b.column(0).to_numpy())))
+            yield b.filter(pa.array(marks.of(b.column(0).to_numpy())))
 
     return rows.select("node", "tokens").where("tokens is not null").mapInArrow(run, "node long, tokens binary")
 
@@ -252,7 +272,7 @@ def profile(tokens: np.ndarray) -> bytes:
 
 def profiles(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "tokens", 2 << 20):
+        for b in blocks(batches, "tokens", 1 << 20):
             tokens, begin = tokens_in(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([profile(tokens[a:z]) for a, z in zip(begin[:-1], begin[1:], strict=True)], pa.binary()), pa.array(np.diff(begin))], ["node", "profile", "n"])
 
@@ -332,68 +352,97 @@ def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, alike: C
 
 
 def of_large_groups(large: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b: links that connect the linked nodes of large groups. Groups that share nodes are one cluster; a cluster is
-    cut into blocks of about BLOCK nodes, and every two blocks are compared in a task of their own, set by set, by a
-    product of matrices. Only the links of a spanning forest leave the task."""
-    tied = large.join(large.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").distinct()
-    clusters = cut(components(tied)).withColumnRenamed("root", "cluster")
-    parts = clusters.groupBy("cluster").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias("parts"))
-    sets = of_nodes(rows, clusters.select("node")).groupBy("node").agg(F.first("tokens").alias("tokens"))
-    own = clusters.join(parts, "cluster").join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "tokens")
+    """a, b: links that connect the linked nodes of large groups. large: key, node, outside (whether the node is outside the
+    group's largest component). Every two blocks, one of nodes outside and one of all, are compared in a task of their own,
+    set by set, by a product of matrices; only the links of a spanning forest leave the task."""
+    size = large.groupBy("key").agg(*(F.expr(f"cast(({n} - 1) div {BLOCK} + 1 as int)").alias(k) for k, n in (("lefts", "count_if(outside)"), ("rights", "count(*)"))), F.sum(F.xxhash64("node", "outside").cast("decimal(38,0)")).alias("same"), F.count(F.lit(1)).alias("all"))
+    size = size.dropDuplicates(["same", "all"]).drop("same", "all")  # groups of the same nodes are compared once
+    wanted = cut(large.select("node").distinct())
+    sets = of_nodes(rows, wanted).groupBy("node").agg(F.first("tokens").alias("tokens"))
+    own = large.join(size, "key")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = own.where("outside").select("key", part("lefts").alias("i"), every("rights").alias("j"), F.lit(True).alias("left"), "node")
+    right = own.select("key", every("lefts").alias("i"), part("rights").alias("j"), F.lit(False).alias("left"), "node")
+    met = left.unionAll(right).join(sets, "node")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         tokens, begin = tokens_in(t["tokens"].chunk(0))
         sets = [tokens[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
-        part, i, j = t["part"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
-        node = t["node"].to_numpy()
-        found = np.array(forest(sets, np.flatnonzero(part == i), np.flatnonzero(part == j)), np.int64).reshape(-1, 2)
+        side, node = t["left"].to_numpy(), t["node"].to_numpy()
+        found = np.array(forest(sets, np.flatnonzero(side), np.flatnonzero(~side)), np.int64).reshape(-1, 2)
         return pa.Table.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["a", "b"])
 
-    return met.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
+    return met.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
+
+
+def still_open(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of groups with their root, of groups that hold several components."""
+    own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return cut(own.join(several, "key", "left_semi"))
+
+
+def outsiders(large: DataFrame) -> DataFrame:
+    """The rows of large groups (see still_open()) with outside."""
+    of = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    return cut(large.join(of, "key").withColumn("outside", F.col("root") != F.col("main")).drop("main"))
 
 
 def linked(rows: DataFrame) -> DataFrame:
     """node, root: nodes that are linked with another one. rows: see stored()."""
-    frequent = frequent_class(rows)
-    twice = SharedBits(rows.sparkSession, counted(rows, frequent)[0])
-    indexed = cut(index(rows, frequent, twice))
+    indexed = cut(index(rows, *token_classes(rows)))
     size = indexed.groupBy("key").agg(F.max("rank").alias("size"))
-    every = cut(indexed.select("key", "rank", "node", "n").join(size, "key"))
-    groups = every.where(F.col("size") <= LARGE).drop("size")
-    links = cut(of_large_groups(every.where(F.col("size") > LARGE), rows))
-    roots = cut(components(links))
-    facts = cut(profiles(of_nodes(rows, groups.select("node").distinct())))
-    tested, low = None, 1
-    for high in ROUNDS:
-        # groups of one component are done
-        own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_keys = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        own = cut(own.join(open_keys, "key", "left_semi"))
-        leads = own.where(F.col("rank").between(low, high or 2**31 - 1)).select("key", *(F.col(c).alias(f"l_{c}") for c in ("rank", "node", "n", "root")))
-        near = F.expr("175L * least(n, l_n) >= 75L * (n + l_n)")
-        met = leads.join(own, "key").where((F.col("rank") > F.col("l_rank")) & (F.col("root") != F.col("l_root")) & near)
-        pairs = met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs
+    groups = cut(indexed.join(size, "key"))
+    discard(indexed)
+    facts = cut(profiles(of_nodes(rows, cut(groups.select("node").distinct()))))
+    near = F.expr("175L * least(n, l_n) >= 75L * (n + l_n)")
+    as_leader = [F.col(c).alias(f"l_{c}") for c in ("node", "n", "root")]
+
+    def tested(met: DataFrame) -> DataFrame:
+        """a, b: the linked ones among pairs of rows of one group."""
+        pairs = cut(met.where((F.col("root") != F.col("l_root")) & near).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct())
         likely = cut(plausible(pairs, facts))
-        links = cut(links.unionAll(verified(likely, of_nodes(rows, likely.select("a").unionAll(likely.select("b"))))))
+        ends = cut(likely.select("a").unionAll(likely.select("b")).distinct())
+        out = cut(verified(likely, of_nodes(rows, ends)))
+        discard(pairs, likely, ends)
+        return out
+
+    with_root = groups.withColumn("root", F.col("node"))
+    links = tested(with_root.where("rank = 1").select("key", *as_leader).join(with_root.where("rank > 1"), "key"))
+    roots = cut(components(links))
+    own = still_open(groups.where("rank > 1"), roots)
+
+    small = own.where(F.col("size") <= LARGE)
+    more = small.select("key", F.col("rank").alias("l_rank"), *as_leader).join(small, "key").where("rank > l_rank")
+    links = links.unionAll(tested(more))
+
+    large, before = outsiders(own.where(F.col("size") > LARGE)), None
+    while (outside := large.where("outside").count()) and (before is None or outside <= SHRINKS * before):
+        before = outside
+        leads = large.where("outside").groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.struct("rank", "node")).alias("lead"))
+        leads = cut(leads.select("key", *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("node", "n", "root"))))
+        links = links.unionAll(tested(large.join(leads, "key")))
         roots = cut(components(links))
-        low = (high or 0) + 1
+        others = large.join(leads, (large["key"] == leads["key"]) & (large["node"] == leads["l_node"]), "left_anti").drop("root", "outside")
+        large = outsiders(still_open(others, roots))
+    if outside:
+        links = links.unionAll(cut(of_large_groups(large.select("key", "node", "outside"), rows)))
+    roots = cut(components(cut(links)))
+    discard(groups, own, facts, large)
     return roots
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, h, n_shingles, component_id of every row."""
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"  # sets are large rows: fewer of them at once
-    docs.sparkSession.conf.set(batch, min(BATCH, int(docs.sparkSession.conf.get(batch))))
-    rows = cut(stored(docs))
-    roots = linked(rows)
+    with small_batches(docs.sparkSession, "4m"):  # sets are large rows
+        rows = told_apart(cut(stored(docs)))
+        roots = linked(rows)
     rows = rows.select("doc_id", "h", "node", F.col("n").alias("n_shingles"))
     classed = rows.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     least = classed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = classed.join(least, "class", "left")
+    out = classed.join(cut(least), "class", "left")  # written, so that a class of many documents can be split
     return out.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -9,13 +9,14 @@ lines made from one template do, are tested whole: lines of different components
 than LARGE lines by blocks of bounded size, which give a spanning forest of their links. No pair of a bucket that could
 link two components is left untested. Of each component the occurrence of smallest (doc_id, line number) stays.
 
-What is shuffled: 64-bit hashes of lines and bands, and the text of lines that are candidates only. A bitmap of fixed
-size, filled from the candidates' hashes, keeps the text of the others out of that shuffle; should it fill
-up, more text is shuffled and the result is the same. Bitmaps are the only thing broadcast. Buckets are streamed in
-sorted order, so a line that a third of all rows hold needs no memory.
-
-Defined results: a null or empty text has no lines and stays as it is, and so does a row without doc_id; rows of equal doc_id and text are one document
-and treated alike; an empty table gives no rows; other columns are kept by dedup(); lines of any length are read whole.
+What is shuffled: 64-bit hashes of lines and bands, and the text of lines that are candidates only. A bitmap of the
+candidates' hashes keeps the text of the others out of that shuffle, as long as their number allows one; results are the
+same without it. Buckets are streamed in sorted order, so a line that a third of all rows hold needs no memory. Lines
+count as equal when two hashes of 64 bits are: should unequal lines share the first one, the second keeps them apart.
+
+Defined results: a null or empty text has no lines and stays as it is, and so does a row without doc_id; rows of equal
+doc_id and text are one document and treated alike, rows of equal doc_id and different texts stay apart; an empty table
+gives no rows; other columns are kept by dedup(); lines of any length are read whole.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SharedBits, bitmap, blocks, cut, marked, parted, partitions, table, text_hash
+from .common import Marks, blocks, cut, discard, parted, partitions, table, text_hash
 from .components import components
 from .jaccard import forest
 
@@ -49,16 +51,26 @@ def worded(text: str | None) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n")) if x.strip(" \t\n\x0b\x0c\r")] if text else []
 
 
+def check_hash(text: str) -> int:
+    """A second hash, which tells unequal texts of equal text_hash() apart."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), 1) - (1 << 63)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), n (line number), line (its hash)."""
+    """doc_id, h (hash of the text), n (line number), line and check (its hashes); and one row for each document, which has
+    the number of its lines as n and no line. Rows without doc_id have that row only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            rows = [(k, i, j, text_hash(x)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i in (text_hash(t),) for j, x in worded(t)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "h", "n", "line"])
+            rows = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h, own = text_hash(text), worded(text)
+                rows.append((key, h, len(own), None, None))
+                if key is not None:
+                    rows += [(key, h, i, text_hash(x), check_hash(x)) for i, x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "h", "n", "line", "check"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h long, n long, line long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h long, n long, line long, check long")
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -155,8 +167,8 @@ def candidates(bands: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """line, text: once for each hash in lines (one column)."""
-    shared = SharedBits(docs.sparkSession, bitmap(lines))
+    """line, text, check: once for each hash in lines (one column, written by cut())."""
+    wanted = Marks(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -166,32 +178,64 @@ def texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
                 for _, x in worded(text):
                     found[text_hash(x)] = x
             keys = np.fromiter(found, np.int64, len(found))
-            keys = [k for k in keys[marked(shared.value, keys)].tolist() if k not in seen]
+            keys = [k for k in keys[wanted.of(keys)].tolist() if k not in seen]
             seen.update(keys)
             if len(seen) > SEEN:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([found[k] for k in keys], pa.string())], ["line", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([found[k] for k in keys], pa.string()), pa.array([check_hash(found[k]) for k in keys], pa.int64())], ["line", "text", "check"])
 
-    return docs.select("text").mapInArrow(run, "line long, text string").join(lines.toDF("line"), "line", "left_semi").groupBy("line").agg(F.first("text").alias("text"))
+    every = docs.select("text").mapInArrow(run, "line long, text string, check long")
+    return every.join(lines.toDF("line"), "line", "left_semi").groupBy("line").agg(F.min_by("text", "check").alias("text"), F.min("check").alias("check"))
 
 
-def jaccard(a: str, b: str) -> float:
-    x = {a[i : i + SHINGLE] for i in range(len(a) - SHINGLE + 1)}
-    y = {b[i : i + SHINGLE] for i in range(len(b) - SHINGLE + 1)}
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def shingled(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct shingles of each line, sorted, one line after the other, and where each line begins (one
+    entry more than lines). Equal numbers are equal shingles, compared whole. Lines have SHINGLE characters at least."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    present = np.zeros(int(c.max()) + 1, bool)
+    present[c] = True
+    here = (np.cumsum(present) - 1)[c]  # characters of these lines, numbered
+    at = np.repeat(np.cumsum(n) - n, n - SHINGLE + 1) + np.arange(int((n - SHINGLE + 1).sum())) - np.repeat(np.cumsum(n - SHINGLE + 1) - (n - SHINGLE + 1), n - SHINGLE + 1)
+    bits, width = int(here.max()).bit_length(), 1
+    grams = here.astype(np.uint64)
+    while width < SHINGLE:
+        if bits * 2 > 64:  # too many kinds of characters: pairs of halves are numbered first
+            grams = np.unique(grams, return_inverse=True)[1].astype(np.uint64)
+            bits = int(grams.max()).bit_length()
+        grams = grams[:-width] << np.uint64(bits) | grams[width:]
+        bits, width = bits * 2, width * 2
+    values, number = np.unique(grams[at], return_inverse=True)
+    own = np.unique(np.repeat(np.arange(len(lines)), n - SHINGLE + 1) * len(values) + number)
+    return own % len(values), np.searchsorted(own, np.arange(len(lines) + 1) * len(values))
+
+
+def shingles(x: str) -> set[str]:
+    return {x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)}
 
 
 def verified(pairs: DataFrame, texts: DataFrame, like: float = LIKE) -> DataFrame:
-    """The pairs a, b whose lines are alike."""
+    """The pairs a, b whose lines are alike. Rows come by a, whose shingles are made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, set()
         for batch in batches:
-            keep = [jaccard(x, y) >= like for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = []
+            for a, x, y in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if a != last:
+                    last, own = a, shingles(x)
+                fine = len(y) - SHINGLE + 1 >= like * len(own)  # fewer can't be enough
+                if fine:
+                    other = shingles(y)
+                    fine = len(own) >= like * len(other)
+                if fine:
+                    both = len(own & other)
+                    fine = both / (len(own) + len(other) - both) >= like
+                keep.append(fine)
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     side = lambda k: texts.select(F.col("line").alias(k), F.col("text").alias(f"{k}_text"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
 def of_large_buckets(large: DataFrame, texts: DataFrame, like: float) -> DataFrame:
@@ -202,9 +246,8 @@ def of_large_buckets(large: DataFrame, texts: DataFrame, like: float) -> DataFra
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "line", "text")
 
     def run(t: pa.Table) -> pa.Table:
-        windows = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), SHINGLE) for x in t["text"].to_pylist()]
-        _, number = np.unique(np.ascontiguousarray(np.concatenate(windows)).view(f"<U{SHINGLE}").ravel(), return_inverse=True)
-        sets = [np.unique(x) for x in np.split(number, np.cumsum([len(x) for x in windows])[:-1])]
+        shingle, begin = shingled(t["text"].to_pylist())
+        sets = np.split(shingle, begin[1:-1])
         part, line = t["part"].to_numpy(), t["line"].to_numpy()
         left, right = (np.flatnonzero(part == t[k][0].as_py()) for k in "ij")
         found = np.array(forest(sets, left, right, lambda both, n: both / (n - both) >= like), np.int64).reshape(-1, 2)
@@ -214,9 +257,9 @@ def of_large_buckets(large: DataFrame, texts: DataFrame, like: float) -> DataFra
 
 
 def linked(docs: DataFrame, like: float) -> DataFrame:
-    """node, root: lines that are linked with another one."""
+    """node, check, root: lines that are linked with another one."""
     met = cut(candidates(banded(docs)))
-    pairs = cut(met.where("band is null").select("a", "b"))
+    pairs = met.where("band is null").select("a", "b")
     texts = cut(texts_of(docs, cut(pairs.select("a").unionAll(pairs.select("b")).distinct())))
     links = cut(verified(pairs, texts, like))
     roots = cut(components(links))
@@ -224,23 +267,40 @@ def linked(docs: DataFrame, like: float) -> DataFrame:
     own = cut(lines.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line")))
     # buckets of one component are done
     several = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("band", "size")
-    own = cut(own.join(several, "band"))
-    small = own.where(F.col("size") <= LARGE).drop("size")
+    left = cut(own.join(several, "band"))
+    discard(own)
+    small = left.where(F.col("size") <= LARGE).drop("size")
     others = small.select("band", F.col("line").alias("l_line"), F.col("root").alias("l_root"))
     more = small.join(others, "band").where("line < l_line and root <> l_root").select(F.col("line").alias("a"), F.col("l_line").alias("b")).distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    large = of_large_buckets(own.where(F.col("size") > LARGE), texts, like)
-    return components(cut(links.unionAll(verified(more, texts, like)).unionAll(large)))
+    large = of_large_buckets(left.where(F.col("size") > LARGE), texts, like)
+    links = cut(links.unionAll(verified(more, texts, like)).unionAll(large))
+    discard(met, left, more)
+    return components(links).join(texts.select(F.col("line").alias("node"), "check"), "node")
 
 
-def dropped(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """doc_id, h, lines (numbers of those that go), one row for each document that loses any."""
-    roots = linked(docs, like)
+def classed(own: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, h, n of the lines in own (see occurrences()), with class and side: lines of equal class and side are alike.
+    roots: line, check, root."""
+    both = own.where("line is not null").join(roots, ["line", "check"], "left")
+    return both.select("doc_id", "h", "n", F.coalesce("root", "line").alias("class"), F.when(F.col("root").isNull(), F.col("check")).otherwise(0).alias("side"))
+
+
+def judged(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """doc_id, h, n_lines, lines (numbers of those that go, null where none does): one row for each of docs."""
+    roots = cut(linked(docs, like).select(F.col("node").alias("line"), "check", "root"))
     own = cut(occurrences(docs))
-    classed = own.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("root", "line")).drop("line", "root")
-    kept = classed.groupBy("class").agg(F.min(F.struct("doc_id", "n", "h")).alias("kept"), F.count(F.lit(1)).alias("all")).where("all > 1")
-    gone = classed.join(kept, "class").where("doc_id <> kept.doc_id or n <> kept.n or h <> kept.h")
-    return gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("n")).alias("lines"))
+    lines = cut(classed(own, roots))
+    kept = lines.groupBy("class", "side").agg(F.min(F.struct("doc_id", "n", "h")).alias("kept"), F.count(F.lit(1)).alias("all")).where("all > 1").drop("all")
+    # written, so that both sides of the join are shuffled for it and a class of many lines can be split
+    gone = lines.join(cut(kept), ["class", "side"]).where("doc_id <> kept.doc_id or n <> kept.n or h <> kept.h")
+    gone = gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("n")).alias("lines"))
+    return own.where("line is null").select("doc_id", "h", F.col("n").alias("n_lines")).join(gone, ["doc_id", "h"], "left")
+
+
+def dropped(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """doc_id, h, lines (numbers of those that go), one row for each distinct document that loses any."""
+    return judged(docs, like).where("lines is not null").select("doc_id", "h", "lines").dropDuplicates(["doc_id", "h"])
 
 
 def dedup(docs: DataFrame, like: float = LIKE) -> DataFrame:
@@ -276,11 +336,8 @@ def dedup(docs: DataFrame, like: float = LIKE) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped and the dropped lines' numbers of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = dropped(docs).groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("lines"))
-    n_lines = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("(?dm)^[^\n]*?[^ \\x09-\\x0D][^\n]*$")), F.lit(0))).cast("long").alias("n_lines"))
-    out = n_lines.join(gone, "doc_id", "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.array_sort("lines").cast("array<string>"), ","), F.lit("")).alias("dropped"))
+    out = judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.col("lines").cast("array<string>"), ","), F.lit("")).alias("dropped"))
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}

@@ -3,21 +3,24 @@
 The suffix array is sparse: of all suffixes (from a word to the end of its document) only those at minimiser positions
 are kept, where an 8-word window has the smallest hash among WINDOW windows in a row. So a passage that repeats keeps
 the same positions everywhere, and the first of them leaves SAME words of a passage of LEAST. Suffixes are sorted by
-the hash of their first SAME words, then by the words after those; neighbours in that order, of different documents,
-are compared, and their match is extended word by word to the right and to the left. Matches of LEAST words or more
-are spans; spans of a document that touch are united, so longer passages are covered from position to position.
-
-Suffixes are sorted by range over all tasks: a passage that a third of all documents hold is spread over many of them
-by the words around it. Neighbours across a range's border meet afterwards: of each range, the first and the last run
-of suffixes of one document. That order knows
-the words to the right alone; where a key has several continuations, every LEAST words around a kept position are also
-compared by hash, so a passage that needs words to its left is found whatever stands between. Suffixes
-whose first words occur once are left out before the sort, by counts over all documents that reach the tasks as a
-bitmap of fixed size; bits that hashes share let some more through.
+the hash of their first SAME words, then by the words after those, then by the words before; neighbours in that order, of
+different documents, are compared, and their match is extended word by word to the right and to the left. Matches of
+LEAST words or more are spans; spans of a document that touch are united, so longer passages are covered from position
+to position.
+
+The order knows the words to the right best. A passage that needs words to its left may have other documents between its
+two holders, so all suffixes of a key are also compared in windows: every LEAST words around a kept position, by hash.
+Suffixes are dealt by key and read as a stream, a key at a time; keys of more than HOT suffixes, as a passage makes them
+that a third of all documents hold, are instead sorted by range over all tasks, spread by the words around them. There
+neighbours across a range's border meet afterwards (of each range, the first and the last run of suffixes of one
+document), and windows are grouped by Spark.
+
+Suffixes whose first words occur once are left out before the sort, by counts over all documents: in the tasks that make
+them by a bitmap, as long as their number allows one, otherwise by a join with the counts.
 
 Words are maximal runs of anything but space and \\x09-\\x0D, compared by hash (64 bits for the first SAME, 32 for each
-word after). Defined results: null, empty and short texts have no spans, rows without doc_id take no part; a repeat within one doc_id alone is none; an
-empty table gives no rows; other columns are ignored; texts of any length are read whole.
+word after). Defined results: null, empty and short texts have no spans, rows without doc_id take no part; a repeat within
+one doc_id alone is none; an empty table gives no rows; other columns are ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -29,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SharedBits, bit_of, blocks, count_bits, cut, in_ranges, marked, partitions, range_bits, table
+from .common import Marks, blocks, cut, partitions, repeated, table, tallied
 from .jaccard import WordHashes, mixed
 
 LEAST, WINDOW, SAME = 50, 19, 32
 AROUND = LEAST - SAME  # words on either side that can make a match long enough
+#: Keys of more suffixes are sorted over all tasks.
+HOT = 1 << 14
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SUFFIX = "key long, after binary, doc_id long, at int, before binary, n_before int, n_after int"
+ORDER = ("key", "after", "before", "doc_id", "at")
 SPAN = "doc_id long, start long, end long, partner long"
 
 
@@ -71,20 +77,20 @@ def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarr
 
 
 def kept_suffixes(docs: DataFrame) -> DataFrame:
-    """SUFFIX rows whose first words occur twice or more."""
+    """SUFFIX rows whose first words occur twice or more, with hot: whether they occur more than HOT times (if many keys
+    do, some others may be taken for hot)."""
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = range_bits(docs.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, begin in words_of(batches):
-            yield in_ranges(suffixes(words, begin)[1], bits)
+        yield from tallied(suffixes(words, begin)[1] for _, words, begin in words_of(batches))
 
-    twice = SharedBits(docs.sparkSession, count_bits(own.mapInArrow(keys, "range int, tokens binary"), 2)[0])
+    counts = repeated(own.mapInArrow(keys, "key long, n long"))
+    twice, hot = Marks(counts.select("key")), Marks(cut(counts.where(F.col("n") > HOT).select("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, words, begin in words_of(batches):
             at, key, doc = suffixes(words, begin)
-            m = marked(twice.value, bit_of(key))
+            m = twice.of(key)
             at, key, doc = at[m], key[m], doc[m]
             if not len(at):
                 continue
@@ -95,11 +101,12 @@ def kept_suffixes(docs: DataFrame) -> DataFrame:
             raw = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * AROUND), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
             n_before, n_after = np.minimum(at - begin[doc], AROUND), np.minimum(begin[doc + 1] - at - SAME, AROUND)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), raw(after), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array((at - begin[doc]).astype(np.int32)), raw(before), pa.array(n_before.astype(np.int32)), pa.array(n_after.astype(np.int32))],
-                [x.split()[0] for x in SUFFIX.split(", ")],
+                [pa.array(key.view(np.int64)), raw(after), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array((at - begin[doc]).astype(np.int32)), raw(before), pa.array(n_before.astype(np.int32)), pa.array(n_after.astype(np.int32)), pa.array(hot.of(key))],
+                [*(x.split()[0] for x in SUFFIX.split(", ")), "hot"],
             )
 
-    return own.mapInArrow(run, SUFFIX)
+    out = own.mapInArrow(run, f"{SUFFIX}, hot boolean")
+    return out if twice.sent else out.join(counts.select("key"), "key", "left_semi")
 
 
 def equal_run(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -108,17 +115,23 @@ def equal_run(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(same.argmin(1), most)
 
 
-def matches(t: pa.Table) -> pa.RecordBatch:
-    """SPAN rows of each suffix with the nearest ones, before and after it in the sorted table, of another document."""
-    key, doc, at, n_before, n_after = (t[c].to_numpy() for c in ("key", "doc_id", "at", "n_before", "n_after"))
-    after, before = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint32).reshape(-1, AROUND) for c in ("after", "before"))
+def columns_of(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, doc_id, at, n_before, n_after; after and before as rows of AROUND words."""
+    words = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint32).reshape(-1, AROUND) for c in ("after", "before"))
+    return *(t[c].to_numpy().astype(np.int64) for c in ("key", "doc_id", "at", "n_before", "n_after")), *words
+
+
+def neighbours(t: pa.Table) -> list[tuple[np.ndarray, ...]]:
+    """For the nearest suffixes before and after each one of the sorted table, of another document and the same key: rows
+    of t, start, end and partner of the matches of LEAST words or more."""
+    key, doc, at, n_before, n_after, after, before = columns_of(t)
     n = len(key)
     new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     runs = np.append(np.flatnonzero(new), n)
     stop = runs[np.searchsorted(runs, np.arange(n), "right")]
     out = []
-    for other in (start - 1, stop):
+    for other in (begin - 1, stop):
         i = np.flatnonzero((other >= 0) & (other < n))
         j = other[i]
         fine = key[i] == key[j]
@@ -127,8 +140,86 @@ def matches(t: pa.Table) -> pa.RecordBatch:
         left = equal_run(before[i], before[j], np.minimum(n_before[i], n_before[j]))
         long = left + right + SAME >= LEAST
         i, j, left, right = i[long], j[long], left[long], right[long]
-        out.append((doc[i], at[i].astype(np.int64) - left, at[i].astype(np.int64) + SAME + right, doc[j]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(4)], ["doc_id", "start", "end", "partner"])
+        out.append((i, at[i] - left, at[i] + SAME + right, doc[j]))
+    return out
+
+
+def spans_of(doc: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """SPAN rows of matches (row, start, end, partner)."""
+    i, start, end, partner = (np.concatenate([x[c] for x in found]) for c in range(4))
+    return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(start), pa.array(end), pa.array(partner)], ["doc_id", "start", "end", "partner"])
+
+
+def matches(t: pa.Table) -> pa.RecordBatch:
+    return spans_of(t["doc_id"].to_numpy(), neighbours(t))
+
+
+def around(t: pa.Table) -> list[tuple[np.ndarray, ...]]:
+    """Matches by windows of LEAST words around suffixes, of whole keys: rows of t, start, end and partner. A row's windows
+    that smaller documents hold are one match, and so are those that only larger ones hold."""
+    key, doc, at, n_before, n_after, after, before = columns_of(t)
+    left, right = (np.empty((len(key), AROUND + 1), np.uint64) for _ in range(2))
+    for hashes, words in ((left, before), (right, after)):
+        hashes[:, 0] = 1
+        for l in range(AROUND):
+            hashes[:, l + 1] = mixed(hashes[:, l] * MIX + words[:, l])
+    steps = np.arange(AROUND + 1)
+    group = mixed((left * MIX + right[:, ::-1]) * MIX + (key.view(np.uint64)[:, None] ^ steps.astype(np.uint64)))
+    fine = (steps <= n_before[:, None]) & (AROUND - steps <= n_after[:, None])
+    row, l = np.nonzero(fine)
+    flat = group[fine]
+    order = np.argsort(flat, kind="stable")
+    flat, by = flat[order], doc[row[order]]
+    edges = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.empty(0, np.int64)
+    size = np.diff(np.append(edges, len(flat)))
+    lo, hi = (np.repeat(f.reduceat(by, edges), size) if len(flat) else by for f in (np.minimum, np.maximum))
+    out = []
+    for held, partner in ((lo < by, lo), ((lo == by) & (hi > by), hi)):
+        n = np.where(held)[0]
+        i, at_l = row[order[n]], l[order[n]]
+        first, last = np.full(len(key), AROUND + 1), np.full(len(key), -1)
+        least = np.full(len(key), np.iinfo(np.int64).max)
+        np.minimum.at(first, i, at_l)
+        np.maximum.at(last, i, at_l)
+        np.minimum.at(least, i, partner[n])
+        own = np.flatnonzero(last >= 0)
+        out.append((own, at[own] - last[own], at[own] - first[own] + LEAST, least[own]))
+    return out
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """SPAN rows of suffixes whose keys hold HOT of them at most: neighbours' matches, and windows that these don't cover."""
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        doc = t["doc_id"].to_numpy()
+        near, wide = neighbours(t), around(t)
+        out = list(near)
+        for i, start, end, partner in wide:
+            new = np.ones(len(i), bool)
+            for k, s, e, p in near:
+                first, last = np.full(len(doc), np.iinfo(np.int64).max), np.full(len(doc), -1)
+                same = p < doc[k] if len(i) and partner[0] < doc[i[0]] else p > doc[k]
+                first[k[same]], last[k[same]] = s[same], e[same]
+                new &= (first[i] > start) | (last[i] < end)
+            out.append((i[new], start[new], end[new], partner[new]))
+        return spans_of(doc, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            key = t["key"].to_numpy()
+            whole = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])  # the last key may go on
+            if whole:
+                yield found(t.slice(0, whole))
+            held = t.slice(whole)
+        if held is not None:
+            yield found(held)
+
+    return rows.repartition(2 * partitions(rows.sparkSession), "key").sortWithinPartitions(*ORDER).mapInArrow(run, SPAN)
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -168,8 +259,7 @@ def compared(rows: DataFrame) -> DataFrame:
             yield edge(held.filter(pa.array(same(held, (held["doc_id"][-1].as_py(), held["key"][-1].as_py())))))
 
     n = 2 * partitions(rows.sparkSession)
-    order = ["key", "after", "doc_id", "at"]
-    both = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, f"{SPAN}, {SUFFIX.replace('doc_id', 'doc')}"))
+    both = cut(rows.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(run, f"{SPAN}, {SUFFIX.replace('doc_id', 'doc')}"))
     spans = both.where("partner is not null").select(*names)
     edges = both.where("partner is null").select("key", "after", F.col("doc").alias("doc_id"), "at", "before", "n_before", "n_after")
 
@@ -179,7 +269,7 @@ def compared(rows: DataFrame) -> DataFrame:
             yield matches(pa.Table.from_batches(t))
 
     # two runs of each range, a run being part of one document, so one task is enough
-    return spans.unionAll(edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(borders, SPAN))
+    return spans.unionAll(edges.coalesce(1).sortWithinPartitions(*ORDER).mapInArrow(borders, SPAN))
 
 
 def windows(rows: DataFrame) -> DataFrame:
@@ -205,9 +295,10 @@ def united(found: DataFrame) -> DataFrame:
 
 
 def matched(docs: DataFrame) -> DataFrame:
-    """SPAN rows, one for each match: the partner holds the whole of it."""
+    """SPAN rows, one for each match: documents with a smaller doc_id hold all its words if the partner is smaller."""
     rows = cut(kept_suffixes(docs))
-    return compared(rows).unionAll(windows(rows))
+    hot = rows.where("hot").drop("hot")
+    return dealt(rows.where("not hot").drop("hot")).unionAll(compared(hot)).unionAll(windows(hot))
 
 
 def spans(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,15 @@ def roots_of(edges):
     return {x: top(x) for x in list(up)}
 
 
+def shingles(x):
+    return {x[i : i + 8] for i in range(len(x) - 7)}
+
+
+def jaccard(x, y):
+    x, y = shingles(x), shingles(y)
+    return len(x & y) / len(x | y)
+
+
 def brute(rows):
     """Numbers of the lines that go, for each document."""
     seen = sorted({(k, i, x) for k, t in rows for i, x in lines.worded(t)})
@@ -25,9 +34,9 @@ def brute(rows):
     having = defaultdict(list)
     links = []
     for n, x in enumerate(distinct):
-        grams = {x[i : i + 8] for i in range(len(x) - 7)}
+        grams = shingles(x)
         for m in {m for g in grams for m in having[g]}:
-            if lines.jaccard(x, distinct[m]) >= lines.LIKE:
+            if jaccard(x, distinct[m]) >= lines.LIKE:
                 links.append((n, m))
         for g in grams:
             having[g].append(n)
@@ -57,7 +66,7 @@ def test_signatures_agree_with_similarity():
         a = [word() for _ in range(60)]
         b = [*a[:30], word(), *a[31:]]
         x, y = " ".join(a), " ".join(b)
-        if lines.jaccard(x, y) >= lines.LIKE:
+        if jaccard(x, y) >= lines.LIKE:
             n += 1
             k = lines.signatures([x, y, "unrelated text, longer than eight characters"])
             hit += bool((k[:, 0] == k[:, 1]).any())
@@ -65,6 +74,35 @@ def test_signatures_agree_with_similarity():
     assert n > 150 and hit / n > 0.98
 
 
+def test_shingles_are_numbered_exactly():
+    rng = random.Random(11)
+    for alphabet in ("abc ", "".join(map(chr, range(32, 1200))), "".join(map(chr, range(0x4E00, 0x9E00))) + "\U0001f600"):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(8, 90))) for _ in range(60)]
+        texts += [t[: rng.randrange(8, len(t) + 1)] for t in texts]
+        number, begin = lines.shingled(texts)
+        sets = [set(number[a:z].tolist()) for a, z in zip(begin, begin[1:])]
+        for x, s in zip(texts, sets):
+            assert len(s) == len(shingles(x))
+            assert all(len(s & t) == len(shingles(x) & shingles(y)) for y, t in zip(texts, sets))
+
+
+def test_lines_of_equal_first_hash_stay_apart(spark):
+    own = spark.createDataFrame([(1, 0, 0, 7, 1), (1, 0, 1, 7, 2), (2, 0, 0, 7, 2), (2, 0, 1, 8, 5), (3, 0, 0, 8, 6), (3, 0, 1, None, None)], "doc_id long, h long, n long, line long, check long")
+    roots = spark.createDataFrame([(7, 1, 7), (8, 5, 7)], "line long, check long, root long")
+    groups = defaultdict(set)
+    for r in lines.classed(own, roots).collect():
+        groups[r["class"], r.side].add((r.doc_id, r.n))
+    assert sorted(map(sorted, groups.values())) == [[(1, 0), (2, 1)], [(1, 1), (2, 0)], [(3, 0)]]
+
+
+def test_rows_of_equal_doc_id(spark, tmp_path):
+    rows = [(1, "first text\nshared line"), (1, "other text\nshared line"), (1, "other text\nshared line"), (None, "shared line")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = sorted(map(tuple, lines.op10_line_dedup(spark, str(tmp_path)).collect()), key=repr)
+    assert len(out) == 4 and (None, 1, 0, "") in out
+    assert sorted(r[3] for r in out if r[0]) == ["", "1", "1"] or sorted(r[3] for r in out if r[0]) == ["", "", "1"]
+
+
 def test_query_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = brute(rows)

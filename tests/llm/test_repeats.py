@@ -1,6 +1,8 @@
 import random
 
-from copperleaf.llm import repeats
+import pytest
+
+from copperleaf.llm import common, repeats
 
 
 def brute(rows):
@@ -21,7 +23,10 @@ def words_in(rows, ids):
     return out
 
 
-def test_planted_passages(spark):
+@pytest.mark.parametrize("hot, bits", [(1 << 14, 1 << 27), (3, 1 << 27), (1 << 14, 0)])
+def test_planted_passages(spark, monkeypatch, hot, bits):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(common, "MOST_BITS", bits)
     rng = random.Random(9)
     text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
     passages = [text(n) for n in (50, 51, 60, 90, 200, 700)]
@@ -40,8 +45,10 @@ def test_planted_passages(spark):
     assert repeats.spans(docs.selectExpr("cast(null as bigint) as doc_id", "text")).count() == 0
 
 
-def test_passages_that_need_words_to_their_left(spark):
+@pytest.mark.parametrize("hot", [1 << 14, 2])
+def test_passages_that_need_words_to_their_left(spark, monkeypatch, hot):
     """Others that share most of a passage stand between the two documents that share the whole of it."""
+    monkeypatch.setattr(repeats, "HOT", hot)
     rng, rows = random.Random(4), []
     text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
     for n in (50, 52, 56, 60) * 5:
