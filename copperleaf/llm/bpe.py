@@ -10,7 +10,8 @@ Rows travel packed: one for each block and bucket with its pre-tokens sorted, an
 texts, numbers dealt by falling frequency, both compressed. A third of
 all texts may share a word: it then is one entry for each block, not one row for each occurrence.
 
-docs is read twice and must give the same blocks, as a table or a written stage does; if not, the job fails.
+docs is read twice and must give the same blocks, as a table or a written stage does; if not, the job fails. A block is
+named by its place (partition and number there) and content, so blocks of equal content stay apart.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded row by row, equal doc_ids included; an
 empty table gives no rows; a text of any length is encoded whole.
@@ -42,6 +43,8 @@ BLOCK = 24 << 20
 #: Bucket rows: the pre-tokens of a block and bucket, later their ids. Text rows (bucket null): doc_ids, how many
 #: pre-tokens each text has, and all their numbers.
 PART = "block string, bucket int, keys array<long>, sizes array<int>, payload binary"
+#: Distinct pre-tokens that a task remembers the ids of.
+KNOWN = 1 << 20
 #: Numbers in a text row, about.
 ROW = 1 << 16
 ENCODED = "doc_id long, n_tokens long, ids binary"
@@ -98,7 +101,7 @@ def split(docs: DataFrame, buckets: int, texts: bool, pattern: str = public_toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = splitter(pattern).findall
-        for b in blocks(batches, "text", BLOCK):
+        for place, b in enumerate(blocks(batches, "text", BLOCK)):
             number: defaultdict[str, int] = defaultdict(count().__next__)
             keys, order = b.column(0).to_pylist(), []
             for text in b.column(1).to_pylist():
@@ -108,7 +111,8 @@ def split(docs: DataFrame, buckets: int, texts: bool, pattern: str = public_toke
             rank = np.empty(len(number), np.uint32)
             rank[np.argsort(-times, kind="stable")] = np.arange(len(number))
             words, every = [w.encode("utf-8", "surrogatepass") for w in number], np.concatenate(order)
-            name = xxhash.xxh3_128_hexdigest(b"\0".join(words) + every.tobytes() + np.array([len(x) for x in order]).tobytes())
+            content = xxhash.xxh3_128_hexdigest(b"\0".join(words) + every.tobytes() + np.array([len(x) for x in order]).tobytes())
+            name = f"{b.column(2)[0].as_py()}-{place}-{content}"
             out = []
             if texts:
                 begin = size = 0
@@ -132,27 +136,32 @@ def split(docs: DataFrame, buckets: int, texts: bool, pattern: str = public_toke
             types = (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "bucket", "keys", "sizes", "payload"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PART)
+    # the partition of docs itself, whatever union the rows become part of
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, PART)
 
 
-def answered(parts: DataFrame, rank_file: str = tokens.RANKS) -> DataFrame:
-    """Bucket rows with the ids of each pre-token instead of its bytes."""
+def answered(parts: DataFrame, buckets: int, rank_file: str = tokens.RANKS) -> DataFrame:
+    """Bucket rows with the ids of each pre-token instead of its bytes. Rows are read as a stream, a bucket after the other."""
 
-    def run(t: pa.Table) -> pa.Table:
-        encode, known, out = tokens.rank_encoding(rank_file).encode_ordinary, {}, []
-        for payload in t["payload"].to_pylist():
-            ranks, words = unpacked(payload)
-            ids = []
-            for w in words:
-                if (x := known.get(w)) is None:
-                    x = known[w] = encode(w.decode("utf-8", "surrogatepass"))
-                ids.append(x)
-            sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
-            flat = np.array([i for x in ids for i in x], np.uint32)
-            out.append(payload[:4] + zstandard.compress(ranks + planes(sizes) + planes(flat), 3))
-        return pa.Table.from_arrays([*(t[c] for c in ("block", "bucket", "keys", "sizes")), pa.array(out, pa.binary())], ["block", "bucket", "keys", "sizes", "payload"])
-
-    return parts.groupBy("bucket").applyInArrow(run, PART)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known, last = tokens.rank_encoding(rank_file).encode_ordinary, {}, None
+        for b in batches:
+            out = []
+            for bucket, payload in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
+                if bucket != last or len(known) > KNOWN:
+                    known, last = {}, bucket
+                ranks, words = unpacked(payload)
+                ids = []
+                for w in words:
+                    if (x := known.get(w)) is None:
+                        x = known[w] = encode(w.decode("utf-8", "surrogatepass"))
+                    ids.append(x)
+                sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
+                flat = np.array([i for x in ids for i in x], np.uint32)
+                out.append(payload[:4] + zstandard.compress(ranks + planes(sizes) + planes(flat), 3))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], b.schema.names)
+
+    return parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, PART)
 
 
 def encode(docs: DataFrame, buckets: int | None = None, rank_file: str = tokens.RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -175,6 +184,8 @@ def assembled(docs: DataFrame, made, schema: str, buckets: int | None = None, ra
                 sizes.append(numbers(raw[4 * n :], n))
                 flat.append(numbers(raw[8 * n :], len(raw) // 4 - 2 * n))
         n, ids, rank = np.concatenate(sizes).astype(np.int64), np.concatenate(flat), np.concatenate(ranks)
+        if not any(bucket is None for bucket, *_ in rows):
+            raise ValueError("docs gave other blocks when it was read again")
         first = np.empty(len(n), np.int64)
         first[rank] = np.cumsum(n) - n
         n[rank] = n.copy()
@@ -191,7 +202,7 @@ def assembled(docs: DataFrame, made, schema: str, buckets: int | None = None, ra
 
     types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
     # texts are split twice, once for either kind of row: their numbers need not travel with the pre-tokens
-    both = answered(split(docs, buckets, False, pattern), rank_file).unionAll(split(docs, buckets, True, pattern))
+    both = answered(split(docs, buckets, False, pattern), buckets, rank_file).unionAll(split(docs, buckets, True, pattern))
     return both.groupBy("block").applyInArrow(run, schema)
 
 

@@ -30,3 +30,13 @@ def test_edges_and_round_trip(spark, tmp_path):
     twice = docs.unionAll(docs)
     assert bpe.encode(twice).count() == 14
     assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_equal_content_stay_apart(spark):
+    """A third of all rows are equal texts: every block of them is a group of its own."""
+    docs = spark.range(0, 3000, 1, 6).selectExpr("id as doc_id", "case when id % 3 = 0 then '' else 'equal words' end as text")
+    names = bpe.split(docs, 4, True).select("block").distinct().count()
+    assert names == 6
+    rows = bpe.encode(docs).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(3000))
+    assert {r.n_tokens for r in rows if r.doc_id % 3} == {len(tokens.rank_encoding().encode_ordinary("equal words"))}
