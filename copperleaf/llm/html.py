@@ -1,13 +1,15 @@
 """Operator 7, HTML extraction: content and boilerplate blocks parted by a minimum cut.
 
-A page becomes blocks of text, each with the elements it lies in. A linear classifier and the elements' names give each
-block a score; as a terminal capacity it is what it costs to label the block against it. Smoothness edges join each
-block to the next one and to the next one of the same parent, the stronger the closer they are in the DOM. A maximum
-flow from the content terminal to the boilerplate terminal separates the two with the least total cost.
+A page becomes blocks of text, each with the elements it lies in. A linear classifier over statistics of the text and
+over words in the names (class, id, role) of its elements gives each block a score; elements whose tag says their role
+add evidence. As a terminal capacity, the score is what it costs to label the block against it. Smoothness edges join
+each block to the next one and to the next one of the same parent, the stronger the closer they are in the DOM. A maximum
+flow from the content terminal to the boilerplate terminal separates the two with the least total cost: a block that
+alone looks like boilerplate stays with the paragraphs around it, one name or tag decides nothing by itself.
 
-The classifier (least squares) is trained here on the blocks of TRAIN_PAGES pages of the smallest hash of page_id, a
-bound that does not depend on the input; elements that name their role label the samples, text statistics are the
-features. Only sums of products leave the tasks. Every page is labelled alone: no shuffle.
+The classifier (least squares, drawn to the weights PRIOR where the data say nothing) is trained here on the blocks of
+TRAIN_PAGES pages of the smallest hash, a bound that does not depend on the input; blocks inside elements whose tag says
+their role are the labelled samples. Only sums of products leave the tasks. Every page is labelled alone: no shuffle.
 
 Defined results: a null or empty page, or one without text or content, gives the empty string; repeated rows are
 extracted row by row; an empty table gives no rows; a page of any length is read whole; other columns are ignored.
@@ -19,6 +21,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +31,90 @@ from pyspark.sql import functions as F
 from .common import blocks, smallest, table
 
 MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|head|iframe|object|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?]?[a-z!?][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<whole>noscript|template|svg|iframe|object|select)\b[^>]*>.*?</(?P=whole)\s*>"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9]*)(?P<rest>(?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<[/!?]?[a-z!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+# HTML elements that begin a block, those whose tag says boilerplate or content.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 AWAY_TAGS = frozenset("nav footer header aside form menu dialog button fieldset".split())
 HERE_TAGS = frozenset("article main".split())
 #: Their names say what a page or text is, not that it is none.
-NO_AWAY_NAME = HERE_TAGS | {"html", "body"}
-AWAY_NAME = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?(?<![a-z])(?<!\bhas[-_])(?<!\bno[-_])(?<!\bwith[-_])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-\w+|consent|cookies?|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|replies|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])", re.I)
-HERE_NAME = re.compile(r"(?:class|id|role|itemprop)\s*=\s*[\"']?[^\"'>]*?(?<![a-z])(?:article|articlebody|content|entry|main|post|story)(?![a-z])", re.I)
+UNNAMED = HERE_TAGS | {"html", "body"}
+# Words in names that speak for boilerplate, for content, or say nothing beside others.
+AWAY_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+HERE_WORDS = frozenset("article articlebody body content entry main post story text".split())
+PLAIN_WORDS = frozenset("area bar block bottom box container global group inner item items left link links list outer page right row section site slot top unit user wrap wrapper".split())
+#: A word after one of these is not said of the element itself.
+NOT_OWN = frozenset("has no with without hide is".split())
+NAME = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 TRAIN_PAGES = 1000
-#: Scores of a block inside an element that names its role; text statistics weigh about one.
-AWAY, HERE = -6.0, 2.5
-#: The same where only a class, id or role says so: the text may outvote it.
-NAMED = -1.5
+#: What the tag of an element says of the blocks in it, beside scores of about -2 to 2.
+AWAY, HERE = -4.0, 2.0
 NEXT, SIBLING = 0.5, 0.7
-FEATURES = 7
-
-
-def parsed(page: str) -> list[tuple[str, int, str, int, int, int]]:
-    """(text, characters inside links, tag, role, parent, depth) of each block; role: -1 away, -2 away by a name alone, 1 here, 0 neither."""
-    out: list[tuple] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, role, number
+#: Weights before any data: constant, length, share of links, punctuation, paragraph, heading, depth; names that say
+#: boilerplate, that say it among other words, that say content.
+PRIOR = [-1.0, 2.5, -2.0, 0.5, 0.5, 0.5, 0.0, -2.0, -0.4, 0.3]
+#: Rows of data that the prior weighs.
+PRIOR_ROWS = 20.0
+FEATURES = len(PRIOR)
+
+
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters inside links
+    tag: str
+    role: int  # of the tags around it: -1 boilerplate, 1 content, 0 neither
+    names: tuple[int, int, int]  # elements around it whose names say boilerplate, say it among other words, say content
+    parent: int
+    depth: int
+
+
+class Open(NamedTuple):
+    tag: str
+    role: int
+    names: tuple[int, int, int]
+    serial: int
+
+
+def name_says(rest: str) -> tuple[int, int, int]:
+    """Whether an element's names say boilerplate, say it among other words, or say content (see Block)."""
+    away = part = here = 0
+    for m in NAME.finditer(rest):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in WORD.findall(name)]
+            if NOT_OWN.intersection(words):
+                continue
+            bad, good = AWAY_WORDS.intersection(words), HERE_WORDS.intersection(words)
+            if bad and not good - {"body", "content", "text"}:
+                if all(w in AWAY_WORDS or w in PLAIN_WORDS or w in HERE_WORDS or w.isdigit() for w in words):
+                    away = 1
+                else:
+                    part = 1
+            elif good and not bad:
+                here = 1
+    return (1, 0, 0) if away else (0, part, here)
+
+
+def entered(tag: str, rest: str, above: Open, serial: int) -> Open:
+    """An element that begins inside another one."""
+    names = name_says(rest) if rest and tag not in UNNAMED else (0, 0, 0)
+    role = above.role
+    own_kind = tag in HERE_TAGS and rest and name_says(rest)[0]  # an article named comment stays what it lies in
+    if tag in AWAY_TAGS and not (tag == "header" and role > 0):
+        role = -1
+    elif tag in HERE_TAGS and not own_kind:
+        if above.role < 0:  # a page wrapped in a form has its content all the same
+            above = above._replace(names=(0, 0, 0))
+        role = 1
+    return Open(tag, role, tuple(min(1, a + b) for a, b in zip(above.names, names, strict=True)), serial)
+
+
+def parsed(page: str) -> list[Block]:
+    out: list[Block] = []
+    stack = [Open("", 0, (0, 0, 0), 0)]
     text: list[str] = []
     link = serial = linked = at = 0
 
@@ -60,8 +123,8 @@ def parsed(page: str) -> list[tuple[str, int, str, int, int, int]]:
         if text:
             words = " ".join(entities.unescape("".join(text)).split())
             if words:
-                tag, role, own = stack[-1]
-                out.append((words, linked, tag, role, stack[-2][2] if tag in ("p", "li") and len(stack) > 1 else own, len(stack)))
+                top = stack[-1]
+                out.append(Block(words, linked, top.tag, top.role, top.names, stack[-2].serial if top.tag in ("p", "li") and len(stack) > 1 else top.serial, len(stack)))
             text.clear()
         linked = 0
 
@@ -73,7 +136,7 @@ def parsed(page: str) -> list[tuple[str, int, str, int, int, int]]:
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            text.append(" " if m["raw"] else "")
+            text.append(" " if m["raw"] or m["whole"] else "")
             continue
         tag = tag.lower()
         if tag == "a":
@@ -84,61 +147,52 @@ def parsed(page: str) -> list[tuple[str, int, str, int, int, int]]:
             flush()
             if m["end"]:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
+                    if stack[k].tag == tag:
                         del stack[k:]
                         break
                 link = 0
             else:
-                if stack[-1][0] == "p" or tag == stack[-1][0] == "li":
+                if stack[-1].tag == "p" or tag == stack[-1].tag == "li":
                     stack.pop()
                 if tag != "hr":
-                    role, rest, serial = stack[-1][1], m["rest"], serial + 1
-                    away = bool(rest and AWAY_NAME.search(rest))
-                    if tag in AWAY_TAGS and not (tag == "header" and role > 0):
-                        role = -1
-                    elif away and tag not in NO_AWAY_NAME:
-                        role = role if role == -1 else -2
-                    elif role < 0 and tag in HERE_TAGS and not away:  # an article named comment stays what it lies in
-                        role = 1
-                    elif role == 0 and (tag in HERE_TAGS or rest and HERE_NAME.search(rest)):
-                        role = 1
-                    stack.append((tag, role, serial))
+                    serial += 1
+                    stack.append(entered(tag, m["rest"], stack[-1], serial))
     if at < len(page):
         text.append(page[at:])
     flush()
     return out
 
 
-def features(block: tuple) -> list[float]:
-    words, linked, tag, _, _, depth = block
-    n = words.count(" ") + 1
-    return [1.0, math.log1p(n) / 4, min(1.0, linked / len(words)), min(1.0, sum(map(words.count, ".,;:!?")) / n), float(tag == "p"), float(tag[:1] == "h" and len(tag) == 2), min(depth, 12) / 12]
+def features(x: Block) -> list[float]:
+    n = x.text.count(" ") + 1
+    return [1.0, math.log1p(n) / 4, min(1.0, x.linked / len(x.text)), min(1.0, sum(map(x.text.count, ".,;:!?")) / n), float(x.tag == "p"), float(x.tag[:1] == "h" and len(x.tag) == 2), min(x.depth, 12) / 12, *map(float, x.names)]
 
 
 def fit(pages: DataFrame, rows: int = TRAIN_PAGES) -> list[float]:
-    """Weights of the features; without labelled blocks of both kinds, those of a plain rule: long and unlinked is content."""
+    """Weights of the features, from blocks whose tags say their role. Without any of one kind, PRIOR."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((FEATURES + 2, FEATURES))
         for b in batches:
             for page in b.column(0).to_pylist():
                 for x in parsed(page or ""):
-                    if x[3]:
+                    if x.role:
                         f = np.array(features(x))
                         sums[:FEATURES] += np.outer(f, f)
-                        sums[FEATURES] += (1 if x[3] > 0 else -1) * f
-                        sums[FEATURES + 1, int(x[3] > 0)] += 1
+                        sums[FEATURES] += x.role * f
+                        sums[FEATURES + 1, int(x.role > 0)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(sums.size)), pa.array(sums.ravel())], ["i", "v"])
 
-    own = smallest(pages.select("page_id", "html"), rows, "page_id").select("html")
-    total = own.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    own = smallest(pages.select("page_id", "html"), rows, "page_id", "html").select("html")
+    total = own.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # one row a sum
     sums = np.zeros((FEATURES + 2) * FEATURES)
     for i, v in total:
         sums[i] = v
     sums = sums.reshape(FEATURES + 2, FEATURES)
     if not sums[FEATURES + 1, :2].all():
-        return [-1.0, 2.5, -2.0, 0.5, 0.5, 0.5, 0.0]
-    return np.linalg.solve(sums[:FEATURES] + np.eye(FEATURES), sums[FEATURES]).tolist()
+        return PRIOR
+    weights = np.linalg.solve(sums[:FEATURES] + PRIOR_ROWS * np.eye(FEATURES), sums[FEATURES] + PRIOR_ROWS * np.array(PRIOR))
+    return np.round(weights, 6).tolist()  # sums come in any order
 
 
 def content_side(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -201,23 +255,27 @@ def content_side(scores: list[float], edges: list[tuple[int, int, float]]) -> li
                 break
 
 
-def labelled(found: list[tuple], weights: list[float]) -> list[bool]:
-    """Which blocks are content."""
-    scores = [sum(w * f for w, f in zip(weights, features(x), strict=True)) + (0.0, HERE, NAMED, AWAY)[x[3]] for x in found]
+def scored(found: list[Block], weights: list[float]) -> list[float]:
+    """Each block's score alone: positive for content."""
+    return [2 * sum(w * f for w, f in zip(weights, features(x), strict=True)) + (0.0, HERE, AWAY)[x.role] for x in found]
+
+
+def labelled(found: list[Block], weights: list[float]) -> list[bool]:
+    """Which blocks are content, by the minimum cut."""
     edges, last = [], {}
     for i, x in enumerate(found):
         if i:
-            gap = abs(x[5] - found[i - 1][5]) + 2 * (x[3] != found[i - 1][3])
+            gap = abs(x.depth - found[i - 1].depth) + 2 * (x.role != found[i - 1].role) + 2 * (x.names != found[i - 1].names)
             edges.append((i - 1, i, NEXT / (1 + gap)))
-        if (k := last.get(x[4])) is not None:
+        if (k := last.get(x.parent)) is not None:
             edges.append((k, i, SIBLING))
-        last[x[4]] = i
-    return content_side(scores, edges)
+        last[x.parent] = i
+    return content_side(scored(found, weights), edges)
 
 
 def main_text(page: str | None, weights: list[float]) -> str:
     found = parsed(page or "")
-    return "\n\n".join(x[0] for x, keep in zip(found, labelled(found, weights), strict=True) if keep) if found else ""
+    return "\n\n".join(x.text for x, keep in zip(found, labelled(found, weights), strict=True) if keep) if found else ""
 
 
 def extract(pages: DataFrame, weights: list[float] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 from copperleaf.llm import html
 
-RULE = [-1.0, 2.5, -2.0, 0.5, 0.5, 0.5, 0.0]
+RULE = html.PRIOR
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <div id="cookie-notice">We use cookies, please accept all of them.</div><header><h2>Site name</h2></header>
 <nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
@@ -33,6 +33,28 @@ def test_names_do_not_take_pages_away():
     assert html.main_text('<div class="comments"><article class="comment"><p>Thanks, nice.</p></article></div>', RULE) == ""
 
 
+def test_names_are_evidence_only():
+    long = "A paragraph of the page, long enough to be read, with commas, and then some more words."
+    page = f'<body><nav><a href="/">Home</a></nav><article><div class="post-header"><h1>The heading</h1></div><p>{long}</p><p class="social-history">A history, told.</p><p>{long}</p><div class="share">Share this</div></article></body>'
+    assert html.main_text(page, RULE) == f"The heading\n\n{long}\n\nA history, told.\n\n{long}"
+
+
+def test_the_cut_decides_on_pages_without_role_names():
+    long = "A paragraph of the page, long enough to be read, with commas, and then some more words."
+    links = "".join(f'<div><a href="/{i}">Topic {i}</a></div>' for i in range(6))
+    page = f"<body><div>{links}</div><div><p>{long}</p><p>{long}</p><div>So it was</div><p>{long}</p></div><div>{links}</div></body>"
+    found = html.parsed(page)
+    alone, cut = [x > 0 for x in html.scored(found, RULE)], html.labelled(found, RULE)
+    assert sum(a != b for a, b in zip(alone, cut, strict=True)) > 0  # "So it was" stays with its neighbours
+    assert html.main_text(page, RULE) == f"{long}\n\n{long}\n\nSo it was\n\n{long}"
+
+
+def test_broken_markup():
+    long = "A paragraph of the page, long enough to be read, with commas, and then some more words."
+    assert html.main_text(f"<head><meta charset=utf-8><title>T</title><body><p title=it's>{long}<p>{long}", RULE) == f"{long}\n\n{long}"
+    assert html.main_text(f'<p data-x="a>b">{long}</p><select><p>{long}</p>', RULE) == f"{long}\n\n{long}"
+
+
 def test_edges():
     for page in (None, "", "   ", "<p></p>", "<!-- only", "<script>x</script>", "<", "<p", "</p></div>"):
         assert html.main_text(page, RULE) in ("", "<")
