@@ -2,15 +2,15 @@
 
 Components become floor(SCALE * x), so scores are integers. Every vector is keyed by its nearest of PIVOTS pivots and
 its distance to it; distances of one pivot are cut into RINGS annuli. A cell (pivot, annulus) is summed up by its
-count, its extreme distances and its largest norm: PIVOTS * RINGS rows at most, whatever the input, so that table alone
-is held by every task. From the triangle inequality, |q - x| >= | |q - p| - |x - p| | for all x of a cell, and
+count, its extreme distances and its largest norm: MOST_PIVOTS * RINGS rows at most, whatever the input, so that table
+alone is held by every task. Pivots grow with the fourth root of the vectors, from PIVOTS on. From the triangle inequality, |q - x| >= | |q - p| - |x - p| | for all x of a cell, and
 q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2, together with q.x <= q.p + |q| |x - p|, bound each cell's scores for a query.
 
 A query expands its cells in the order of their bounds: first as many as hold k other vectors, whose k-th best score
 is a floor; then those whose bound reaches it; the others cannot matter. Cells are worked on in blocks: a cell's
-vectors are salted into pieces of about PIECE vectors and its queries into groups of as many, so no task ever holds a
-whole cell, and a cell that a third of all vectors lie in (copies of one) is spread. Of each block only the k best of
-each query leave the task.
+vectors are salted into pieces of about PIECE vectors and the queries that expand it into groups of as many, so no task
+ever holds a whole cell, and a cell that a third of all vectors lie in (copies of one) is spread. Vectors of cells that no
+query expands stay where they are. Of each block only the k best of each query leave the task.
 
 Pivots are chosen (farthest first) from the PIVOT_ROWS vectors of smallest hash, a bound independent of the input.
 They steer the work only: results are exact.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, smallest, table
 
 SCALE, TOP = 256, 5
-PIVOTS, RINGS, PIECE, PIVOT_ROWS = 16, 8, 4096, 2048
+PIVOTS, MOST_PIVOTS, RINGS, PIECE, PIVOT_ROWS = 16, 256, 8, 4096, 2048
 #: Relative slack of bounds that are computed in floating point.
 SLACK = 1e-9
 #: Sums of products stay exact in 64-bit integers below this; larger vectors are multiplied as Python integers.
@@ -49,7 +49,7 @@ def quantized(vectors: DataFrame) -> DataFrame:
 
 def pivots(own: DataFrame, rows: int = PIVOT_ROWS, n: int = PIVOTS) -> np.ndarray:
     """n of the `rows` vectors of smallest hash, each the farthest from those before it."""
-    sample = [r.v for r in smallest(own, rows, "vec_id").select("v").collect()]
+    sample = [r.v for r in smallest(own, rows, "vec_id", "v").select("v").collect()]
     if not sample:
         return np.empty((0, 0))
     width = pd.Series([len(v) for v in sample]).mode()[0]
@@ -106,13 +106,15 @@ def best_of(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def visited(index: DataFrame, asked: DataFrame, pieces: dict[int, int], groups: dict[int, int], k: int) -> DataFrame:
-    """query_row, query_id, vec_id, score: the k best of every (query, piece of a cell) of asked: query_row, query_id, v, cell."""
-    n_pieces = F.coalesce(F.get(F.array(*[F.lit(pieces.get(c, 1)) for c in range(max([*pieces, 0]) + 1)]), F.col("cell")), F.lit(1))
-    n_groups = F.coalesce(F.get(F.array(*[F.lit(groups.get(c, 1)) for c in range(max([*pieces, 0]) + 1)]), F.col("cell")), F.lit(1))
+def visited(index: DataFrame, asked: DataFrame, held: dict[int, int], k: int) -> DataFrame:
+    """query_row, query_id, vec_id, score: the k best of every (query, piece of a cell) of asked: query_row, query_id, v,
+    cell (written by cut()). held: the number of vectors of each cell."""
+    opened = {int(r.cell): -(-r.n // PIECE) for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as cells
+    of = lambda known: F.get(F.array(*[F.lit(known.get(c, 1)) for c in range(max([*held, 0]) + 1)]), F.col("cell"))
+    n_pieces, n_groups = of({c: -(-n // PIECE) for c, n in held.items()}), of(opened)
     deal = lambda n, *by: F.pmod(F.xxhash64(*by), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    data = index.select("cell", deal(n_pieces, "vec_id", "v").alias("piece"), every(n_groups).alias("grp"), "vec_id", "v")
+    data = index.where(F.col("cell").isin(list(opened))).select("cell", deal(n_pieces, "vec_id", "v").alias("piece"), every(n_groups).alias("grp"), "vec_id", "v")
     asks = asked.select("cell", every(n_pieces).alias("piece"), deal(n_groups, "query_row").alias("grp"), "query_row", "query_id", "v")
 
     def run(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -137,25 +139,23 @@ def visited(index: DataFrame, asked: DataFrame, pieces: dict[int, int], groups:
     return data.groupBy(*by).cogroup(asks.groupBy(*by)).applyInPandas(run, "query_row long, query_id long, vec_id long, score long")
 
 
-def search(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = TOP, n_pivots: int = PIVOTS, rings: int = RINGS) -> DataFrame:
+def search(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = TOP, n_pivots: int | None = None, rings: int = RINGS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the SQL condition picks, its k best other rows."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     own = quantized(vectors)
-    centres = pivots(own, n=n_pivots)
+    centres = pivots(own, n=n_pivots or min(MOST_PIVOTS, max(PIVOTS, round(2 * own.count() ** 0.25))))
     if not centres.size:
         return spark.createDataFrame([], schema)
     index = keyed(own, centres)
-    spread = {r.pivot: (r.lo, r.hi) for r in index.groupBy("pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}  # PIVOTS rows
+    spread = {r.pivot: (r.lo, r.hi) for r in index.groupBy("pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}  # a row for each pivot
     lo = F.array(*[F.lit(float(spread.get(p, (0, 0))[0])) for p in range(len(centres))])
     width = F.array(*[F.lit(max(1e-9, (spread[p][1] - spread[p][0]) / rings) if p in spread else 1.0) for p in range(len(centres))])
     ring = F.least(F.lit(rings - 1), F.greatest(F.lit(0), F.floor((F.col("d") - F.get(lo, F.col("pivot"))) / F.get(width, F.col("pivot"))))).cast("int")
     index = cut(index.withColumn("cell", F.col("pivot") * rings + ring))
-    asks = F.count_if(F.expr(query))
-    rows = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.first("pivot").alias("pivot"), F.min("d").alias("near"), F.max("d").alias("far"), F.max("norm2").alias("norm2"), asks.alias("asks")).collect()  # PIVOTS * RINGS rows
+    rows = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.first("pivot").alias("pivot"), F.min("d").alias("near"), F.max("d").alias("far"), F.max("norm2").alias("norm2")).collect()  # MOST_PIVOTS * RINGS rows
     cells = {k2: np.array([r[k2] for r in rows]) for k2 in ("cell", "n", "pivot", "near", "far", "norm2")}
-    pieces = {int(r.cell): -(-r.n // PIECE) for r in rows}
-    groups = {int(r.cell): -(-sum(x.asks for x in rows) // PIECE) for r in rows}
+    held = {int(r.cell): r.n for r in rows}
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,8 +173,8 @@ def search(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = TOP, n_p
         q = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
         bound = bounds(q, centres, cells)
         order = np.argsort(-bound, axis=1, kind="stable")
-        held = np.cumsum(cells["n"][order], axis=1)
-        seen = np.concatenate([np.ones((len(q), 1), bool), held[:, :-1] < k + 1], axis=1)
+        sums = np.cumsum(cells["n"][order], axis=1)
+        seen = np.concatenate([np.ones((len(q), 1), bool), sums[:, :-1] < k + 1], axis=1)
         if floors is not None:
             floor = np.array([-np.inf if f is None else f for f in floors])
             seen = ~seen & (np.take_along_axis(bound, order, 1) >= floor[:, None])
@@ -184,10 +184,10 @@ def search(vectors: DataFrame, query: str = "vec_id % 50 = 0", k: int = TOP, n_p
 
     schema_asked = "query_row long, query_id long, v array<double>, cell int"
     asked = cut(index.where(query).select(F.monotonically_increasing_id().alias("query_row"), F.col("vec_id").alias("query_id"), "v"))
-    found = cut(best_of(visited(index, asked.mapInArrow(first, schema_asked), pieces, groups, k), k).drop("rank"))
+    found = cut(best_of(visited(index, cut(asked.mapInArrow(first, schema_asked)), held, k), k).drop("rank"))
     floors = found.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     more = asked.join(floors, "query_row", "left").select("query_row", "query_id", "v", F.col("floor").cast("double"))
-    both = found.unionAll(visited(index, more.mapInArrow(rest, schema_asked), pieces, groups, k))
+    both = found.unionAll(visited(index, cut(more.mapInArrow(rest, schema_asked)), held, k))
     return best_of(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
