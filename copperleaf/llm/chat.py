@@ -6,7 +6,8 @@ list of its turns' character spans with a mask, 1 where a loss counts (turns of
 
 Turns are first gathered to one row for each conversation, then joined to the list of pairs on either side, so a
 conversation that a third of all pairs share is replicated by the join alone, which Spark can split; nothing is
-compared but the two members of a pair.
+compared but the two members of a pair. answered_otherwise() makes pairs of a table without preferences: every
+conversation, chosen, and the same with the last answer of the next one, rejected.
 
 Defined results: turns are ordered by number, ties by role and text, null numbers first; a null role or text counts as
 the empty string; conversations without turns aren't there, and pairs that name one are left out; equal conversations
@@ -61,7 +62,11 @@ def preferences(turns: DataFrame, pairs: DataFrame, learned: str = LEARNED) -> D
     """One row for each of pairs (chosen, rejected: conv_ids): prompt, completions and their masks."""
     own = gathered(turns)
     side = lambda k: own.select(F.col("conv_id").alias(k), F.col("turns").alias(f"{k}_turns"))
-    both = pairs.select("chosen", "rejected").join(side("chosen"), "chosen").join(side("rejected"), "rejected")
+    return formatted(pairs.select("chosen", "rejected").join(side("chosen"), "chosen").join(side("rejected"), "rejected"), learned)
+
+
+def formatted(both: DataFrame, learned: str = LEARNED) -> DataFrame:
+    """The columns of preferences() for rows of chosen, rejected, chosen_turns and rejected_turns."""
     both = both.withColumn("n_common", common("chosen_turns", "rejected_turns"))
     rest = lambda k: F.slice(f"{k}_turns", F.col("n_common") + 1, F.size(f"{k}_turns"))
     return both.select(
@@ -73,16 +78,21 @@ def preferences(turns: DataFrame, pairs: DataFrame, learned: str = LEARNED) -> D
     )
 
 
-def neighbours(turns: DataFrame) -> DataFrame:
-    """Pairs of this table: conversations 2k and 2k + 1, the even one chosen."""
-    ids = turns.select("conv_id").where("conv_id is not null").distinct()
-    return ids.groupBy(F.expr("conv_id div 2").alias("k")).agg(F.min("conv_id").alias("chosen"), F.max("conv_id").alias("rejected")).where("chosen < rejected").drop("k")
+def answered_otherwise(turns: DataFrame, learned: str = LEARNED) -> DataFrame:
+    """chosen, rejected, chosen_turns, rejected_turns: each conversation, and the same where its last turn of the learned
+    role has the text of the one of conversation conv_id + 1 (none: empty). The rejected one's number is -1 - conv_id."""
+    own = gathered(turns.where("conv_id is not null"))
+    at = F.coalesce(F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == learned, i))), F.lit(-1))
+    own = own.withColumn("at", at)
+    others = own.select((F.col("conv_id") - 1).alias("conv_id"), F.get("turns", F.col("at"))["text"].alias("other"))
+    both = own.join(others, "conv_id", "left")
+    changed = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i == F.col("at"), F.coalesce("other", F.lit(""))).otherwise(t["text"]).alias("text")))
+    return both.select(F.col("conv_id").alias("chosen"), (-1 - F.col("conv_id")).alias("rejected"), F.col("turns").alias("chosen_turns"), changed.alias("rejected_turns"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
     said = lambda k: F.concat_ws(",", F.transform(f"{k}_masks", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"), m["mask"].cast("string"))))
-    out = preferences(turns, neighbours(turns))
+    out = formatted(answered_otherwise(table(spark, sf_dir, "conversations")))
     return out.select("chosen", "rejected", "n_common", "prompt", "chosen_completion", "rejected_completion", said("chosen").alias("chosen_masks"), said("rejected").alias("rejected_masks"))
 
 
@@ -90,8 +100,11 @@ SQL = """
 WITH t AS (
   SELECT conv_id, list(struct_pack(role := coalesce(role, ''), txt := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-p AS (SELECT min(conv_id) AS chosen, max(conv_id) AS rejected FROM t GROUP BY conv_id // 2 HAVING count(*) > 1),
-b AS (SELECT p.chosen, p.rejected, a.turns AS ct, r.turns AS rt FROM p JOIN t a ON a.conv_id = p.chosen JOIN t r ON r.conv_id = p.rejected),
+l AS (SELECT *, coalesce(list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')), 0) AS at FROM t),
+b AS (
+  SELECT l.conv_id AS chosen, -1 - l.conv_id AS rejected, l.turns AS ct,
+    list_transform(range(1, len(l.turns) + 1), lambda i: CASE WHEN i = l.at THEN struct_pack(role := l.turns[i].role, txt := coalesce(o.turns[o.at].txt, '')) ELSE l.turns[i] END) AS rt
+  FROM l LEFT JOIN l o ON o.conv_id = l.conv_id + 1),
 c AS (SELECT *, coalesce(list_position(list_transform(range(1, greatest(len(ct), len(rt)) + 1), lambda i: ct[i] IS NOT DISTINCT FROM rt[i]), false) - 1, len(ct)) AS n FROM b),
 d AS (SELECT *, ct[n + 1:] AS cr, rt[n + 1:] AS rr FROM c)
 SELECT chosen, rejected, CAST(n AS BIGINT) AS n_common,

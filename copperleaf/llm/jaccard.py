@@ -458,5 +458,19 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h")
 
 
+#: Shingles compared whole, links from all shared ones, components by walking them.
+SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM t WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS n FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM b JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * b.n >= 75 * (x.n + y.n - b.n)),
+m AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+c AS (SELECT doc_id AS a, doc_id AS z FROM n UNION SELECT c.a, m.v FROM c JOIN m ON c.z = m.u),
+r AS (SELECT a, min(z) AS least FROM c GROUP BY a)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(r.least, t.doc_id) AS component_id FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN r ON r.a = t.doc_id
+"""
+
 QUERIES = {"op9_ngram_jaccard": op9_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_ngram_jaccard": SQL}

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import blocks, table
 
@@ -103,13 +104,14 @@ def measure(text: str | None, ids: defaultdict[bytes, int], coverage: dict[int,
     word_chars = int(lens.sum())
     n_symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip()]
+    size = len if len(raw) == len(text or "") else lambda x: len(x.decode("utf-8", "surrogatepass"))
     seen: set[bytes] = set()
     dup_chars = 0
     for x in lines:
         if x in seen:
-            dup_chars += len(x)
+            dup_chars += size(x)
         seen.add(x)
-    line_share = dup_chars / max(1, sum(map(len, lines)))
+    line_share = dup_chars / max(1, sum(map(size, lines)))
     repeat, shares = 0, [0.0] * len(coverage)
     if n > 3:
         _, every = later(windows3(own, int(own.max()) + 1))
@@ -158,8 +160,38 @@ def keep_good(docs: DataFrame, text: str = "text", coverage: dict[int, float] =
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
-
+    """The contract's columns, line_coverage, and ngram_coverage, the largest of the shares."""
+    return score(table(spark, sf_dir, "documents")).withColumn("ngram_coverage", F.array_max("ngram_coverage"))
+
+
+#: The same by n-grams compared whole: words with their positions, each length's windows counted within their text.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+l AS (
+  SELECT r, sum(length(line)) FILTER (again) / greatest(1, sum(length(line)))::DOUBLE AS line_coverage
+  FROM (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again FROM (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM t))
+  GROUP BY r),
+w AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS i FROM t),
+{{}}
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, (len(words) < {MIN_WORDS} OR 100 * coalesce(n_repeat, 0) > 50 * len(words)) AS base_failed,
+  NOT base_failed AND coalesce(line_coverage, 0) <= {LINE_COVERAGE} AND {{}} AS kept, coalesce(line_coverage, 0)::DOUBLE AS line_coverage,
+  greatest({{}}) AS ngram_coverage
+FROM t LEFT JOIN l USING (r) LEFT JOIN n3 USING (r) {{}}
+""".format(
+    ",\n".join(
+        f"g{n} AS (SELECT r, i, length(word) AS size, CASE WHEN lead(i, {n - 1}) OVER p IS NOT NULL THEN concat_ws(' ', word, {', '.join(f'lead(word, {k}) OVER p' for k in range(1, n))}) END AS gram FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),\n"
+        f"a{n} AS (SELECT r, i, size, gram IS NOT NULL AND {'count(*) OVER (PARTITION BY r, gram)' if n == 3 else 'row_number() OVER (PARTITION BY r, gram ORDER BY i)'} > 1 AS again FROM g{n}),\n"
+        f"c{n} AS (SELECT r, size, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM a{n}),\n"
+        f"n{n} AS (SELECT r, count(*) FILTER (inside) AS n_repeat{'' if n == 3 else n}, coalesce(sum(size) FILTER (inside), 0) / greatest(1, sum(size))::DOUBLE AS share{n} FROM c{n} GROUP BY r)"
+        for n in (3, *COVERAGE)
+    ),
+    " AND ".join(f"coalesce(share{n}, 0) <= {most}" for n, most in COVERAGE.items()),
+    ", ".join(f"coalesce(share{n}, 0)::DOUBLE" for n in COVERAGE),
+    " ".join(f"LEFT JOIN n{n} USING (r)" for n in COVERAGE),
+)
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_quality_rules": SQL}

@@ -1,6 +1,8 @@
 import random
 import re
 
+import duckdb
+
 from copperleaf.llm import jaccard
 
 from .test_lines import roots_of
@@ -32,6 +34,21 @@ def test_query(spark, sf):
     assert got(jaccard.op9_ngram_jaccard(spark, sf)) == brute(rows)
 
 
+def test_against_sql(sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    rows = con.sql("SELECT doc_id, text FROM documents").fetchall()
+    assert {k: (n, c) for k, n, c in con.sql(jaccard.SQL).fetchall()} == brute(rows)
+
+
+def test_sets_of_equal_number_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 0, 7, 1, 3, None), (2, 0, 7, 2, 3, None), (3, 0, 8, 1, 3, None), (4, 0, 7, 2, 3, None)], "doc_id long, h long, node long, check long, n long, tokens binary")
+    node = {r.doc_id: r.node for r in jaccard.told_apart(rows).collect()}
+    assert node[1] == 7 and node[3] == 8 and node[2] == node[4] != 7
+    clear = rows.where("doc_id <> 1")
+    assert jaccard.told_apart(clear) is clear
+
+
 def test_near_copies_of_many(spark, monkeypatch):
     """A low bound makes most tokens of the large groups frequent, so that pairs are indexed."""
     monkeypatch.setattr(jaccard, "FREQUENT", 5)

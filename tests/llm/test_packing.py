@@ -3,6 +3,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 from copperleaf.llm import packing, tokens
@@ -59,6 +61,17 @@ def test_sequences_hold_their_tokens(spark):
     assert all((x[used[k] :] == packing.END).all() for k, x in held.items())
 
 
+def test_characters_of_latin_texts_are_of_one_kind_in_both_files():
+    """The pattern looks at kinds of characters (letters, numbers, white space, the apostrophe with its letters) and at
+    whether neighbours are of one kind. All 256 characters and all pairs of them, between letters, are split alike, so texts
+    of them are."""
+    before, find = Tokenizer.from_file(tokens.VOCABULARY).pre_tokenizer, regex.compile(public_tokenizers.PATTERN).findall
+    for a in map(chr, range(256)):
+        for b in map(chr, range(256)):
+            text = f"x{a}{b}s "
+            assert [text[i:j] for _, (i, j) in before.pre_tokenize_str(text)] == find(text)
+
+
 def test_rank_file_splits_latin_like_the_vocabulary():
     rng, tk = random.Random(3), Tokenizer.from_file(tokens.VOCABULARY)
     for _ in range(300):

@@ -1,12 +1,14 @@
+import re
 from collections import Counter, defaultdict
 from itertools import count
 
 import corpus_pipeline
-from copperleaf.llm import quality, secrets
+from copperleaf.llm import quality
 
 from .test_jaccard import brute as near
 from .test_lines import brute as line_brute
 from .test_packing import whole
+from .test_secrets import brute as secret_brute
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -30,8 +32,13 @@ def test_stages_against_brute_force(spark, sf):
         if name == "ngram_jaccard":
             assert set(after) == {k for k, (_, c) in near([(k, r.text) for k, r in now.items()]).items() if c == k}
         if name == "secret_scans":
-            assert set(after) == set(now) and not any("AKIA" in r.text and secrets.ACCESS in r.text for r in out)
-            assert all(r.n_chars == len(r.text) for k, r in after.items() if r.text != now[k].text)
+            assert set(after) == set(now)
+            had = {k for k, r in now.items() if secret_brute(r.text)}
+            assert had and not any(secret_brute(r.text) for r in out)
+            changed = {k for k, r in after.items() if r.text != now[k].text}
+            assert had <= changed and all("[SECRET]" in after[k].text and after[k].n_chars == len(after[k].text) for k in changed)
+            plain = lambda t: re.escape(t).replace(re.escape("[SECRET]"), "(?s:.+)")
+            assert all(re.fullmatch(plain(after[k].text), now[k].text) for k in changed)
         kept.append(len(out))
         now = after
     assert kept[0] > kept[2] > 50

@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import count
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,6 +58,19 @@ def test_query_against_brute_force(spark, sf):
         assert tuple(r)[1:7] == brute(texts[r.doc_id])
 
 
+def test_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want, out = con.sql(quality.SQL), quality.op2_quality_rules(spark, sf)
+    assert sorted(out.columns) == sorted(want.columns)
+    assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_line_coverage_counts_characters():
+    text = "é" * 30 + "\n" + "a" * 60 + "\n" + "é" * 30
+    assert abs(figures(text)[7] - 0.25) < 1e-9
+
+
 def test_keep_good_keeps_columns(spark):
     good = " ".join(f"w{i}" for i in range(80))
     docs = spark.createDataFrame([(1, good, "a", 2.5), (1, good, None, None), (2, "short", "a", 1.0), (3, None, "a", 1.0)], "doc_id long, text string, kept string, n_words double")
