@@ -95,8 +95,11 @@ def decode(records: DataFrame, columns: list[ir.Column] | ir.Table, options: Dec
     """The records' other columns, the decoded ones and errors. on_error "reject": a bad record has no values; "null": only bad columns have none.
 
     Columns are decoded in steps (text or hex, digits, value and error, verdict), each read from the one before, so an
-    expression doesn't grow with the number of times it is used. With "null", columns that nothing reads are pruned."""
+    expression doesn't grow with the number of times it is used. Columns that nothing reads are pruned; "reject" needs the
+    verdict on all of them, which takes no values."""
     columns = [c for c in (columns.columns if isinstance(columns, ir.Table) else columns) if c.kind not in ("row_number", "array", "overlay")]
+    if on_error == "reject":
+        return _strictly(records, columns, options)
     names, each = {c.name for c in columns}, list(enumerate(columns))
     others = [x for x in records.columns if x != "raw" and x not in names]
     raw = F.col("raw")
@@ -106,13 +109,50 @@ def decode(records: DataFrame, columns: list[ir.Column] | ir.Table, options: Dec
     pairs = [finished(c, codec(c, F.col(f"__b{i}"), options, (F.col(f"__m{i}"), F.col(f"__d{i}")) if i in of_parts else None), raw, c.offset) for i, c in each]
     step = step.select(*others, *(v.alias(f"__v{i}") for i, (v, _) in enumerate(pairs)), *(e.alias(f"__e{i}") for i, (_, e) in enumerate(pairs)))
     errors = F.array_compact(F.array(*(F.col(f"__e{i}") for i, _ in each)))
-    if on_error == "reject":
-        step = once(step)  # the verdict needs every column, so nothing could be pruned
-        good = F.coalesce(*(F.col(f"__e{i}") for i, _ in each)).isNull()
-        return step.select(*others, *(F.when(good, F.col(f"__v{i}")).alias(c.name) for i, c in each), errors.alias("errors"))
     return step.select(*others, *(F.col(f"__v{i}").alias(c.name) for i, c in each), errors.alias("errors"))
 
 
+def _places(columns: list[ir.Column]) -> list[str]:
+    """Regular expressions over a record in hex that match where all packed columns are well formed; columns that overlap
+    are in different ones."""
+    out: list[tuple[int, str]] = []
+    for c in sorted((c for c in columns if c.kind in IN_HEX and c.length), key=lambda c: c.offset):
+        digits = f"[0-9]{{{2 * c.length - 1}}}[A-F]" if c.kind == "packed" else f"[0-9]{{{2 * c.length}}}"
+        k = next((k for k, (end, _) in enumerate(out) if end <= c.offset), None)
+        end, text = (0, "^") if k is None else out[k]
+        gap = 2 * (c.offset - end)
+        item = (c.offset + c.length, f"{text}{f'.{{{gap}}}' if gap else ''}{digits}")
+        out[len(out) if k is None else k : len(out) if k is None else k + 1] = [item]
+    return [text for _, text in out]
+
+
+def _strictly(records: DataFrame, columns: list[ir.Column], options: DecodeOptions) -> DataFrame:
+    """decode() with on_error "reject". Whether a record is good is found first, by one pattern for all packed columns and
+    the digits of zoned ones; bad records alone get the list of errors; values are made of what is asked for."""
+    names = {c.name for c in columns}
+    others = [x for x in records.columns if x != "raw" and x not in names]
+    raw, empty = F.col("raw"), F.array().cast(f"array<{ERROR}>")
+    sliced = lambda c: base(c, codecs.slice_of(raw, c.offset, c.length), options)
+    zoned = [c for c in columns if c.kind == "zoned" and not c.date_format]
+    parts = records.select(*others, "raw", *(codecs.zoned_parts(sliced(c), c.length, c.signed, separate=separate_sign(c))[1].alias(f"__d{i}") for i, c in enumerate(zoned)))
+    good = F.length(raw) >= max([c.offset + c.length for c in columns], default=0)
+    for pattern in _places(columns):
+        good = good & F.hex(raw).rlike(pattern)
+    for i, c in enumerate(zoned):
+        good = good & F.coalesce((F.col(f"__d{i}") == "") | F.col(f"__d{i}").rlike("^[0-9]+$"), F.lit(False))
+    if any(c.kind in ("binary", "binary_little") and c.length not in codecs.BINARY_LENGTHS for c in columns):
+        good = F.lit(False)
+    errors = F.array_compact(F.array(*(decoded(c, raw, options)[1] for c in columns)))
+    step = once(parts.select(*others, "raw", F.when(good, empty).otherwise(errors).cast(f"array<{ERROR}>").alias("errors")))
+    fine = F.size("errors") == 0
+    step = step.select(*others, "raw", "errors", *(sliced(c).alias(f"__b{i}") for i, c in enumerate(columns)))
+    return step.select(*others, *(F.when(fine, decoded_from(c, F.col(f"__b{i}"), raw, options)).alias(c.name) for i, c in enumerate(columns)), "errors")
+
+
+def decoded_from(c: ir.Column, b: Column, raw: Column, options: DecodeOptions) -> Column:
+    return finished(c, codec(c, b, options), raw, c.offset)[0]
+
+
 def accepted(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("errors") == 0).drop("errors")
 

@@ -61,9 +61,10 @@ def upserted(target: DataFrame, source: DataFrame, pk: list[str] | None, order:
     return target.join(new.select(*pk), pk, "left_anti").unionByName(new.select(*target.columns))
 
 
-def load(rows: DataFrame, path: str, mode: str = "truncate_load", pk: list[str] | None = None, checks: tuple[Check, ...] = (), order: list[str] | None = None, rejects: str | None = None) -> dict:
-    """Writes Parquet; returns rows loaded and rejected, counted while they are written. Upsert writes beside the old
-    table and then takes its place, so a task that runs twice does no harm."""
+def load(rows: DataFrame, path: str, mode: str = "truncate_load", pk: list[str] | None = None, checks: tuple[Check, ...] = (), order: list[str] | None = None, rejects: str | None = None, keep: list[str] | None = None) -> dict:
+    """Writes Parquet; returns rows loaded and rejected, counted while they are written. keep: the columns to write, all
+    where it isn't given. Except for append, the new table is written beside the old one and then takes its place, so
+    whatever fails, one of them is there whole."""
     if mode not in MODES:
         raise ValueError(f"unknown load mode {mode}")
     if mode == "upsert" and not pk:
@@ -71,21 +72,52 @@ def load(rows: DataFrame, path: str, mode: str = "truncate_load", pk: list[str]
     spark, seen = rows.sparkSession, Observation()
     out = judged(rows, pk, checks, None if mode == "upsert" else order)
     counted = out.observe(seen, F.count_if(F.expr("reject_reason is null")).alias("loaded"), F.count_if(F.expr("reject_reason is not null")).alias("rejected"))
-    good = landed(counted)
-    if mode == "upsert" and _exists(spark, path):
-        staged = f"{path.rstrip('/')}__staged"
-        upserted(spark.read.parquet(path), good, pk, order).write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    good, columns = landed(counted), keep or rows.columns
+    recover(spark, path)
+    if mode == "append":
+        good.select(*columns).write.mode("append").parquet(path)
     else:
-        good.write.mode("append" if mode == "append" else "overwrite").parquet(path)
+        if mode == "upsert":
+            new = last_of_key(good, pk, order) if order else good
+            good = upserted(spark.read.parquet(path), new.select(*columns), pk) if _exists(spark, path) else new if order else good.dropDuplicates(pk)
+        staged = f"{path.rstrip('/')}__staged"
+        good.select(*columns).write.mode("overwrite").parquet(staged)
+        _take_place(spark, path, staged)
     if rejects:
         refused(out).write.mode("append").parquet(rejects)
     return dict(seen.get)
 
 
-def _exists(spark, path: str) -> bool:
+def _place(spark, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark, path: str) -> bool:
+    p, fs = _place(spark, path)
+    return fs.exists(p)
+
+
+def _take_place(spark, path: str, staged: str) -> None:
+    """staged becomes path; the table that was there is aside until then, where recover() finds it."""
+    (p, fs), (old, _), (new, _) = (_place(spark, x) for x in (path, f"{path.rstrip('/')}__old", staged))
+    if fs.exists(p):
+        fs.delete(old, True)
+        fs.rename(p, old)
+    fs.rename(new, p)
+    fs.delete(old, True)
+
+
+def remove(spark, path: str) -> None:
+    p, fs = _place(spark, path)
+    fs.delete(p, True)
+
+
+def recover(spark, path: str) -> None:
+    """Puts back the table that a load which broke off between its two renames has left aside."""
+    (p, fs), (old, _) = (_place(spark, x) for x in (path, f"{path.rstrip('/')}__old"))
+    if not fs.exists(p) and fs.exists(old):
+        fs.rename(old, p)
 
 
 def to_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", batch: int = 10_000, **options: str) -> None:

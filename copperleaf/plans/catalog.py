@@ -17,9 +17,9 @@ from copperleaf.functions import codecs
 from copperleaf.functions import encoders as enc
 from copperleaf.operators import load, reconcile, reshape, transform
 from copperleaf.operators.decode import DecodeOptions, accepted, decode, once, page_scores, rejected
-from copperleaf.plans import state
+from copperleaf.plans import engine, state
 from copperleaf.plans.schema import Options, Table, compile_copybook
-from copperleaf.sources import records
+from copperleaf.sources import records, tables
 from copperleaf.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,18 @@ EVENT = """
    05 EV-ERROR REDEFINES EV-BODY.
       10 EV-CODE PIC 9(8).
 """
+#: Characters only, the last of them a semicolon: what Spark's text writer can make files of.
+RUN_ORDER = """
+01 RUN-ORDER.
+   05 RO-KEY PIC 9(9).
+   05 RO-STATUS PIC X.
+      88 RO-KNOWN VALUE 'O' 'F'.
+   05 RO-PARTS OCCURS 3 TIMES.
+      10 RP-PART PIC 9(9).
+      10 RP-QTY PIC 9(3).
+   05 RO-FILE PIC X(4).
+   05 FILLER PIC X.
+"""
 DATES = {"ORD-DATE": "YYYYMMDD", "LN-SHIP": "YYYYDDD"}
 
 
@@ -412,12 +424,20 @@ def mixed_records(spark, d) -> DataFrame:
     return order_records(table(spark, d, "orders")).select("raw").unionAll(line_records(table(spark, d, "lineitem")).select("raw"))
 
 
+def routed_once(spark, d, default: str | None) -> DataFrame:
+    """The mixed records, routed and written once by table, so that each table's decoding reads its own records only."""
+    path = scratch(spark)
+    rows = reshape.routed(mixed_records(spark, d), 0, 1, {"O": "order_rec", "L": "line_rec"}, default)
+    rows.write.partitionBy("table_name").parquet(path)
+    return spark.read.schema("raw binary, table_name string").parquet(path)
+
+
 @query(
     "SELECT 'order_rec' AS table_name, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(11,2))) AS DECIMAL(20,2)) AS total FROM orders "
     "UNION ALL SELECT 'line_rec', count(*), CAST(sum(CAST(l_extendedprice AS DECIMAL(13,2))) AS DECIMAL(20,2)) FROM lineitem"
 )
 def route_record_types(spark, d):
-    rows = reshape.routed(mixed_records(spark, d), 0, 1, {"O": "order_rec", "L": "line_rec"}, "order_rec")
+    rows = routed_once(spark, d, "order_rec")
     part = lambda t, c: accepted(decode(reshape.of_table(rows, t.name), t)).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"), F.sum(c).cast("decimal(20,2)").alias("total"))
     return part(layout(ORDER), "ord_total").unionAll(part(layout(LINE), "ln_price"))
 
@@ -434,7 +454,7 @@ def route_default(spark, d):
 )
 def flagship(spark, d):
     """A mixed file: routed, decoded, lines joined to their orders, revenue by status."""
-    rows = reshape.routed(mixed_records(spark, d), 0, 1, {"O": "order_rec", "L": "line_rec"}, None)
+    rows = routed_once(spark, d, None)
     o = accepted(decode(reshape.of_table(rows, "order_rec"), layout(ORDER))).select("ord_key", "ord_status")
     x = accepted(decode(reshape.of_table(rows, "line_rec"), layout(LINE))).select("ln_ord", "ln_price")
     both = x.join(o, F.col("ln_ord") == F.col("ord_key"))
@@ -515,6 +535,108 @@ def level88_check(spark, d):
     return orders(order_records(table(spark, d, "orders"))).agg(F.count_if(~check.holds()).alias("n_bad"))
 
 
+# --- managed runs over files ------------------------------------------------------------------------------------------
+
+
+def run_files(spark, d) -> str:
+    """A folder of files of RUN_ORDER records, written by Spark."""
+    number = lambda x, n: enc.zoned(x, n, signed=False)
+    parts = [y for k in (1, 2, 3) for y in (number(F.col("o_custkey") + k, 9), number((F.col("o_orderkey") + k) % 1000, 3))]
+    path = scratch(spark)
+    rows = table(spark, d, "orders").select(F.concat(number(F.col("o_orderkey"), 9), "o_orderstatus", *parts, F.lit("file")).alias("value"))
+    rows.write.option("lineSep", ";").text(path)
+    return path
+
+
+def ran(spark, d, **options) -> tuple[engine.RunConfig, str]:
+    folder = scratch(spark)
+    config = engine.RunConfig("orders", RUN_ORDER, [engine.Source(run_files(spark, d))], f"{folder}/target", f"{folder}/state", options=Options(**options), decoding=DecodeOptions(ascii=True), free=True)
+    return config, engine.run(spark, config)
+
+
+RUN_PARTS = "SELECT CAST(o_orderkey AS INT) AS ro_key, CAST(k AS SMALLINT) AS occurrence_index, CAST(o_custkey + k AS INT) AS rp_part, CAST((o_orderkey + k) % 1000 AS SMALLINT) AS rp_qty FROM orders, (SELECT unnest([1, 2, 3]) AS k)"
+
+
+@query("SELECT CAST(o_orderkey AS INT) AS ro_key, o_orderstatus AS ro_status, CAST(o_custkey + 1 AS INT) AS first_part FROM orders")
+def fixed_split_scan(spark, d):
+    """Files of fixed records, split between tasks."""
+    t = compile_copybook(RUN_ORDER, Options(occurs="wide"), free=True).tables[0]
+    rows = records.read_records(spark, run_files(spark, d), "F", t.record_length)
+    return accepted(decode(rows, t, DecodeOptions(ascii=True))).select("ro_key", "ro_status", F.col("rp_part_1").alias("first_part"))
+
+
+@query("SELECT CAST(o_orderkey AS INT) AS ro_key, o_orderstatus AS ro_status, 'file' AS ro_file FROM orders WHERE o_orderstatus IN ('O', 'F')")
+def run_main_table(spark, d):
+    config, _ = ran(spark, d)
+    return spark.read.parquet(f"{config.target}/run_order")
+
+
+@query(RUN_PARTS)
+def run_child_table(spark, d):
+    config, _ = ran(spark, d)
+    return spark.read.parquet(f"{config.target}/run_order_ro_parts")
+
+
+@query(f"SELECT ro_key, CAST(count(*) AS INT) AS n, CAST(sum(rp_part) AS BIGINT) AS parts FROM ({RUN_PARTS}) JOIN orders ON o_orderkey = ro_key WHERE o_orderstatus IN ('O', 'F') GROUP BY ro_key")
+def run_json_column(spark, d):
+    config, _ = ran(spark, d, occurs="json")
+    parts = F.from_json("ro_parts_array", "array<struct<rp_part: int, rp_qty: smallint>>")
+    rows = spark.read.parquet(f"{config.target}/run_order").withColumn("parts", parts)
+    return rows.select("ro_key", F.size("parts").alias("n"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["rp_part"]).alias("parts"))
+
+
+@query("SELECT 'load' AS error_type, 'check chk_run_order_ro_status' AS error_message, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderstatus NOT IN ('O', 'F') HAVING count(*) > 0")
+def run_refusals(spark, d):
+    config, run_id = ran(spark, d)
+    log = state.Store(spark, config.state).rows("rejection_log").where(F.col("run_id") == run_id)
+    key = F.get_json_object("decoded_partial", "$.ro_key").cast("long")
+    return log.groupBy("error_type", "error_message").agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys"))
+
+
+@query(
+    'SELECT k AS "check", t AS table_name, CASE WHEN k = \'rejection_rate\' AND t = \'run_order\' THEN (SELECT count(*) FILTER (o_orderstatus NOT IN (\'O\', \'F\')) < 0.01 * count(*) FROM orders) ELSE true END AS passed '
+    "FROM (SELECT unnest(['row_count', 'rejection_rate', 'completed', 'in_target']) AS k), (SELECT unnest(['run_order', 'run_order_ro_parts']) AS t)"
+)
+def run_validation(spark, d):
+    config, run_id = ran(spark, d)
+    return engine.validate(spark, config, run_id)
+
+
+@query("SELECT 'table_progress' AS event, 2 AS n, (SELECT 3 * count(*) + count(*) FILTER (o_orderstatus IN ('O', 'F')) FROM orders) AS loaded UNION ALL SELECT 'run_complete', 1, 0")
+def run_progress(spark, d):
+    config, run_id = ran(spark, d)
+    events = state.Store(spark, config.state).rows("progress_events").where(F.col("run_id") == run_id)
+    return events.groupBy("event").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("rows_loaded").alias("loaded"))
+
+
+@query("SELECT CAST(n_nationkey AS SMALLINT) AS na_key, n_name AS na_name, CAST(n_regionkey AS SMALLINT) AS na_region FROM nation")
+def delimited_scan_nation(spark, d):
+    t = layout("01 NATION.\n 05 NA-KEY PIC 9(4).\n 05 NA-NAME PIC X(25).\n 05 NA-REGION PIC 9(4).\n")
+    path = scratch(spark)
+    table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.csv(path)
+    return accepted(tables.delimited(spark, path, t))
+
+
+@query("SELECT o_orderkey AS ord_key, o_orderstatus AS ord_status, CAST(o_totalprice AS DECIMAL(11,2)) AS ord_total FROM orders")
+def unload_scan_orders(spark, d):
+    content = records.as_files(order_records(table(spark, d, "orders")), "o_orderkey", 4000, records.described())
+    return accepted(tables.unloaded(content, layout(ORDER))).select("ord_key", "ord_status", "ord_total")
+
+
+PAGES = ("cp037", "cp273", "cp277", "cp278", "cp280", "cp284", "cp285", "cp290", "cp297", "cp420", "cp500", "cp870", "cp875", "cp1047", "cp1140", "cp1141", "cp1142", "cp1143", "cp1144", "cp1145", "cp1146", "cp1147", "cp1148", "cp1149")
+
+
+@query("SELECT p AS page, n_name AS name FROM nation, (SELECT unnest([" + ", ".join(f"'{p}'" for p in PAGES) + "]) AS p)")
+def ebcdic_text_all_pages(spark, d):
+    """Names written in and read from each code page: their capitals lie at other places than ASCII's in all of them."""
+    n = table(spark, d, "nation")
+    one = lambda p: n.select(F.lit(p).alias("page"), codecs.ebcdic_text(enc.text(F.col("n_name"), 25, p), p).value.alias("name"))
+    out = one(PAGES[0])
+    for p in PAGES[1:]:
+        out = out.unionAll(one(p))
+    return out
+
+
 # --- loading ----------------------------------------------------------------------------------------------------------
 
 
@@ -540,7 +662,7 @@ def load_truncate(spark, d):
 
 
 @query(
-    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_acctbal AS DECIMAL(12,2)) + 1 ELSE CAST(c_acctbal AS DECIMAL(12,2)) END AS bal "
+    "SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN CAST(c_acctbal AS DECIMAL(12,2)) + 1 ELSE CAST(c_acctbal AS DECIMAL(12,2)) END AS DECIMAL(13,2)) AS bal "
     "FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"
 )
 def load_upsert(spark, d):
@@ -549,9 +671,6 @@ def load_upsert(spark, d):
     return out.withColumn("bal", F.col("bal").cast("decimal(13,2)"))
 
 
-ORACLES["load_upsert"] = ORACLES["load_upsert"].replace("SELECT c_custkey, CASE", "SELECT c_custkey, CAST(CASE").replace("END AS bal", "END AS DECIMAL(13,2)) AS bal")
-
-
 @query(
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DECIMAL(5,0)) AS qty FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber "
     "ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS k FROM lineitem) WHERE k = 1"

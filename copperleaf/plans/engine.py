@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copperleaf.operators import load as loading
+from copperleaf.operators import reconcile
 from copperleaf.operators.decode import DecodeOptions, decode
-from copperleaf.operators.reshape import of_table, routed
+from copperleaf.operators.reshape import child_rows, element_structs, of_table, overlay_json, routed
 from copperleaf.plans import ddl
-from copperleaf.plans.schema import Options, Schema, Table, compile_copybook
+from copperleaf.plans.schema import Array, Options, Schema, Table, compile_copybook, snake
 from copperleaf.plans.state import Store
 from copperleaf.sources import records
 
@@ -37,6 +41,7 @@ class RunConfig:
     mode: str = "truncate_load"
     on_error: str = "reject"
     options: Options = field(default_factory=Options)
+    free: bool = False  # the copybook's lines have no columns of their own
     decoding: DecodeOptions = field(default_factory=DecodeOptions)
 
 
@@ -44,9 +49,38 @@ def checks_of(t: Table) -> tuple[loading.Check, ...]:
     return tuple(loading.Check(f"chk_{t.name}_{c.name}", c.name, tuple(c.check)) for c in t.columns if c.check)
 
 
+@lru_cache(maxsize=64)
+def _compiled(text: str, options: str, free: bool) -> Schema:
+    return compile_copybook(text, Options(**json.loads(options)), free=free)
+
+
+def compiled(text: str, options: Options | None = None, free: bool = False) -> Schema:
+    """A copybook's schema; of equal texts and options it is worked out once."""
+    return _compiled(text, json.dumps(dataclasses.asdict(options or Options()), sort_keys=True), free)
+
+
+def with_derived(rows: DataFrame, t: Table, decoding: DecodeOptions) -> DataFrame:
+    """rows (with __raw) with the JSON columns that stand for arrays and overlays of a table."""
+    raw, columns = F.col("__raw"), {}
+    for c in t.columns:
+        if c.kind == "array":
+            a = next(a for a in t.arrays if a.name == snake(c.source))
+            columns[c.name] = F.to_json(element_structs(a, raw, F.col(a.counter) if a.counter else None, decoding))
+        elif c.kind == "overlay":
+            columns[c.name] = overlay_json(next(o for o in t.overlays if o.name == snake(c.source)), raw, decoding)
+    good = F.size("errors") == 0
+    return rows.withColumns({k: F.when(good, x) for k, x in columns.items()}) if columns else rows
+
+
+def children_of(schema: Schema, t: Table) -> list[tuple[Table, Array]]:
+    """The tables of a table's arrays."""
+    return list(zip([x for x in schema.tables if x.kind == "occurs_child" and x.parent == t.name], t.arrays, strict=False))
+
+
 def extracted(spark: SparkSession, schema: Schema, source: Source, config: RunConfig) -> dict[str, tuple[Table, DataFrame]]:
-    """For each table of the source, its decoded rows with raw and errors."""
+    """For each table of the source, its decoded rows with __file, __line_num, __raw and errors; child tables after theirs."""
     rows = records.read_records(spark, source.path, source.recfm, source.record_length or schema.table(source.table or "").record_length, source.skip)
+    rows = rows.withColumnsRenamed({"file": "__file", "line_num": "__line_num"})  # a copybook may have fields of these names
     if source.route:
         offset, length, types = source.route
         default = schema.table("").name if source.unmatched == "default" else None
@@ -54,33 +88,85 @@ def extracted(spark: SparkSession, schema: Schema, source: Source, config: RunCo
         parts = {n: of_table(rows, n).drop("table_name") for n in dict.fromkeys([*types.values(), *([default] if default else [])])}
     else:
         parts = {schema.table(source.table or "").name: rows}
-    known = {t.name: t for t in schema.tables}
-    return {n: (known[n], decode(r.withColumn("__raw", F.col("raw")), known[n], config.decoding, config.on_error)) for n, r in parts.items() if n in known}
+    known, out = {t.name: t for t in schema.tables}, {}
+    for name, r in parts.items():
+        if (t := known.get(name)) is None:
+            continue
+        r = r.withColumn("__raw", F.col("raw"))
+        out[name] = t, with_derived(decode(r, t, config.decoding, config.on_error), t, config.decoding)
+        for child, a in children_of(schema, t):
+            keys = [t.column(k) for k in t.primary_key]
+            of = child_rows(r, a, keys, t.column(a.counter) if a.counter else None, config.decoding)
+            out[child.name] = child, of
+    return out
 
 
 def run(spark: SparkSession, config: RunConfig) -> str:
-    """Loads every source whose checksum is not already loaded; returns the run's id. A failing table fails alone."""
-    schema, store = compile_copybook(config.copybook, config.options), Store(spark, config.state)
-    run_id = store.start_run(config.project)
+    """Loads every source whose checksum is not already loaded; returns the run's id. A failing table fails alone, and the
+    run is failed then; a cancelled run takes no further table. What is decoded is written once, then counted, logged and
+    loaded from there."""
+    schema, store = compiled(config.copybook, config.options, config.free), Store(spark, config.state)
+    run_id, failed = store.start_run(config.project), []
     for source in config.sources:
         checksum = records.checksums(records.files(spark, source.path)).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("checksum")), ","), 256)).first()[0]
         for name, (t, rows) in extracted(spark, schema, source, config).items():
+            if store.status(run_id) == "cancelled":
+                return run_id
             if store.completed(config.project, name, checksum):
                 continue
             state = store.start_table(run_id, name, checksum)
+            staged, refused = (f"{store.path('staged')}/{run_id}/{state}-{x}" for x in ("decoded", "refused"))
             try:
+                columns = [c.name for c in t.columns]
+                rows.write.parquet(staged)
+                rows = spark.read.schema(rows.schema).parquet(staged)
                 bad = rows.where(F.size("errors") > 0)
-                store.log_rejections(run_id, state, bad.withColumnRenamed("__raw", "raw"))
+                store.log_rejections(run_id, state, bad.select(F.col("__line_num").alias("line_num"), F.col("__raw").alias("raw"), "errors"))
                 n_bad = bad.count() if config.on_error == "reject" else 0
                 good = rows.where(F.size("errors") == 0) if config.on_error == "reject" else rows
                 # arrival order decides between equal keys
-                stats = loading.load(good.select("file", "line_num", *(c.name for c in t.columns)), f"{config.target}/{name}", config.mode, t.primary_key or None, checks_of(t), ["file", "line_num"])
+                stats = loading.load(good.drop("errors"), f"{config.target}/{name}", config.mode, t.primary_key or None, checks_of(t), ["__file", "__line_num"], refused, columns)
+                store.log_refusals(run_id, state, spark.read.parquet(refused).withColumnsRenamed({"__line_num": "line_num", "__raw": "raw"}).drop("__file"))
                 store.finish_table(state, stats["loaded"] + stats["rejected"] + n_bad, stats["loaded"], stats["rejected"] + n_bad)
+                store.tell(run_id, "table_progress", name, stats["loaded"], stats["rejected"] + n_bad)
             except Exception as e:
+                failed.append(name)
                 store.finish_table(state, 0, 0, 0, "failed", str(e)[:2000])
-    store.finish_run(run_id)
+                store.tell(run_id, "table_progress", name)
+            for path in (staged, refused):
+                loading.remove(spark, path)
+    store.finish_run(run_id, "failed" if failed else "completed", f"failed: {', '.join(failed)}" if failed else None)
+    store.tell(run_id, "run_complete")
     return run_id
 
 
+def validate(spark: SparkSession, config: RunConfig, run_id: str, most: float = reconcile.RATE) -> DataFrame:
+    """check, table_name, passed for a run: rows extracted against rows loaded and rejected, the rate of rejections, and the
+    rows that are in the target, for each table; and whether all tables completed."""
+    store = Store(spark, config.state)
+    states = store.latest("table_migration_states").where(F.col("run_id") == run_id)
+    parts = [
+        reconcile.count_check(states).select(F.lit("row_count").alias("check"), "table_name", "passed"),
+        reconcile.rate_check(states, most).select(F.lit("rejection_rate").alias("check"), "table_name", "passed"),
+        states.select(F.lit("completed").alias("check"), "table_name", (F.col("status") == "completed").alias("passed")),
+    ]
+    if config.mode == "truncate_load":
+        for name in [r.table_name for r in states.where("status = 'completed'").select("table_name").distinct().collect()]:  # tables of one copybook
+            there = spark.read.parquet(f"{config.target}/{name}").count()
+            own = states.where(F.col("table_name") == name).agg(F.max_by("rows_loaded", "finished_at").alias("loaded"))
+            parts.append(own.select(F.lit("in_target").alias("check"), F.lit(name).alias("table_name"), (F.col("loaded") == there).alias("passed")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def preview(spark: SparkSession, config: RunConfig, n: int = 10) -> DataFrame:
+    """The first decoded rows of the first source's table."""
+    schema = compiled(config.copybook, config.options, config.free)
+    t, rows = next(iter(extracted(spark, schema, config.sources[0], config).values()))
+    return rows.orderBy("__file", "__line_num").select(*(c.name for c in t.columns), "errors").limit(n)
+
+
 def ddl_of(copybook: str, dialect: str = "postgres", options: Options | None = None) -> str:
-    return ddl.script(compile_copybook(copybook, options), dialect)
+    return ddl.script(compiled(copybook, options), dialect)

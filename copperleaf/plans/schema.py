@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
-import re
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -100,7 +100,9 @@ class Schema:
 
 
 def snake(name: str) -> str:
-    return re.sub(r"[^a-z0-9_]", "_", name.replace("-", "_").lower()).strip("_") or "field"
+    """A column's name: ASCII letters, digits and underscores as they are, an underscore for anything else between them."""
+    kept = [c if c == "_" or c.isascii() and c.isalnum() else "_" for c in name.lower()]
+    return "".join(kept).strip("_") or "field"
 
 
 def sql_type(item: Item) -> SqlType:
@@ -146,7 +148,7 @@ def kind_of(item: Item) -> str:
 class Options:
     """How a copybook becomes tables. dates, sentinels and keys are given by the items' names."""
 
-    filler: str = "skip"  # skip, keep
+    filler: str = "skip"  # skip, warn (and skip), keep
     redefines: str = "wide"  # wide, subtype, json
     occurs: str = "child"  # child, json, wide
     dates: dict[str, str] = field(default_factory=dict)
@@ -194,7 +196,9 @@ class Analyzer:
 
     def _fill(self, table: Table | Array, items: list[Item], prefix: str, base: int) -> None:
         for item in items:
-            if item.filler and self.options.filler == "skip":
+            if item.filler and self.options.filler != "keep":
+                if self.options.filler == "warn":
+                    warnings.warn(f"FILLER at {item.offset} in {getattr(table, 'name', '') or 'a group'} is left out", stacklevel=2)
                 continue
             if item.occurs:
                 elements = Array(snake(item.name), item.offset - base, item.length, item.occurs.least, item.occurs.most, item.occurs.depending_on and snake(item.occurs.depending_on), [])

@@ -1,6 +1,7 @@
-"""Record files as DataFrames file, line_num, raw. All start from rows (path, content), as the binaryFile source gives them.
+"""Record files as DataFrames file, line_num, raw.
 
-Fixed-length files are cut by expressions alone. Variable ones must be walked record by record, each file in one task.
+Fixed-length files are split between tasks at record boundaries, whatever their size. Other formats start from rows (path,
+content), as the binaryFile source gives them; variable ones must be walked record by record, each file in one task.
 """
 
 from __future__ import annotations
@@ -34,6 +35,31 @@ def fixed(content: DataFrame, record_length: int, skip: int = 0) -> DataFrame:
     return out.where(F.col("line_num") > skip) if skip else out
 
 
+def split_fixed(spark: SparkSession, path: str, record_length: int, skip: int = 0) -> DataFrame:
+    """Records of one length from files of any size, read by the JVM's fixed-length input format. A file's records are
+    numbered by where their split begins, so nothing is counted first. Files must hold whole records."""
+    if record_length < 1:
+        raise ValueError("fixed-length records need a record length")
+    rdd = spark._jsc.sc().binaryRecords(path, record_length, spark._jsc.hadoopConfiguration())
+    rows = DataFrame(spark._jsparkSession.createDataset(rdd, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark).toDF("raw")
+    at = F.expr(f"input_file_block_start() div {record_length} + (monotonically_increasing_id() & {(1 << 33) - 1}) + 1")
+    out = rows.select(F.input_file_name().alias("file"), at.cast("long").alias("line_num"), "raw")
+    return out.where(F.col("line_num") > skip) if skip else out
+
+
+def fixed_files(spark: SparkSession, path: str, record_length: int, skip: int = 0) -> DataFrame:
+    """Records of one length of all files at a path. Files with a short tail can't be split; they are read whole."""
+    if record_length < 1:
+        raise ValueError("fixed-length records need a record length")
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length")  # no content
+    cut = [r.path for r in sizes.where(F.col("length") % record_length != 0).select("path").collect()]  # names of files
+    if not cut:
+        return split_fixed(spark, path, record_length, skip)
+    whole = [r.path for r in sizes.where((F.col("length") % record_length == 0) & (F.col("length") > 0)).select("path").collect()]
+    out = fixed(spark.read.format("binaryFile").load(cut).select("path", "length", "content"), record_length, skip)
+    return out.unionAll(split_fixed(spark, ",".join(whole), record_length, skip)) if whole else out
+
+
 def fixed_count(content: DataFrame, record_length: int) -> DataFrame:
     return content.agg(F.coalesce(F.sum(F.expr(f"length div {record_length}")), F.lit(0)).cast("long").alias("n"))
 
@@ -103,7 +129,7 @@ def read_records(spark: SparkSession, path: str, recfm: str, record_length: int
         case "F" | "FB":
             if not record_length:
                 raise ValueError("recfm F needs record_length")
-            return fixed(files(spark, path), record_length, skip)
+            return fixed_files(spark, path, record_length, skip)
         case "V":
             return variable(files(spark, path))
         case "VB":
