@@ -40,11 +40,27 @@ def create_table(table: Table, dialect: str = "postgres", space: str | None = No
     return f"CREATE TABLE {there}{q(space or SPACE[dialect])}.{q(table.name)} (\n{body}\n){tail};"
 
 
-def script(schema: Schema, dialect: str = "postgres", space: str | None = None, comments: bool = False) -> str:
-    """All tables, parents first, then foreign keys."""
+def lookup_tables(table: Table, dialect: str = "postgres", space: str | None = None) -> list[str]:
+    """For each column with named conditions, a table of its values and their names, filled where it is created."""
+    q, space, out = (lambda x: quoted(x, dialect)), space or SPACE[dialect], []
+    there, tail = ("" if dialect == "sqlserver" else "IF NOT EXISTS "), (" USING parquet" if dialect == "spark" else "")
+    name_type = {"postgres": "VARCHAR(64)", "sqlserver": "NVARCHAR(64)", "spark": "STRING"}[dialect]
+    for c in table.columns:
+        if c.check:
+            name = f"{q(space)}.{q(f'{table.name}_{c.name}_values')}"
+            key = "" if dialect == "spark" else " PRIMARY KEY"
+            pairs = {v: n for v, n in zip(c.check, c.check_names, strict=True)}
+            rows = ", ".join(f"({literal(v, c.type.spark != 'string')}, {literal(n, False)})" for v, n in pairs.items())
+            out.append(f"CREATE TABLE {there}{name} ({q('value')} {type_text(c, dialect)}{key}, {q('name')} {name_type}){tail};\nINSERT INTO {name} ({q('value')}, {q('name')}) VALUES {rows};")
+    return out
+
+
+def script(schema: Schema, dialect: str = "postgres", space: str | None = None, comments: bool = False, lookups: bool = False) -> str:
+    """Lookup tables where they are asked for, all tables, parents first, then foreign keys."""
     q, space = (lambda x: quoted(x, dialect)), space or SPACE[dialect]
     tables = sorted(schema.tables, key=lambda t: t.kind == "occurs_child")
-    out = [create_table(t, dialect, space, comments) for t in tables]
+    out = [x for t in tables if t.kind == "main" for x in lookup_tables(t, dialect, space)] if lookups else []
+    out += [create_table(t, dialect, space, comments) for t in tables]
     for r in schema.relationships if dialect != "spark" else []:
         columns = ", ".join(map(q, r.columns))
         out.append(f"ALTER TABLE {q(space)}.{q(r.child)} ADD CONSTRAINT {q(r.name)} FOREIGN KEY ({columns}) REFERENCES {q(space)}.{q(r.parent)} ({columns});")

@@ -38,6 +38,7 @@ class Column:
     date_format: str | None = None
     sentinels: list[str] = field(default_factory=list)
     check: list[str] = field(default_factory=list)
+    check_names: list[str] = field(default_factory=list)  # of the conditions that the values belong to
 
 
 @dataclass
@@ -191,7 +192,7 @@ class Analyzer:
         return Column(
             prefix + snake(item.name), item.name, sql_type(item), item.offset - base, item.length, kind_of(item), p.decimals, p.digits + p.decimals,
             p.signed or not item.picture, sign, date_format=self.options.dates.get(item.name), sentinels=self.options.sentinels.get(item.name, []),
-            check=[v for c in item.conditions for v in c.values],
+            check=[v for c in item.conditions for v in c.values], check_names=[c.name for c in item.conditions for _ in c.values],
         )
 
     def _fill(self, table: Table | Array, items: list[Item], prefix: str, base: int) -> None:
