@@ -18,9 +18,10 @@ one. A node's number is a 64-bit hash of its set; sets of one number and another
 In each index group the nodes are ranked, those with the fewest rare tokens first. The first one meets all others of
 the group, the links are verified and united, and it leaves the group: it has met everyone there. Groups whose nodes are
 one component by then are done, which is what becomes of the near copies of one text however many they are. In small
-groups that are still open, nodes meet the members of other components. In large ones (more than LARGE nodes) another
-node leads, outside the group's largest component, as long as that shrinks the rest; what is left outside is compared
-with the group in blocks of bounded size, which give a spanning forest of their links instead of pairs. Nothing is
+groups that are still open, nodes meet the members of other components. In large ones (more than LARGE nodes) what is left
+outside the group's largest component is compared with the group in blocks of bounded size, which give a spanning forest
+of their links instead of pairs. Where that would be very many blocks, another node outside leads first, as long as that
+halves them. Nothing is
 capped: no pair that could link two components is left untested. Before sets are compared, their sizes and then counts
 of their tokens by hash range bound the overlap, at a sixteenth of the bytes.
 
@@ -48,8 +49,9 @@ FREQUENT = 24
 SEEN = 1 << 18
 #: Groups of more nodes are compared in blocks of about BLOCK nodes, COLUMNS tokens at once.
 LARGE, BLOCK, COLUMNS = 64, 256, 4096
-#: A further round of leaders is worth it while it leaves this share of the nodes outside, or less.
-SHRINKS = 0.8
+#: A further round of leaders is worth it where more pairs of blocks than MANY would be compared, while it leaves a share
+#: of SHRINKS of them or less.
+MANY, SHRINKS = 4096, 0.5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -390,6 +392,12 @@ def outsiders(large: DataFrame) -> DataFrame:
     return cut(large.join(of, "key").withColumn("outside", F.col("root") != F.col("main")).drop("main"))
 
 
+def block_pairs(large: DataFrame) -> int:
+    """About how many pairs of blocks of_large_groups() would compare."""
+    n = large.groupBy("key").agg(F.expr(f"ceil(count_if(outside) / {BLOCK}) * ceil(count(*) / {BLOCK})").alias("n"))
+    return n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def linked(rows: DataFrame) -> DataFrame:
     """node, root: nodes that are linked with another one. rows: see stored()."""
     indexed = cut(index(rows, *token_classes(rows)))
@@ -418,16 +426,16 @@ def linked(rows: DataFrame) -> DataFrame:
     more = small.select("key", F.col("rank").alias("l_rank"), *as_leader).join(small, "key").where("rank > l_rank")
     links = links.unionAll(tested(more))
 
-    large, before = outsiders(own.where(F.col("size") > LARGE)), None
-    while (outside := large.where("outside").count()) and (before is None or outside <= SHRINKS * before):
-        before = outside
+    large, before = outsiders(own.where(F.col("size") > LARGE)), math.inf
+    while MANY < (work := block_pairs(large)) <= SHRINKS * before:
+        before = work
         leads = large.where("outside").groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.struct("rank", "node")).alias("lead"))
         leads = cut(leads.select("key", *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("node", "n", "root"))))
         links = links.unionAll(tested(large.join(leads, "key")))
         roots = cut(components(links))
         others = large.join(leads, (large["key"] == leads["key"]) & (large["node"] == leads["l_node"]), "left_anti").drop("root", "outside")
         large = outsiders(still_open(others, roots))
-    if outside:
+    if work:
         links = links.unionAll(cut(of_large_groups(large.select("key", "node", "outside"), rows)))
     roots = cut(components(cut(links)))
     discard(groups, own, facts, large)
