@@ -30,11 +30,22 @@ def all_passed(checks: DataFrame, *by: str) -> DataFrame:
 
 
 def figures(rows: DataFrame, columns: Iterable[str], scale: int = 2) -> DataFrame:
-    """column_name, n, total, least, most, n_distinct in long form; one pass for each side."""
-    columns = list(columns)
-    d = lambda c: F.col(c).cast(f"decimal(20,{scale})")
-    parts = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.sum(d(c)).cast(f"decimal(38,{scale})").alias("total"), F.min(d(c)).alias("least"), F.max(d(c)).alias("most"), F.count_distinct(c).alias("n_distinct")) for c in columns]
-    return rows.agg(F.array(*parts).alias("x")).select(F.inline("x"))
+    """column_name, n, total, least, most, n_distinct in long form. Each column is read alone and grouped by its values, whose
+    counts give all figures; several distinct counts at once would multiply the rows instead."""
+    d = F.col("v").cast(f"decimal(20,{scale})")
+    parts = []
+    for c in columns:
+        values = rows.select(F.col(c).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+        parts.append(
+            values.agg(
+                F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("k"))), F.lit(0)).alias("n"), F.sum(d * F.col("k").cast("decimal(18,0)")).cast(f"decimal(38,{scale})").alias("total"),
+                F.min(d).alias("least"), F.max(d).alias("most"), F.count("v").alias("n_distinct"),
+            ).select(F.lit(c).alias("column_name"), "*")
+        )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
 
 
 def aggregates_check(source: DataFrame, target: DataFrame, columns: Iterable[str]) -> DataFrame:
