@@ -37,6 +37,20 @@ def elements(a: ir.Array, raw: Column, counter: Column | None = None) -> Column:
     return F.when(n > 0, all_of).otherwise(F.array().cast("array<binary>"))
 
 
+def full_layout(records: DataFrame, t: ir.Table, options: DecodeOptions = DecodeOptions()) -> DataFrame:
+    """records whose variable arrays (OCCURS DEPENDING ON) have all their places: elements that aren't there are zero bytes,
+    so what follows is where the layout says. Records of the full length are left as they are."""
+    out = records
+    for a in sorted((a for a in t.arrays if a.counter), key=lambda a: a.offset):
+        raw = F.col("raw")
+        n = F.coalesce(element_count(a, decoded(t.column(a.counter), raw, options)[0]), F.lit(0))
+        end = F.lit(a.offset) + n * a.stride
+        gap = F.unhex(F.repeat(F.lit("00"), (F.lit(a.most) - n) * a.stride))
+        wide = F.concat(F.substring(raw, F.lit(1), end), gap, F.substring(raw, end + 1, F.greatest(F.length(raw) - end, F.lit(0))))
+        out = out.withColumn("raw", F.when((F.length(raw) >= t.record_length) | (F.length(raw) < end), raw).otherwise(wide))
+    return out
+
+
 def child_rows(records: DataFrame, a: ir.Array, keys: list[ir.Column], counter: ir.Column | None = None, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """One row for each element: the parent's keys, occurrence_index from 1, the element's columns and errors."""
     raw = F.col("raw")

@@ -6,6 +6,7 @@ and compared with plain SQL over the tables themselves. Everything stays distrib
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -69,6 +70,7 @@ ORDER_LINES = """
       10 OL-QTY PIC S9(5) COMP-3.
       10 OL-PRICE PIC S9(11)V99 COMP-3.
 """
+ORDER_LINES_END = ORDER_LINES + "   05 OO-END PIC X(3).\n"
 EVENT = """
 01 EVENT-REC.
    05 EV-ID PIC 9(18) COMP.
@@ -483,6 +485,14 @@ def odo_child_rows(spark, d):
     return lines_of(spark, d, False)
 
 
+@query("SELECT DISTINCT l_orderkey AS oo_key, 'end' AS oo_end FROM lineitem")
+def odo_field_after_array(spark, d):
+    """A field behind an array of varying size."""
+    t = layout(ORDER_LINES_END)
+    rows = order_line_records(table(spark, d, "lineitem")).select(joined(F.col("raw"), enc.text(F.lit("end"), 3)).alias("raw"))
+    return accepted(decode(reshape.full_layout(rows, t), t)).select("oo_key", "oo_end")
+
+
 @query("SELECT l_orderkey AS oo_key, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(13,2))) AS DECIMAL(20,2)) AS total FROM lineitem GROUP BY 1")
 def occurs_array_agg(spark, d):
     t = layout(ORDER_LINES)
@@ -641,8 +651,11 @@ def ebcdic_text_all_pages(spark, d):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a query's tables: below the folder the cluster shares, or a local one where there is none."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-load-')}/copperleaf-{uuid.uuid4().hex}"
+    """A new folder for a query's tables, below the folder the cluster shares; a local session may have one of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-load-')}/copperleaf-{uuid.uuid4().hex}"
 
 
 @query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS n_keys FROM (SELECT c_custkey FROM customer UNION ALL SELECT c_custkey FROM customer)")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from copperleaf.operators import load as loading
 from copperleaf.operators import reconcile
 from copperleaf.operators.decode import DecodeOptions, decode
-from copperleaf.operators.reshape import child_rows, element_structs, of_table, overlay_json, routed
+from copperleaf.operators.reshape import child_rows, element_structs, full_layout, of_table, overlay_json, routed
 from copperleaf.plans import ddl
 from copperleaf.plans.schema import Array, Options, Schema, Table, compile_copybook, snake
 from copperleaf.plans.state import Store
@@ -92,6 +92,7 @@ def extracted(spark: SparkSession, schema: Schema, source: Source, config: RunCo
     for name, r in parts.items():
         if (t := known.get(name)) is None:
             continue
+        r = full_layout(r, t, config.decoding)
         r = r.withColumn("__raw", F.col("raw"))
         out[name] = t, with_derived(decode(r, t, config.decoding, config.on_error), t, config.decoding)
         for child, a in children_of(schema, t):
