@@ -2,7 +2,6 @@ import random
 import re
 
 import duckdb
-import pytest
 
 from copperleaf.llm import jaccard
 
@@ -50,11 +49,10 @@ def test_sets_of_equal_number_are_told_apart(spark):
     assert jaccard.told_apart(clear) is clear
 
 
-@pytest.mark.parametrize("many", [4096, 0])
-def test_near_copies_of_many(spark, monkeypatch, many):
+def test_near_copies_of_many(spark, monkeypatch):
     """A low bound makes most tokens of the large groups frequent, so that pairs are indexed."""
     monkeypatch.setattr(jaccard, "FREQUENT", 5)
-    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "MANY", 0)  # so that leaders go on before blocks
     monkeypatch.setattr(jaccard, "LARGE", 10)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng = random.Random(8)
