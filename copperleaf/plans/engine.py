@@ -39,12 +39,18 @@ class RunConfig:
     target: str
     state: str
     mode: str = "truncate_load"
-    on_error: str = "reject"
+    on_error: str = "reject"  # reject, null
     options: Options = field(default_factory=Options)
     free: bool = False  # the copybook's lines have no columns of their own
     decoding: DecodeOptions = field(default_factory=DecodeOptions)
 
 
+    def __post_init__(self) -> None:
+        for value, known in ((self.mode, loading.MODES), (self.on_error, ("reject", "null")), *((s.unmatched, ("default", "skip")) for s in self.sources)):
+            if value not in known:
+                raise ValueError(f"{value} is none of {', '.join(known)}")
+
+
 def checks_of(t: Table) -> tuple[loading.Check, ...]:
     return tuple(loading.Check(f"chk_{t.name}_{c.name}", c.name, tuple(c.check)) for c in t.columns if c.check)
 
@@ -109,7 +115,7 @@ def run(spark: SparkSession, config: RunConfig) -> str:
     schema, store = compiled(config.copybook, config.options, config.free), Store(spark, config.state)
     run_id, failed = store.start_run(config.project), []
     for source in config.sources:
-        checksum = records.checksums(records.files(spark, source.path)).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("checksum")), ","), 256)).first()[0]
+        checksum = records.source_checksum(spark, source.path, source.recfm, source.record_length or schema.table(source.table or "").record_length)
         for name, (t, rows) in extracted(spark, schema, source, config).items():
             if store.status(run_id) == "cancelled":
                 return run_id

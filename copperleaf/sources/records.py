@@ -143,6 +143,18 @@ def checksums(content: DataFrame) -> DataFrame:
     return content.select("path", F.sha2("content", 256).alias("checksum"))
 
 
+def source_checksum(spark: SparkSession, path: str, recfm: str, record_length: int | None = None) -> str:
+    """One checksum of all files at a path, their names aside: of whole files, or, where they are split, of the sums of
+    their records' SHA-256 with the records' numbers, so that no task has to read a whole file."""
+    if recfm.upper() not in ("F", "FB") or not record_length:
+        own = checksums(files(spark, path))
+        return own.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("checksum")), ","), 256)).first()[0]  # a row for each file
+    rows = fixed_files(spark, path, record_length)
+    h = F.sha2(F.concat(F.encode(F.col("line_num").cast("string"), "UTF-8"), F.col("raw")), 256)
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return rows.select(h.alias("h")).agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *map(part, range(4))), 256)).first()[0]
+
+
 # --- the other way ------------------------------------------------------------------------------------------------
 
 

@@ -109,6 +109,17 @@ def test_fixed_files_are_split(spark, tmp_path):
     assert records.read_records(spark, str(tmp_path / "f"), "F", 7).count() == 5020
 
 
+def test_checksums_follow_content_and_order(spark, tmp_path):
+    for name, data in (("a", b"aabbcc"), ("b", b"aaccbb"), ("c", b"aabbcc")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.dat").write_bytes(data)
+    of = lambda x, *more: records.source_checksum(spark, str(tmp_path / x), *more)
+    for kind in (("F", 2), ("V",)):
+        assert of("a", *kind) == of("c", *kind) != of("b", *kind)
+    with pytest.raises(ValueError):
+        engine.RunConfig("p", "", [], "t", "s", mode="replace")
+
+
 def test_code_pages_of_the_jvm(spark):
     codecs.code_page.cache_clear()
     tables = {p: codecs.code_page(p) for p in PAGES}
