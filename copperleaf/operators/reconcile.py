@@ -68,6 +68,11 @@ def sample_check(source: DataFrame, target: DataFrame, key: str, every: int = 97
     return a.join(b, key, "full_outer").agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_different"))
 
 
+def extraction_counts(rows: DataFrame, raw: str = "__raw") -> DataFrame:
+    """n_ok, n_errors and n_bytes of decoded rows that kept their record."""
+    return rows.agg(F.count_if(F.size("errors") == 0).alias("n_ok"), F.count_if(F.size("errors") > 0).alias("n_errors"), F.coalesce(F.sum(F.length(raw)), F.lit(0)).cast("long").alias("n_bytes"))
+
+
 def null_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.array(*(F.struct(F.lit(c).alias("column_name"), F.count_if(F.col(c).isNull()).alias("n_null")) for c in rows.columns)).alias("x")).select(F.inline("x"))
 

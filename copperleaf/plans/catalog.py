@@ -422,6 +422,21 @@ def errors_as_nulls(spark, d):
     return decode(cut_customers(spark, d), layout(CUSTOMER), on_error="null").select("cust_key", "cust_name", "cust_bal")
 
 
+@query("SELECT count(*) FILTER (c_custkey % 10 <> 0) AS n_ok, count(*) FILTER (c_custkey % 10 = 0) AS n_errors, CAST(sum(CASE WHEN c_custkey % 10 = 0 THEN 28 ELSE 44 END) AS BIGINT) AS n_bytes FROM customer")
+def extraction_counters(spark, d):
+    return reconcile.extraction_counts(decode(cut_customers(spark, d).withColumn("__raw", F.col("raw")), layout(CUSTOMER)))
+
+
+@query(
+    "SELECT 'cust_bal' AS \"column\", 24 AS byte_offset, 6 AS byte_length, 'ffffffffffff' AS raw_hex, 'invalid packed decimal' AS message, count(*) AS n FROM customer WHERE c_custkey % 7 = 0 HAVING count(*) > 0"
+)
+def error_facts(spark, d):
+    """Where a bad field lies and its bytes."""
+    bad = F.when(F.col("c_custkey") % 7 == 0, F.unhex(F.lit("FF" * 6))).otherwise(enc.packed(money("c_acctbal"), 6, 2))
+    rows = rejected(decode(customer_records(table(spark, d, "customer"), balance=bad), layout(CUSTOMER)))
+    return rows.select(F.inline("errors")).groupBy("column", "byte_offset", "byte_length", "raw_hex", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
 def mixed_records(spark, d) -> DataFrame:
     return order_records(table(spark, d, "orders")).select("raw").unionAll(line_records(table(spark, d, "lineitem")).select("raw"))
 
@@ -647,6 +662,13 @@ def ebcdic_text_all_pages(spark, d):
     return out
 
 
+@query("SELECT count(*) FILTER (o_orderstatus IN ('O', 'F')) AS loaded, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS rejected FROM orders")
+def load_stats(spark, d):
+    """What a load says of itself: one row, counted while it writes."""
+    stats = load.load(orders(order_records(table(spark, d, "orders"))), scratch(spark), "append", ["ord_key"], (load.Check("known", "ord_status", ("O", "F")),))
+    return spark.createDataFrame([(stats["loaded"], stats["rejected"])], "loaded long, rejected long")
+
+
 # --- loading ----------------------------------------------------------------------------------------------------------
 
 
@@ -725,6 +747,32 @@ def state_run_summary(spark, d):
     return state.run_summary(states(spark, d))
 
 
+@query(
+    "SELECT t AS table_name, n FROM (SELECT 'projects' AS t, count(*) AS n FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'migration_runs', count(*) FROM customer WHERE c_nationkey <> 3 "
+    "UNION ALL SELECT 'table_migration_states', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3))"
+)
+def state_cascade_delete(spark, d):
+    """Nations as projects, customers as their runs, orders as the runs' tables: one project goes with all it owns."""
+    text = lambda c: F.col(c).cast("string")
+    tables_ = {
+        "projects": table(spark, d, "nation").select(text("n_nationkey").alias("id")),
+        "migration_runs": table(spark, d, "customer").select(text("c_custkey").alias("id"), text("c_nationkey").alias("project_id")),
+        "table_migration_states": table(spark, d, "orders").select(text("o_orderkey").alias("id"), text("o_custkey").alias("run_id")),
+    }
+    out = None
+    for name, rows in state.without(tables_, "projects", "3").items():
+        own = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+@query("SELECT o_orderkey AS run_number FROM orders WHERE o_custkey % 10 = 3 ORDER BY o_orderkey DESC LIMIT 5")
+def state_recent_runs(spark, d):
+    o = table(spark, d, "orders")
+    runs = o.select((F.col("o_custkey") % 10).cast("string").alias("project_id"), F.col("o_orderkey").alias("run_number"), F.col("o_orderdate").alias("started_at"))
+    return state.recent_runs(runs, "3").select("run_number")
+
+
 @query("SELECT c_custkey AS project_id, coalesce(max(o_orderkey), 0) + 1 AS next_number FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def state_next_run_number(spark, d):
     runs = table(spark, d, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("run_number"))
@@ -856,3 +904,17 @@ def stream_latest_event(spark, d):
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parq*").select("user_id", "event_id", "event_type", "ts")
     incremental.apply_changes(spark, stream, f"{folder}/table", "user_id", ["ts", "event_id"], f"{folder}/state")
     return incremental.current(spark, f"{folder}/table").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
+def stream_new_files(spark, d):
+    """Files that arrive, by checksum: a second look at the folder brings none of them again."""
+    files, folder = run_files(spark, d), scratch(spark)
+    t = compile_copybook(RUN_ORDER, free=True).tables[0]
+
+    def each(content: DataFrame) -> None:
+        accepted(decode(records.fixed(content, t.record_length), t, DecodeOptions(ascii=True))).write.mode("append").parquet(f"{folder}/rows")
+
+    for _ in range(2):
+        incremental.new_files(spark, files, f"{folder}/state", each, f"{folder}/seen")
+    return spark.read.parquet(f"{folder}/rows").agg(F.count(F.lit(1)).alias("n"), F.sum("ro_key").alias("keys"))
