@@ -12,11 +12,18 @@ def _mirrored(edges: DataFrame) -> DataFrame:
     return edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's larger (or smaller) neighbours are tied to the least of all (or of the smaller) ones and itself."""
+#: Nodes with more than 1 / HUBS of all rows, and LEAST_HUB of them, are hubs; there can't be more than HUBS.
+HUBS, LEAST_HUB = 1000, 1000
+
+
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """Each node's larger (or smaller) neighbours are tied to the least of all (or of the smaller) ones and itself. The few
+    hubs are broadcast, so that no task gets all neighbours of one. rows: how many edges there are, at most."""
     sides = _mirrored(edges) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))  # summed before the shuffle
-    tied = sides.join(least, "u")
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))  # summed before the shuffle
+    hub = F.col("n") > max(LEAST_HUB, 2 * rows // HUBS)  # sides has 2 * rows at most
+    hubs = F.broadcast(least.where(hub).select("u", "m"))
+    tied = sides.join(hubs, "u").unionAll(sides.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
     out = tied.where("v > u") if large else tied
     out = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
@@ -36,5 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             roots = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
             return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-        last, now = now, cut(_star(_star(now, True), False))
-        discard(last)
+        half = cut(_star(now, True, state[0]))
+        last, now = now, cut(_star(half, False, state[0]))
+        discard(last, half)

@@ -280,7 +280,8 @@ def windows(rows: DataFrame) -> DataFrame:
     own = own.withColumn("l", F.expr(f"explode(sequence({AROUND} - n_after, n_before))"))
     group = F.expr(f"xxhash64(key, l, substring(before, 1, 4 * l), substring(after, 1, 4 * ({AROUND} - l)))")
     met = own.select(group.alias("g"), "doc_id", (F.col("at") - F.col("l")).cast("long").alias("start"))
-    holders = met.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
+    # written, so that a window that very many documents hold can be split in the join
+    holders = cut(met.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi"))
     partner = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
     return met.join(holders, "g").select("doc_id", "start", (F.col("start") + LEAST).alias("end"), partner.alias("partner"))
 

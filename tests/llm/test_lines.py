@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from copperleaf.llm import components, lines
 
 
@@ -49,7 +51,9 @@ def brute(rows):
     return out
 
 
-def test_components(spark):
+@pytest.mark.parametrize("least_hub", [1000, 20])
+def test_components(spark, monkeypatch, least_hub):
+    monkeypatch.setattr(components, "LEAST_HUB", least_hub)
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(500, 500 + i) for i in range(1, 50)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
