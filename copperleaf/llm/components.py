@@ -16,14 +16,17 @@ def _mirrored(edges: DataFrame) -> DataFrame:
 HUBS, LEAST_HUB = 1000, 1000
 
 
-def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
-    """Each node's larger (or smaller) neighbours are tied to the least of all (or of the smaller) ones and itself. The few
-    hubs are broadcast, so that no task gets all neighbours of one. rows: how many edges there are, at most."""
+def _star(edges: DataFrame, large: bool, hub: int | None = None) -> DataFrame:
+    """Each node's larger (or smaller) neighbours are tied to the least of all (or of the smaller) ones and itself. hub: nodes
+    with more neighbours, few by that bound, are broadcast, so that no task gets all neighbours of one."""
     sides = _mirrored(edges) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))  # summed before the shuffle
-    hub = F.col("n") > max(LEAST_HUB, 2 * rows // HUBS)  # sides has 2 * rows at most
-    hubs = F.broadcast(least.where(hub).select("u", "m"))
-    tied = sides.join(hubs, "u").unionAll(sides.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
+    if hub is None:
+        tied = sides.join(least, "u")
+    else:
+        hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))
+        others = sides.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+        tied = sides.join(hubs, "u").unionAll(others.select("u", "v", "m"))
     out = tied.where("v > u") if large else tied
     out = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
@@ -43,6 +46,13 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             roots = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
             return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-        half = cut(_star(now, True, state[0]))
-        last, now = now, cut(_star(half, False, state[0]))
-        discard(last, half)
+        hub = max(LEAST_HUB, 2 * state[0] // HUBS)
+        most = _mirrored(now).groupBy("u").count().agg(F.max("count")).first()[0] if 2 * state[0] > hub else 0
+        last = now
+        if most > hub:
+            half = cut(_star(last, True, hub))
+            now = cut(_star(half, False, hub))
+            discard(half)
+        else:  # the small star's nodes have no more neighbours
+            now = cut(_star(_star(last, True), False))
+        discard(last)
