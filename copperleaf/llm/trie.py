@@ -26,10 +26,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, partitions, table
+from .common import cut, partitions, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ids in a piece of a list of ends.
