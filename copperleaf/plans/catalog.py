@@ -20,7 +20,7 @@ from copperleaf.operators import load, reconcile, reshape, transform
 from copperleaf.operators.decode import DecodeOptions, accepted, decode, once, page_scores, rejected
 from copperleaf.plans import engine, state
 from copperleaf.plans.schema import Options, Table, compile_copybook
-from copperleaf.sources import records, tables
+from copperleaf.sources import ranges, records, tables
 from copperleaf.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,6 +220,57 @@ def blocked_scan_orders(spark, d):
     return orders(records.variable(records.as_files(order_records(table(spark, d, "orders")), "o_orderkey", 4096, records.described(), block=100), in_blocks=True))
 
 
+def variable_file(spark, d, block: int = 0) -> str:
+    """Files of lines of lineitem as V records of many lengths (VB with blocks of so many), written by Spark: each line ends
+    in the byte that the text writer adds."""
+    body = F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.expr("repeat('x', cast(l_partkey % 60 as int))"))
+    rows = table(spark, d, "lineitem").select(F.concat(F.encode(body, "UTF-8"), F.unhex(F.lit("3B"))).alias("raw"))
+    one = rows.select(F.expr(records.described()).alias("raw"))
+    if block:
+        part = F.expr(f"monotonically_increasing_id() div {block}")
+        one = one.withColumn("b", part).groupBy("b").agg(F.unhex(F.array_join(F.collect_list(F.hex("raw")), "")).alias("raw")).select(F.expr(records.described()).alias("raw"))
+    path = scratch(spark)
+    one.select(F.expr("cast(substring(raw, 1, length(raw) - 1) as string)").alias("value")).write.option("lineSep", ";").text(path)
+    return path
+
+
+LINE_SQL = "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS numbers, CAST(count(*) AS BIGINT) AS last, CAST(sum(l_orderkey) AS BIGINT) AS keys, CAST(sum(l_orderkey * l_linenumber) AS BIGINT) AS mixed FROM lineitem"
+
+
+def line_facts(rows: DataFrame) -> DataFrame:
+    parts = F.split(F.decode("raw", "UTF-8"), r"\|")
+    number = lambda i: parts[i].cast("long")
+    facts = (F.count(F.lit(1)).alias("n"), F.count_distinct("line_num").alias("numbers"), F.max("line_num").alias("last"), F.sum(number(0)).alias("keys"), F.sum(number(0) * number(1)).alias("mixed"))
+    return rows.groupBy("file").agg(*facts).agg(*(F.sum(c).alias(c) for c in ("n", "numbers", "last", "keys", "mixed")))
+
+
+@query(LINE_SQL)
+def variable_ranges(spark, d):
+    """One file of variable records, read in ranges of 256 KB."""
+    return line_facts(ranges.variable(spark, variable_file(spark, d), size=1 << 18))
+
+
+@query(LINE_SQL)
+def blocked_ranges(spark, d):
+    return line_facts(ranges.variable(spark, variable_file(spark, d, 50), in_blocks=True, size=1 << 18))
+
+
+@query("SELECT count(*) AS n_records, 0 AS n_skipped, 0 AS tail_bytes FROM lineitem")
+def scan_counters(spark, d):
+    """What a scan of variable records returns and passes over."""
+    out = ranges.scan_counts(spark, variable_file(spark, d), "V", size=1 << 18)
+    return out.agg(*(F.sum(c).cast(k).alias(c) for c, k in (("n_records", "long"), ("n_skipped", "int"), ("tail_bytes", "int"))))
+
+
+@query("SELECT o_orderkey AS ok, o_orderstatus AS status FROM orders")
+def line_ranges(spark, d):
+    """Files of lines, split between tasks."""
+    path = scratch(spark)
+    table(spark, d, "orders").select(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value")).write.option("lineSep", "\r\n").text(path)
+    parts = F.split(F.decode("raw", "UTF-8"), r"\|")
+    return records.read_records(spark, path, "D").select(parts[0].cast("long").alias("ok"), parts[1].alias("status"))
+
+
 @query("SELECT n_nationkey AS n_key, n_name AS n_name, n_regionkey AS n_region FROM nation")
 def text_scan_nation(spark, d):
     n = table(spark, d, "nation")

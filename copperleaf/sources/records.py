@@ -1,7 +1,7 @@
 """Record files as DataFrames file, line_num, raw.
 
-Fixed-length files are split between tasks at record boundaries, whatever their size. Other formats start from rows (path,
-content), as the binaryFile source gives them; variable ones must be walked record by record, each file in one task.
+Files of all formats are split between tasks, whatever their size (ranges.py). The functions of rows (path, length, content)
+are for records that come as rows, a file each.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = "file string, line_num long, raw binary"
+from copperleaf.sources import ranges
+
 #: Records of a fixed file that are cut from it at once; each such piece is a row of its own between the two cuts.
 AT_ONCE = 8192
 
@@ -48,15 +49,16 @@ def split_fixed(spark: SparkSession, path: str, record_length: int, skip: int =
 
 
 def fixed_files(spark: SparkSession, path: str, record_length: int, skip: int = 0) -> DataFrame:
-    """Records of one length of all files at a path. Files with a short tail can't be split; they are read whole."""
+    """Records of one length of all files at a path. Those with a short tail are read by ranges, the others in the JVM."""
     if record_length < 1:
         raise ValueError("fixed-length records need a record length")
-    sizes = spark.read.format("binaryFile").load(path).select("path", "length")  # no content
-    cut = [r.path for r in sizes.where(F.col("length") % record_length != 0).select("path").collect()]  # names of files
+    sizes = ranges.sizes(spark, path)
+    cut = [r.file for r in sizes.where(F.col("length") % record_length != 0).select("file").collect()]  # names of files
     if not cut:
         return split_fixed(spark, path, record_length, skip)
-    whole = [r.path for r in sizes.where((F.col("length") % record_length == 0) & (F.col("length") > 0)).select("path").collect()]
-    out = fixed(spark.read.format("binaryFile").load(cut).select("path", "length", "content"), record_length, skip)
+    whole = [r.file for r in sizes.where((F.col("length") % record_length == 0) & (F.col("length") > 0)).select("file").collect()]
+    out = ranges.fixed(spark, cut, record_length)
+    out = out.where(F.col("line_num") > skip) if skip else out
     return out.unionAll(split_fixed(spark, ",".join(whole), record_length, skip)) if whole else out
 
 
@@ -64,35 +66,6 @@ def fixed_count(content: DataFrame, record_length: int) -> DataFrame:
     return content.agg(F.coalesce(F.sum(F.expr(f"length div {record_length}")), F.lit(0)).cast("long").alias("n"))
 
 
-def unblocked(data: bytes) -> Iterator[bytes]:
-    """Records with a four-byte descriptor: big-endian length, itself included. Empty ones are skipped, a short one ends the file."""
-    at = 0
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 2], "big")
-        if n > 4:
-            if at + n > len(data):
-                return
-            yield data[at + 4 : at + n]
-        at += max(n, 4)
-
-
-def blocked(data: bytes) -> Iterator[bytes]:
-    """Blocks with a descriptor of their own. A short block ends the file; the last record of a block may be cut."""
-    at = 0
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 2], "big")
-        if n > 4:
-            if at + n > len(data):
-                return
-            k, end = at + 4, at + n
-            while k + 4 <= end:
-                m = int.from_bytes(data[k : k + 2], "big")
-                if m > 4:
-                    yield data[k + 4 : min(k + m, end)]
-                k += max(m, 4)
-        at += max(n, 4)
-
-
 def variable(content: DataFrame, in_blocks: bool = False) -> DataFrame:
     """Records of files with record descriptors, numbered from 1 in each file."""
 
@@ -101,19 +74,19 @@ def variable(content: DataFrame, in_blocks: bool = False) -> DataFrame:
             for path, data in zip(b.column(0), b.column(1), strict=True):
                 rows: list[bytes] = []
                 begin = size = 0
-                for r in (blocked if in_blocks else unblocked)(data.as_py() or b""):
-                    rows.append(r)
-                    size += len(r)
+                own = data.as_py() or b""
+                for a, e in ranges.spans(own, 0, len(own), len(own), in_blocks):
+                    if a < 0:
+                        continue
+                    rows.append(own[a:e])
+                    size += e - a
                     if size > 4 << 20:
-                        yield made(path.as_py(), begin, rows)
+                        yield ranges.made(path.as_py(), begin, rows)
                         begin, rows, size = begin + len(rows), [], 0
                 if rows:
-                    yield made(path.as_py(), begin, rows)
-
-    def made(path: str, begin: int, rows: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(begin + 1, begin + len(rows) + 1), pa.int64()), pa.array(rows, pa.binary())], ["file", "line_num", "raw"])
+                    yield ranges.made(path.as_py(), begin, rows)
 
-    return content.select("path", "content").mapInArrow(run, RECORD)
+    return content.select("path", "content").mapInArrow(run, ranges.RECORD)
 
 
 def lines(content: DataFrame) -> DataFrame:
@@ -131,11 +104,11 @@ def read_records(spark: SparkSession, path: str, recfm: str, record_length: int
                 raise ValueError("recfm F needs record_length")
             return fixed_files(spark, path, record_length, skip)
         case "V":
-            return variable(files(spark, path))
+            return ranges.variable(spark, path)
         case "VB":
-            return variable(files(spark, path), in_blocks=True)
+            return ranges.variable(spark, path, in_blocks=True)
         case "D":
-            return lines(files(spark, path))
+            return ranges.lines(spark, path)
     raise ValueError(f"unknown record format {recfm}")
 
 
@@ -144,12 +117,9 @@ def checksums(content: DataFrame) -> DataFrame:
 
 
 def source_checksum(spark: SparkSession, path: str, recfm: str, record_length: int | None = None) -> str:
-    """One checksum of all files at a path, their names aside: of whole files, or, where they are split, of the sums of
-    their records' SHA-256 with the records' numbers, so that no task has to read a whole file."""
-    if recfm.upper() not in ("F", "FB") or not record_length:
-        own = checksums(files(spark, path))
-        return own.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("checksum")), ","), 256)).first()[0]  # a row for each file
-    rows = fixed_files(spark, path, record_length)
+    """One checksum of all files at a path, their names aside: of the sums of their records' SHA-256 with the records' numbers,
+    so that no task has to read a whole file."""
+    rows = read_records(spark, path, recfm, record_length)
     h = F.sha2(F.concat(F.encode(F.col("line_num").cast("string"), "UTF-8"), F.col("raw")), 256)
     part = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
     return rows.select(h.alias("h")).agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *map(part, range(4))), 256)).first()[0]
