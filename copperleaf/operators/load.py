@@ -25,6 +25,10 @@ class Check:
         return F.coalesce(F.col(self.column).isin(*self.values), F.lit(True))
 
 
+#: A column of reasons that rows may bring along: those that have one are refused for it.
+REFUSED = "__refused"
+
+
 def judged(rows: DataFrame, pk: list[str] | None = None, checks: tuple[Check, ...] = (), order: list[str] | None = None) -> DataFrame:
     """rows with reject_reason, null for those that can land. With an order, later rows of a key are duplicates."""
     reason = F.lit(None).cast("string")
@@ -32,7 +36,9 @@ def judged(rows: DataFrame, pk: list[str] | None = None, checks: tuple[Check, ..
         reason = F.when(~c.holds(), F.lit(f"check {c.name}")).otherwise(reason)
     for k in reversed(pk or []):
         reason = F.when(F.col(k).isNull(), F.lit(f"null in {k}")).otherwise(reason)
-    out = rows.withColumn("reject_reason", reason)
+    if REFUSED in rows.columns:
+        reason = F.coalesce(F.col(REFUSED), reason)
+    out = rows.withColumn("reject_reason", reason).drop(REFUSED)
     if pk and order:
         n = F.row_number().over(Window.partitionBy(*pk, F.col("reject_reason").isNull()).orderBy(*order))
         out = out.withColumn("__n", n).withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & (F.col("__n") > 1), F.lit("duplicate key")).otherwise(F.col("reject_reason"))).drop("__n")
@@ -63,7 +69,7 @@ def upserted(target: DataFrame, source: DataFrame, pk: list[str] | None, order:
 
 def load(rows: DataFrame, path: str, mode: str = "truncate_load", pk: list[str] | None = None, checks: tuple[Check, ...] = (), order: list[str] | None = None, rejects: str | None = None, keep: list[str] | None = None) -> dict:
     """Writes Parquet; returns rows loaded and rejected, counted while they are written. keep: the columns to write, all
-    where it isn't given. Except for append, the new table is written beside the old one and then takes its place, so
+    where it isn't given. Rows with a REFUSED reason are rejected for it. Except for append, the new table is written beside the old one and then takes its place, so
     whatever fails, one of them is there whole."""
     if mode not in MODES:
         raise ValueError(f"unknown load mode {mode}")
@@ -72,7 +78,7 @@ def load(rows: DataFrame, path: str, mode: str = "truncate_load", pk: list[str]
     spark, seen = rows.sparkSession, Observation()
     out = judged(rows, pk, checks, None if mode == "upsert" else order)
     counted = out.observe(seen, F.count_if(F.expr("reject_reason is null")).alias("loaded"), F.count_if(F.expr("reject_reason is not null")).alias("rejected"))
-    good, columns = landed(counted), keep or rows.columns
+    good, columns = landed(counted), keep or [c for c in rows.columns if c != REFUSED]
     recover(spark, path)
     if mode == "append":
         good.select(*columns).write.mode("append").parquet(path)

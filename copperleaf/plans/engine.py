@@ -7,7 +7,7 @@ import json
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copperleaf.operators import load as loading
@@ -108,15 +108,49 @@ def extracted(spark: SparkSession, schema: Schema, source: Source, config: RunCo
     return out
 
 
+def lost(rows: DataFrame, refused: DataFrame, t: Table, config: RunConfig) -> DataFrame:
+    """__file, __line_num, reason of the records of a table that have no row of their own in the target: undecodable ones,
+    refused ones, and, for upserts, those that a later record of their key replaces. rows: all decoded ones."""
+    own = refused.select("__file", "__line_num", F.col("reject_reason").alias("reason"))
+    good = rows
+    if config.on_error == "reject":
+        good = rows.where(F.size("errors") == 0)
+        bad = rows.where(F.size("errors") > 0)
+        own = own.unionAll(bad.select("__file", "__line_num", F.concat(F.get("errors", F.lit(0))["column"], F.lit(": "), F.get("errors", F.lit(0))["message"])))
+    if config.mode == "upsert" and t.primary_key:
+        last = F.row_number().over(Window.partitionBy(*t.primary_key).orderBy(F.desc("__file"), F.desc("__line_num")))
+        fine = good.join(refused.select("__file", "__line_num"), ["__file", "__line_num"], "left_anti")
+        replaced = fine.select("__file", "__line_num", last.alias("n")).where("n > 1")
+        own = own.unionAll(replaced.select("__file", "__line_num", F.lit("replaced by a later record")))
+    return own
+
+
+def with_parents(rows: DataFrame, parent: Table, gone: DataFrame | None, target: str) -> DataFrame:
+    """Rows of a child table with the reason why they can't land (loading.REFUSED): their record has no row in the parent's
+    table, or, by key, no row there refers to."""
+    reason = F.lit(None).cast("string")
+    if gone is not None:
+        why = gone.groupBy("__file", "__line_num").agg(F.min("reason").alias("__why"))
+        rows = rows.join(why, ["__file", "__line_num"], "left")
+        reason = F.when(F.col("__why").isNotNull(), F.concat(F.lit(f"{parent.name}: "), "__why"))
+    if parent.primary_key:
+        there = rows.sparkSession.read.parquet(f"{target}/{parent.name}").select(*parent.primary_key).distinct().withColumn("__there", F.lit(True))
+        rows = rows.join(there, parent.primary_key, "left")
+        reason = F.coalesce(reason, F.when(F.col("__there").isNull(), F.lit(f"no row in {parent.name}")))
+    return rows.withColumn(loading.REFUSED, reason).drop("__why", "__there")
+
+
 def run(spark: SparkSession, config: RunConfig) -> str:
     """Loads every source whose checksum is not already loaded; returns the run's id. A failing table fails alone, and the
     run is failed then; a cancelled run takes no further table. What is decoded is written once, then counted, logged and
-    loaded from there."""
+    loaded from there. A child's rows land with their parent: where that was refused, they are, with its reason; where the
+    parent's table failed, theirs does."""
     schema, store = compiled(config.copybook, config.options, config.free), Store(spark, config.state)
     run_id, failed = store.start_run(config.project), []
     for source in config.sources:
         checksum = records.source_checksum(spark, source.path, source.recfm, source.record_length or schema.table(source.table or "").record_length)
-        for name, (t, rows) in extracted(spark, schema, source, config).items():
+        tables, gone = extracted(spark, schema, source, config), {}
+        for name, (t, rows) in tables.items():
             if store.status(run_id) == "cancelled":
                 return run_id
             if store.completed(config.project, name, checksum):
@@ -124,6 +158,8 @@ def run(spark: SparkSession, config: RunConfig) -> str:
             state = store.start_table(run_id, name, checksum)
             staged, refused = (f"{store.path('staged')}/{run_id}/{state}-{x}" for x in ("decoded", "refused"))
             try:
+                if t.parent in failed:
+                    raise ValueError(f"the parent's table {t.parent} failed")
                 columns = [c.name for c in t.columns]
                 rows.write.parquet(staged)
                 rows = spark.read.schema(rows.schema).parquet(staged)
@@ -131,8 +167,15 @@ def run(spark: SparkSession, config: RunConfig) -> str:
                 store.log_rejections(run_id, state, bad.select(F.col("__line_num").alias("line_num"), F.col("__raw").alias("raw"), "errors"))
                 n_bad = bad.count() if config.on_error == "reject" else 0
                 good = rows.where(F.size("errors") == 0) if config.on_error == "reject" else rows
+                good = good.drop("errors")
+                if t.parent in tables:
+                    good = with_parents(good, tables[t.parent][0], gone.get(t.parent), config.target)
                 # arrival order decides between equal keys
-                stats = loading.load(good.drop("errors"), f"{config.target}/{name}", config.mode, t.primary_key or None, checks_of(t), ["__file", "__line_num"], refused, columns)
+                stats = loading.load(good, f"{config.target}/{name}", config.mode, t.primary_key or None, checks_of(t), ["__file", "__line_num"], refused, columns)
+                if any(x.parent == name for x, _ in tables.values()):
+                    without = f"{store.path('staged')}/{run_id}/{state}-lost"
+                    lost(rows, spark.read.parquet(refused), t, config).write.parquet(without)
+                    gone[name] = spark.read.parquet(without)
                 store.log_refusals(run_id, state, spark.read.parquet(refused).withColumnsRenamed({"__line_num": "line_num", "__raw": "raw"}).drop("__file"))
                 store.finish_table(state, stats["loaded"] + stats["rejected"] + n_bad, stats["loaded"], stats["rejected"] + n_bad)
                 store.tell(run_id, "table_progress", name, stats["loaded"], stats["rejected"] + n_bad)
@@ -142,6 +185,7 @@ def run(spark: SparkSession, config: RunConfig) -> str:
                 store.tell(run_id, "table_progress", name)
             for path in (staged, refused):
                 loading.remove(spark, path)
+    loading.remove(spark, f"{store.path('staged')}/{run_id}")
     store.finish_run(run_id, "failed" if failed else "completed", f"failed: {', '.join(failed)}" if failed else None)
     store.tell(run_id, "run_complete")
     return run_id

@@ -76,7 +76,9 @@ class Table:
     overlays: list[Overlay] = field(default_factory=list)
 
     def column(self, name: str) -> Column:
-        return next(c for c in self.columns if c.name == name)
+        if (found := next((c for c in self.columns if c.name == name), None)) is None:
+            raise ValueError(f"table {self.name} has no column {name}")
+        return found
 
     def struct(self) -> StructType:
         return StructType([StructField(c.name, _parse_datatype_string(c.type.spark), c.nullable, {"source": c.source, "offset": c.offset, "length": c.length, "kind": c.kind}) for c in self.columns])

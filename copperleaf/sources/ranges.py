@@ -20,6 +20,7 @@ empty file has no records, and no row of counts either (Spark lists none).
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
@@ -242,6 +243,19 @@ def fixed(spark: SparkSession, path: str | list[str], record_length: int, size:
     return spread(ranges(files, step), n).select("file", "length", "begin").mapInArrow(run, RECORD)
 
 
+def digests(spark: SparkSession, path: str, size: int | None = None, opener: Callable = opened) -> DataFrame:
+    """number, raw: the SHA-256 of each range of each file at a path."""
+    files, size = sizes(spark, path), size or RANGE
+    n = int(files.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [hashlib.sha256(part_of(file, begin, size, opener)).digest() for file, begin in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.binary())], ["number", "raw"])
+
+    return spread(ranges(files, size), n).select("file", "number", "begin").mapInArrow(run, "number long, raw binary")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """RECORD rows of line-delimited files, without line ends (and without a byte order mark). Each split's lines are
     counted; the numbers of those before it in its file are added."""

@@ -117,10 +117,13 @@ def checksums(content: DataFrame) -> DataFrame:
 
 
 def source_checksum(spark: SparkSession, path: str, recfm: str, record_length: int | None = None) -> str:
-    """One checksum of all files at a path, their names aside: of the sums of their records' SHA-256 with the records' numbers,
-    so that no task has to read a whole file."""
-    rows = read_records(spark, path, recfm, record_length)
-    h = F.sha2(F.concat(F.encode(F.col("line_num").cast("string"), "UTF-8"), F.col("raw")), 256)
+    """One checksum of all files at a path, their names aside, so that no task has to read a whole file: of the sums of the
+    SHA-256 of fixed records, or of ranges of bytes, each with its number."""
+    if recfm.upper() in ("F", "FB") and record_length:
+        rows = fixed_files(spark, path, record_length).select(F.col("line_num").alias("number"), "raw")
+    else:
+        rows = ranges.digests(spark, path)
+    h = F.sha2(F.concat(F.encode(F.col("number").cast("string"), "UTF-8"), F.col("raw")), 256)
     part = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
     return rows.select(h.alias("h")).agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *map(part, range(4))), 256)).first()[0]
 

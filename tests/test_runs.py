@@ -28,17 +28,48 @@ def test_children_and_fields_named_like_bookkeeping(spark, tmp_path):
     run = engine.run(spark, c)
     main = spark.read.parquet(f"{c.target}/run_order")
     assert main.columns == ["ro_key", "ro_status", "ro_file"] and sorted(map(tuple, main.collect())) == [(1, "O", "file"), (3, "F", "file")]
-    assert spark.read.parquet(f"{c.target}/run_order_ro_parts").count() == 9
+    assert spark.read.parquet(f"{c.target}/run_order_ro_parts").count() == 6
     store = Store(spark, c.state)
     log = store.rows("rejection_log").collect()
-    assert sorted((r.error_message, r.source_line_num) for r in log if r.error_message != "duplicate key") == [("check chk_run_order_ro_status", 2)]
-    assert sum(r.error_message == "duplicate key" for r in log) == 4
+    assert sorted((r.error_message, r.source_line_num) for r in log if r.error_message != "duplicate key") == sorted([("check chk_run_order_ro_status", 2), *[("run_order: check chk_run_order_ro_status", 2)] * 3, *[("run_order: duplicate key", 4)] * 3])
+    assert sum(r.error_message == "duplicate key" for r in log) == 1
     assert store.status(run) == "completed"
     checks = {(r.check, r.table_name): r.passed for r in engine.validate(spark, c, run).collect()}
     assert checks["row_count", "run_order"] and checks["in_target", "run_order"] and not checks["rejection_rate", "run_order"]
     assert engine.preview(spark, c, 2).count() == 2
 
 
+@pytest.mark.parametrize("mode", ["truncate_load", "append", "upsert"])
+def test_children_land_with_their_parents(spark, tmp_path, mode):
+    """Undecodable, refused, repeated and replaced parents: no child is left without its own record's row."""
+    other = f"{4:09d}O" + "".join(f"{70 + k:09d}{k:03d}" for k in (1, 2, 3)) + "late;"
+    c = config(tmp_path, [row(1, "O"), "xxxxxxxxxO" + row(2, "O")[10:], row(3, "Z"), row(4, "O"), other], mode=mode)
+    run = engine.run(spark, c)
+    main = {r.ro_key: r.ro_file for r in spark.read.parquet(f"{c.target}/run_order").collect()}
+    parts = sorted((r.ro_key, r.rp_part) for r in spark.read.parquet(f"{c.target}/run_order_ro_parts").collect())
+    last = mode == "upsert"
+    assert main == {1: "file", 4: "late" if last else "file"}
+    assert parts == [(1, 2), (1, 3), (1, 4), *((4, x) for x in ((71, 72, 73) if last else (5, 6, 7)))]
+    log = Store(spark, c.state).rows("rejection_log").collect()
+    why = {(r.source_line_num, r.error_message) for r in log if r.error_message.startswith("run_order: ")}
+    assert {n for n, _ in why} == {2, 3, 4 if last else 5}
+    assert Store(spark, c.state).status(run) == "completed"
+
+
+def test_children_of_a_failed_table_fail(spark, tmp_path, monkeypatch):
+    c = config(tmp_path, [row(1, "O")])
+    real = load.load
+    monkeypatch.setattr(load, "load", lambda rows, path, *a: real(rows, path, *a) if path.endswith("parts") else 1 / 0)
+    run = engine.run(spark, c)
+    states = {r.table_name: r.status for r in Store(spark, c.state).latest("table_migration_states").where(F.col("run_id") == run).collect()}
+    assert states == {"run_order": "failed", "run_order_ro_parts": "failed"}
+
+
+def test_unknown_columns_are_named():
+    with pytest.raises(ValueError, match="no column nowhere"):
+        compile_copybook(RUN_ORDER, free=True).tables[0].column("nowhere")
+
+
 def test_a_failed_table_fails_the_run(spark, tmp_path):
     c = config(tmp_path, [row(1, "O")], mode="upsert", options=Options(primary_key={"RUN-ORDER": []}))
     c.mode = "no such mode"
