@@ -274,9 +274,11 @@ def linked(docs: DataFrame, like: float) -> DataFrame:
     more = small.join(others, "band").where("line < l_line and root <> l_root").select(F.col("line").alias("a"), F.col("l_line").alias("b")).distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"))
     large = of_large_buckets(left.where(F.col("size") > LARGE), texts, like)
-    links = cut(links.unionAll(verified(more, texts, like)).unionAll(large))
+    new = cut(verified(more, texts, like).unionAll(large))
     discard(met, left, more)
-    return components(links).join(texts.select(F.col("line").alias("node"), "check"), "node")
+    if not new.isEmpty():  # what is united already goes on as stars
+        roots = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new))
+    return roots.join(texts.select(F.col("line").alias("node"), "check"), "node")
 
 
 def classed(own: DataFrame, roots: DataFrame) -> DataFrame:
