@@ -5,7 +5,9 @@ over words in the names (class, id, role) of its elements gives each block a sco
 add evidence. As a terminal capacity, the score is what it costs to label the block against it. Smoothness edges join
 each block to the next one and to the next one of the same parent, the stronger the closer they are in the DOM. A maximum
 flow from the content terminal to the boilerplate terminal separates the two with the least total cost: a block that
-alone looks like boilerplate stays with the paragraphs around it, one name or tag decides nothing by itself.
+alone looks like boilerplate stays with the paragraphs around it, one name or tag decides nothing by itself. Names of
+notices (adverts, newsletters, consent, sharing, related pages, comments) are terminal costs of everything in their element, inside
+an article too, unless the element holds most of the page's text.
 
 The classifier (least squares, drawn to the weights PRIOR where the data say nothing) is trained here on the blocks of
 TRAIN_PAGES pages of the smallest hash, a bound that does not depend on the input; blocks inside elements whose tag says
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,10 +35,11 @@ from .common import blocks, smallest, table
 
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<whole>noscript|template|svg|iframe|object|select)\b[^>]*>.*?</(?P=whole)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9]*)(?P<rest>(?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<[/!?]?[a-z!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+# HTML elements that are passed over whole, if they end.
+WHOLE_TAGS = frozenset("noscript template svg iframe object select".split())
 # HTML elements that begin a block, those whose tag says boilerplate or content.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 AWAY_TAGS = frozenset("nav footer header aside form menu dialog button fieldset".split())
@@ -44,6 +48,8 @@ HERE_TAGS = frozenset("article main".split())
 UNNAMED = HERE_TAGS | {"html", "body"}
 # Words in names that speak for boilerplate, for content, or say nothing beside others.
 AWAY_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Those among them that name a notice, whatever content they stand beside (related-posts, article-comments).
+NOTICE_WORDS = AWAY_WORDS - frozenset("banner header masthead menu".split())
 HERE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 PLAIN_WORDS = frozenset("area bar block bottom box container global group inner item items left link links list outer page right row section site slot top unit user wrap wrapper".split())
 #: A word after one of these is not said of the element itself.
@@ -53,6 +59,9 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 TRAIN_PAGES = 1000
 #: What the tag of an element says of the blocks in it, beside scores of about -2 to 2.
 AWAY, HERE = -4.0, 2.0
+#: What a notice's name says of all blocks in it, in place of HERE. A notice holds less than SHARE of the page's text; a
+#: name around more of it says nothing.
+NOTICE, SHARE = -5.0, 0.5
 NEXT, SIBLING = 0.5, 0.7
 #: Weights before any data: constant, length, share of links, punctuation, paragraph, heading, depth; names that say
 #: boilerplate, that say it among other words, that say content.
@@ -70,6 +79,7 @@ class Block(NamedTuple):
     names: tuple[int, int, int]  # elements around it whose names say boilerplate, say it among other words, say content
     parent: int
     depth: int
+    notices: tuple[int, ...]  # elements around it that are named as notices
 
 
 class Open(NamedTuple):
@@ -77,6 +87,7 @@ class Open(NamedTuple):
     role: int
     names: tuple[int, int, int]
     serial: int
+    notices: tuple[int, ...]
 
 
 def name_says(rest: str) -> tuple[int, int, int]:
@@ -98,6 +109,16 @@ def name_says(rest: str) -> tuple[int, int, int]:
     return (1, 0, 0) if away else (0, part, here)
 
 
+def notice(rest: str) -> bool:
+    """Whether a name of an element is that of a notice: words of notices beside none but plain ones and words of content."""
+    for m in NAME.finditer(rest):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in WORD.findall(name)}
+            if words & NOTICE_WORDS and not words & NOT_OWN and all(w in NOTICE_WORDS or {w, w.removesuffix("s")} & (PLAIN_WORDS | HERE_WORDS) or w.isdigit() for w in words):
+                return True
+    return False
+
+
 def entered(tag: str, rest: str, above: Open, serial: int) -> Open:
     """An element that begins inside another one."""
     names = name_says(rest) if rest and tag not in UNNAMED else (0, 0, 0)
@@ -109,12 +130,14 @@ def entered(tag: str, rest: str, above: Open, serial: int) -> Open:
         if above.role < 0:  # a page wrapped in a form has its content all the same
             above = above._replace(names=(0, 0, 0))
         role = 1
-    return Open(tag, role, tuple(min(1, a + b) for a, b in zip(above.names, names, strict=True)), serial)
+    return Open(tag, role, tuple(min(1, a + b) for a, b in zip(above.names, names, strict=True)), serial, (*above.notices, serial) if rest and tag not in UNNAMED and notice(rest) else above.notices)
 
 
 def parsed(page: str) -> list[Block]:
     out: list[Block] = []
-    stack = [Open("", 0, (0, 0, 0), 0)]
+    stack = [Open("", 0, (0, 0, 0), 0, ())]
+    open_tags: Counter[str] = Counter()
+    endless: set[str] = set()  # elements to be passed over that don't end in what is left
     text: list[str] = []
     link = serial = linked = at = 0
 
@@ -124,11 +147,11 @@ def parsed(page: str) -> list[Block]:
             words = " ".join(entities.unescape("".join(text)).split())
             if words:
                 top = stack[-1]
-                out.append(Block(words, linked, top.tag, top.role, top.names, stack[-2].serial if top.tag in ("p", "li") and len(stack) > 1 else top.serial, len(stack)))
+                out.append(Block(words, linked, top.tag, top.role, top.names, stack[-2].serial if top.tag in ("p", "li") and len(stack) > 1 else top.serial, len(stack), top.notices))
             text.clear()
         linked = 0
 
-    for m in MARK.finditer(page):
+    while m := MARK.search(page, at):
         if m.start() > at:
             text.append(piece := page[at : m.start()])
             if link:
@@ -136,9 +159,15 @@ def parsed(page: str) -> list[Block]:
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            text.append(" " if m["raw"] or m["whole"] else "")
+            text.append(" " if m["raw"] else "")
             continue
         tag = tag.lower()
+        if tag in WHOLE_TAGS and not m["end"] and tag not in endless:
+            if end := re.compile(rf"</{tag}\s*>", re.I).search(page, at):
+                text.append(" ")
+                at = end.end()
+                continue
+            endless.add(tag)
         if tag == "a":
             link = 0 if m["end"] else 1
         elif tag == "br":
@@ -146,16 +175,17 @@ def parsed(page: str) -> list[Block]:
         elif tag in BLOCK_TAGS or tag in AWAY_TAGS:
             flush()
             if m["end"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
+                while open_tags[tag]:
+                    open_tags[last := stack.pop().tag] -= 1
+                    if last == tag:
                         break
                 link = 0
             else:
                 if stack[-1].tag == "p" or tag == stack[-1].tag == "li":
-                    stack.pop()
+                    open_tags[stack.pop().tag] -= 1
                 if tag != "hr":
                     serial += 1
+                    open_tags[tag] += 1
                     stack.append(entered(tag, m["rest"], stack[-1], serial))
     if at < len(page):
         text.append(page[at:])
@@ -163,6 +193,22 @@ def parsed(page: str) -> list[Block]:
     return out
 
 
+def in_notices(found: list[Block]) -> list[bool]:
+    """Whether each block lies in a notice: an element of such a name that holds less than SHARE of the text beside boilerplate."""
+    held: Counter[int] = Counter()
+    total = 0
+    for x in found:
+        if x.role >= 0:
+            total += len(x.text)
+            held.update(dict.fromkeys(x.notices, len(x.text)))
+    return [any(held[k] < SHARE * total for k in x.notices) for x in found]
+
+
+def settled(found: list[Block]) -> list[tuple[Block, bool]]:
+    """Each block with whether it lies in a notice. Names of elements that are none, for all they hold, are taken back."""
+    return [(x if away or not x.notices else x._replace(names=(0, *x.names[1:])), away) for x, away in zip(found, in_notices(found), strict=True)]
+
+
 def features(x: Block) -> list[float]:
     n = x.text.count(" ") + 1
     return [1.0, math.log1p(n) / 4, min(1.0, x.linked / len(x.text)), min(1.0, sum(map(x.text.count, ".,;:!?")) / n), float(x.tag == "p"), float(x.tag[:1] == "h" and len(x.tag) == 2), min(x.depth, 12) / 12, *map(float, x.names)]
@@ -175,12 +221,12 @@ def fit(pages: DataFrame, rows: int = TRAIN_PAGES) -> list[float]:
         sums = np.zeros((FEATURES + 2, FEATURES))
         for b in batches:
             for page in b.column(0).to_pylist():
-                for x in parsed(page or ""):
-                    if x.role:
+                for x, away in settled(parsed(page or "")):
+                    if role := -1 if away else x.role:
                         f = np.array(features(x))
                         sums[:FEATURES] += np.outer(f, f)
-                        sums[FEATURES] += x.role * f
-                        sums[FEATURES + 1, int(x.role > 0)] += 1
+                        sums[FEATURES] += role * f
+                        sums[FEATURES + 1, int(role > 0)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(sums.size)), pa.array(sums.ravel())], ["i", "v"])
 
     own = smallest(pages.select("page_id", "html"), rows, "page_id", "html").select("html")
@@ -257,7 +303,8 @@ def content_side(scores: list[float], edges: list[tuple[int, int, float]]) -> li
 
 def scored(found: list[Block], weights: list[float]) -> list[float]:
     """Each block's score alone: positive for content."""
-    return [2 * sum(w * f for w, f in zip(weights, features(x), strict=True)) + (0.0, HERE, AWAY)[x.role] for x in found]
+    said = lambda x, away: NOTICE if away and x.role >= 0 else (0.0, HERE, AWAY)[x.role]
+    return [2 * sum(w * f for w, f in zip(weights, features(x), strict=True)) + said(x, away) for x, away in settled(found)]
 
 
 def labelled(found: list[Block], weights: list[float]) -> list[bool]:
@@ -265,10 +312,10 @@ def labelled(found: list[Block], weights: list[float]) -> list[bool]:
     edges, last = [], {}
     for i, x in enumerate(found):
         if i:
-            gap = abs(x.depth - found[i - 1].depth) + 2 * (x.role != found[i - 1].role) + 2 * (x.names != found[i - 1].names)
+            gap = abs(x.depth - found[i - 1].depth) + 2 * sum(a != b for a, b in zip((x.role, x.names, x.notices), (found[i - 1].role, found[i - 1].names, found[i - 1].notices), strict=True))
             edges.append((i - 1, i, NEXT / (1 + gap)))
         if (k := last.get(x.parent)) is not None:
-            edges.append((k, i, SIBLING))
+            edges.append((k, i, SIBLING / (1 + 2 * (x.notices != found[k].notices))))
         last[x.parent] = i
     return content_side(scored(found, weights), edges)
 

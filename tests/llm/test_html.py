@@ -1,6 +1,9 @@
 import html as entities
 import random
 import re
+import time
+
+import pytest
 
 from copperleaf.llm import html
 
@@ -90,3 +93,53 @@ def test_query_finds_the_article(spark, sf):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string, text string").write.parquet(str(tmp_path / "pages.parquet"))
     assert html.op7_html_extraction(spark, str(tmp_path)).count() == 0
+
+
+ARTICLE = "".join(f"<p>Paragraph {k} of the report, with a sentence or two, and commas, as prose has.</p>" for k in range(6))
+NOTICES = [
+    '<div class="ad"><p>Buy the best kettle of the year, today only, at a low price.</p></div>',
+    '<div class="newsletter-box"><p>Sign up for our letter, and never miss a story.</p></div>',
+    '<div class="cookie-notice"><p>We use small files to serve you, as you surely know.</p></div>',
+    '<p class="share">Tell your friends about this page, they may like it.</p>',
+    '<div class="related-posts"><h3>More of this</h3><p>Another story, which is about something else, and long.</p></div>',
+    '<section id="article-comments"><p>I do not agree with this, said a reader, at some length.</p></section>',
+]
+
+
+@pytest.mark.parametrize("place", ["inside", "after"])
+@pytest.mark.parametrize("notice", NOTICES)
+def test_notices_go_wherever_they_stand(spark, place, notice):
+    weights = html.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    page = f"<body><article><h1>Title</h1>{ARTICLE}{notice}<h2>Below</h2><ul><li>first item of a list</li></ul><p>Last words, at the end.</p></article></body>"
+    if place == "after":
+        page = page.replace(notice, "").replace("</article>", f"</article>{notice}")
+    for w in (weights, html.PRIOR):
+        got = html.main_text(page, w).split("\n\n")
+        assert got == ["Title", *(f"Paragraph {k} of the report, with a sentence or two, and commas, as prose has." for k in range(6)), "Below", "first item of a list", "Last words, at the end."]
+
+
+def test_a_name_around_most_of_the_page_says_nothing():
+    for name in ("widget", "ad", "social-post"):
+        assert html.main_text(f'<div class="{name}">{ARTICLE}</div>', html.PRIOR).count("Paragraph") == 6
+        assert html.main_text(f'<article><div class="{name}">{ARTICLE}</div></article>', html.PRIOR).count("Paragraph") == 6
+
+
+def test_pages_of_unbalanced_tags_take_linear_time():
+    start = time.time()
+    html.parsed("<div>x" * 70000 + "</section>" * 60000)
+    html.parsed("<svg>" * 200000)
+    html.parsed("<p><li>" * 100000)
+    assert time.time() - start < 20
+
+
+def test_the_cut_flips_blocks_of_pages_without_roles_or_names(spark):
+    """The given pages, robbed of their articles, roles and names, with a word of its own before each paragraph."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    flipped = 0
+    for p in pages:
+        bare = re.sub(r"(?i)<(/?)(article|main|nav|header|footer|aside|form)\b[^>]*>", r"<\1div>", p.html or "")
+        bare = re.sub(r"(?i)\s(class|id|role)=(\"[^\"]*\"|'[^']*')", "", bare)
+        found = html.parsed(re.sub(r"<p>(\w+)", r"<div>\1</div><p>\1", bare))
+        if found:
+            flipped += sum(keep != (s > 0) for keep, s in zip(html.labelled(found, html.PRIOR), html.scored(found, html.PRIOR), strict=True))
+    assert flipped > 0
