@@ -50,6 +50,7 @@ UNNAMED = HERE_TAGS | {"html", "body"}
 AWAY_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 #: Those among them that name a notice, whatever content they stand beside (related-posts, article-comments).
 NOTICE_WORDS = AWAY_WORDS - frozenset("banner header masthead menu".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 HERE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 PLAIN_WORDS = frozenset("area bar block bottom box container global group inner item items left link links list outer page right row section site slot top unit user wrap wrapper".split())
 #: A word after one of these is not said of the element itself.
@@ -79,7 +80,7 @@ class Block(NamedTuple):
     names: tuple[int, int, int]  # elements around it whose names say boilerplate, say it among other words, say content
     parent: int
     depth: int
-    notices: tuple[int, ...]  # elements around it that are named as notices
+    notices: tuple[int, ...]  # elements around it that are named as notices, negative for comments
 
 
 class Open(NamedTuple):
@@ -109,14 +110,15 @@ def name_says(rest: str) -> tuple[int, int, int]:
     return (1, 0, 0) if away else (0, part, here)
 
 
-def notice(rest: str) -> bool:
-    """Whether a name of an element is that of a notice: words of notices beside none but plain ones and words of content."""
+def notice(rest: str) -> str:
+    """Whether a name of an element is that of a notice: words of notices beside none but plain ones and words of content.
+    Empty if not, else "comment" or "notice"."""
     for m in NAME.finditer(rest):
         for name in (m[1] or m[2] or m[3] or "").split():
             words = {w.lower() for w in WORD.findall(name)}
             if words & NOTICE_WORDS and not words & NOT_OWN and all(w in NOTICE_WORDS or {w, w.removesuffix("s")} & (PLAIN_WORDS | HERE_WORDS) or w.isdigit() for w in words):
-                return True
-    return False
+                return "comment" if words & COMMENT_WORDS else "notice"
+    return ""
 
 
 def entered(tag: str, rest: str, above: Open, serial: int) -> Open:
@@ -130,7 +132,9 @@ def entered(tag: str, rest: str, above: Open, serial: int) -> Open:
         if above.role < 0:  # a page wrapped in a form has its content all the same
             above = above._replace(names=(0, 0, 0))
         role = 1
-    return Open(tag, role, tuple(min(1, a + b) for a, b in zip(above.names, names, strict=True)), serial, (*above.notices, serial) if rest and tag not in UNNAMED and notice(rest) else above.notices)
+    kind = notice(rest) if rest and tag not in UNNAMED else ""
+    noticed = (-serial if kind == "comment" else serial,) if kind else ()
+    return Open(tag, role, tuple(min(1, a + b) for a, b in zip(above.names, names, strict=True)), serial, above.notices + noticed)
 
 
 def parsed(page: str) -> list[Block]:
@@ -194,14 +198,15 @@ def parsed(page: str) -> list[Block]:
 
 
 def in_notices(found: list[Block]) -> list[bool]:
-    """Whether each block lies in a notice: an element of such a name that holds less than SHARE of the text beside boilerplate."""
+    """Whether each block lies in a notice: an element of such a name that holds less than SHARE of the text beside
+    boilerplate, or one of comments, however long."""
     held: Counter[int] = Counter()
     total = 0
     for x in found:
         if x.role >= 0:
             total += len(x.text)
             held.update(dict.fromkeys(x.notices, len(x.text)))
-    return [any(held[k] < SHARE * total for k in x.notices) for x in found]
+    return [any(k < 0 or held[k] < SHARE * total for k in x.notices) for x in found]
 
 
 def settled(found: list[Block]) -> list[tuple[Block, bool]]:

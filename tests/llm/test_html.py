@@ -139,7 +139,7 @@ def test_the_cut_flips_blocks_of_pages_without_roles_or_names(spark):
     for p in pages:
         bare = re.sub(r"(?i)<(/?)(article|main|nav|header|footer|aside|form)\b[^>]*>", r"<\1div>", p.html or "")
         bare = re.sub(r"(?i)\s(class|id|role)=(\"[^\"]*\"|'[^']*')", "", bare)
-        found = html.parsed(re.sub(r"<p>(\w+)", r"<div>\1</div><p>\1", bare))
+        found = html.parsed(re.sub(r"<p>(\w+)", r"<p>\1</p><p>\1", bare))
         if found:
             flipped += sum(keep != (s > 0) for keep, s in zip(html.labelled(found, html.PRIOR), html.scored(found, html.PRIOR), strict=True))
     assert flipped > 0
