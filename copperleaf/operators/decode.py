@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,3 +170,52 @@ def page_scores(records: DataFrame, pages: tuple[str, ...] = ("cp037", "cp273",
     share = lambda p: F.sum(F.length(F.regexp_replace(codecs.characters(F.col("raw"), p), "[^A-Za-z0-9 .,]", ""))) / F.sum(F.length("raw"))
     one = records.agg(*(share(p).alias(p) for p in pages))
     return one.select(F.explode(F.create_map(*(x for p in pages for x in (F.lit(p), F.col(p))))).alias("page", "score"))
+
+
+def byte_histogram(records: DataFrame, *by: str) -> DataFrame:
+    """by, counts: for each group (all records without one), how often each of the 256 bytes occurs in raw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups = list(zip(*(b.column(k).to_pylist() for k in range(len(by))), strict=True)) if by else [()] * b.num_rows
+            held: dict[tuple, np.ndarray] = {}
+            for group, raw in zip(groups, b.column(len(by)).to_pylist(), strict=True):
+                held[group] = held.get(group, 0) + np.bincount(np.frombuffer(raw or b"", np.uint8), minlength=256)
+            keys = [pa.array([g[k] for g in held], b.schema.field(k).type) for k in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([x.tolist() for x in held.values()], pa.list_(pa.int64()))], [*by, "counts"])
+
+    kinds = dict(records.dtypes)
+    parts = records.select(*by, "raw").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "counts array<bigint>"]))
+    return parts.groupBy(*by).agg(F.array(*(F.coalesce(F.sum(F.get("counts", F.lit(i))), F.lit(0)) for i in range(256))).alias("counts"))
+
+
+def likelihood(expected: dict[str, int] | None) -> Callable[[str], float]:
+    """How likely a character is, as a logarithm: by a histogram of expected ones, or else by its kind."""
+    if expected:
+        total = sum(expected.values()) + 1
+        return lambda c: math.log((expected.get(c, 0) + 1e-3) / total)
+
+    def by_kind(c: str) -> float:
+        if c == "\ufffd" or ord(c) < 32 and c not in "\t\n\r" or 127 <= ord(c) < 160:
+            return -12.0
+        if c in " etaoinsrhldcu":
+            return -2.5
+        if c.isascii():
+            return -4.0 if c.isalnum() or c in ".,-" else -6.0
+        return -6.5 if c.isalpha() else -7.0 if c == "€" else -8.0
+
+    return by_kind
+
+
+def page_ranking(counts: list[int], pages: Iterable[str], expected: dict[str, int] | None = None) -> list[tuple[str, float]]:
+    """Code pages by the mean log-likelihood of the characters that a byte histogram means in them, the best first; pages
+    that agree on all bytes that occur have equal scores. expected: how often characters occur in text of that kind."""
+    chance, total = likelihood(expected), max(1, sum(counts))
+    score = {p: sum(n * chance(c) for n, c in zip(counts, codecs.code_page(p), strict=True) if n) / total for p in pages}
+    return sorted(((p, round(s, 9)) for p, s in score.items()), key=lambda x: (-x[1], x[0]))
+
+
+def guessed_page(records: DataFrame, pages: Iterable[str], expected: dict[str, int] | None = None) -> list[str]:
+    """The code pages that the records' bytes fit best: several where they can't be told apart. One pass, 256 counts."""
+    ranking = page_ranking(byte_histogram(records).first()["counts"], pages, expected)
+    return [p for p, s in ranking if s == ranking[0][1]]

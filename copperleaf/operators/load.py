@@ -124,40 +124,3 @@ def recover(spark, path: str) -> None:
     (p, fs), (old, _) = (_place(spark, x) for x in (path, f"{path.rstrip('/')}__old"))
     if not fs.exists(p) and fs.exists(old):
         fs.rename(old, p)
-
-
-def merge_sql(table: str, staged: str, columns: list[str], pk: list[str]) -> str:
-    """One statement that takes the rows of a staged table into another one by key. Columns are quoted, as Spark does."""
-    columns, pk = ([f'"{c}"' for c in x] for x in (columns, pk))
-    on = " AND ".join(f"t.{k} = s.{k}" for k in pk)
-    rest = [c for c in columns if c not in pk]
-    update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{c} = s.{c}' for c in rest)}" if rest else ""
-    return f"MERGE INTO {table} t USING {staged} s ON {on}{update} WHEN NOT MATCHED THEN INSERT ({', '.join(columns)}) VALUES ({', '.join(f's.{c}' for c in columns)})"
-
-
-def upsert_jdbc(rows: DataFrame, url: str, table: str, pk: list[str], order: list[str] | None = None, batch: int = 10_000, **options: str) -> None:
-    """Upserts into a database table: executors write a staged table beside it, the database merges that in one statement
-    and drops it. Of equal keys in rows the last wins."""
-    if not pk:
-        raise ValueError("upsert needs the primary key's columns")
-    columns = [c for c in rows.columns if c not in (order or [])]
-    new = last_of_key(rows, pk, order) if order else rows.dropDuplicates(pk)
-    staged = f"{table}_staged"
-    new.select(*columns).write.format("jdbc").options(url=url, dbtable=staged, batchsize=str(batch), **options).mode("overwrite").save()
-    jvm = rows.sparkSession._jvm
-    given = jvm.java.util.Properties()
-    for k, v in options.items():
-        given.setProperty(k, v)
-    connection = jvm.java.sql.DriverManager.getConnection(url, given)
-    try:
-        statement = connection.createStatement()
-        statement.executeUpdate(merge_sql(table, staged, columns, pk))
-        statement.executeUpdate(f"DROP TABLE {staged}")
-    finally:
-        connection.close()
-
-
-def to_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", batch: int = 10_000, **options: str) -> None:
-    """A database table; truncate_load keeps its definition."""
-    w = rows.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options)
-    w.option("truncate", "true").mode("overwrite").save() if mode == "truncate_load" else w.mode("append").save()

@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections import Counter
+from functools import reduce
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from copperleaf.functions import codecs
 from copperleaf.functions import encoders as enc
-from copperleaf.operators import load, reconcile, reshape, transform
-from copperleaf.operators.decode import DecodeOptions, accepted, decode, once, page_scores, rejected
+from copperleaf.operators import database, load, reconcile, reshape, transform
+from copperleaf.operators.decode import DecodeOptions, accepted, byte_histogram, decode, once, page_ranking, page_scores, rejected
 from copperleaf.plans import engine, state
 from copperleaf.plans.schema import Options, Table, compile_copybook
 from copperleaf.sources import ranges, records, tables
@@ -727,6 +729,43 @@ def ebcdic_text_all_pages(spark, d):
     return out
 
 
+def national(page: str) -> str:
+    """What a code page has beside plain letters and digits, some more often than others: national letters, signs."""
+    return "".join(c * (ord(c) % 5 + 1) for c in sorted(set(codecs.code_page(page))) if c.isprintable() and c not in " \ufffd" and not (c.isascii() and c.isalnum()))
+
+
+@query("SELECT p AS page, p AS best, count(*) AS n FROM nation, (SELECT unnest([" + ", ".join(f"'{p}'" for p in PAGES) + "]) AS p) GROUP BY p")
+def code_page_ranking(spark, d):
+    """Texts in each of the pages, recognised among all of them by one histogram of bytes for each."""
+    n, texts = table(spark, d, "nation"), {p: national(p) for p in PAGES}
+    one = lambda p: n.select(F.lit(p).alias("page"), enc.text(F.concat(F.col("n_name"), F.lit(texts[p])), 40 + len(texts[p]), p).alias("raw"))
+    rows = reduce(DataFrame.unionAll, map(one, PAGES))
+    names = Counter("".join(r.n_name.ljust(40) for r in n.select("n_name").collect()))  # 25 names of nations
+    out = []
+    for r in byte_histogram(rows, "page").join(rows.groupBy("page").count(), "page").collect():  # a row for each page
+        expected = names + Counter({c: k * 25 for c, k in Counter(texts[r.page]).items()})
+        ranking = page_ranking(r.counts, PAGES, expected)
+        out.append((r.page, ",".join(p for p, x in ranking if x == ranking[0][1]), r["count"]))
+    return spark.createDataFrame(out, "page string, best string, n long")
+
+
+@query("SELECT o_orderkey AS ok, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'old' END AS status, CAST(o_custkey AS BIGINT) AS cust FROM orders")
+def database_load(spark, d):
+    """Orders appended to a database, some of them merged again, one load twice. The database is Derby in the driver's memory,
+    so this query runs in local sessions."""
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("Derby's memory is the driver's alone")
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    with database.connected(spark, url, {}) as c:
+        database.execute(c, 'CREATE TABLE orders ("ok" BIGINT NOT NULL PRIMARY KEY, "status" VARCHAR(3), "cust" BIGINT)')
+        c.commit()
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("ok"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").cast("long").alias("cust"))
+    for _ in range(2):
+        database.load_database(o.withColumn("status", F.lit("old")), url, "orders", "first")
+    database.load_database(o.where("ok % 3 = 0"), url, "orders", "second", "upsert", ["ok"])
+    return spark.read.format("jdbc").options(url=url, dbtable="orders").load()
+
+
 @query("SELECT count(*) FILTER (o_orderstatus IN ('O', 'F')) AS loaded, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS rejected FROM orders")
 def load_stats(spark, d):
     """What a load says of itself: one row, counted while it writes."""
@@ -907,6 +946,19 @@ def recon_sample(spark, d):
     return reconcile.sample_check(source, orders(order_records(o)), "ord_key")
 
 
+@query("SELECT count(*) AS n_keys, true AS inside, true AS whole, count(*) FILTER (o_orderkey % 40 = 0) AS n_wrong FROM orders")
+def recon_confidence(spark, d):
+    """Orders with wrong totals planted in a target: a sample's interval holds their share, a margin of 0 compares all rows."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"), "o_orderstatus", money("o_totalprice"))
+    wrong = F.when(F.col("k") % 40 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    target = o.withColumn("o_totalprice", wrong.cast(o.schema["o_totalprice"].dataType))
+    part = reconcile.confidence_check(o, target, ["k"], 0.9999, 0.02, 0.03)
+    every = reconcile.confidence_check(o, target, ["k"], margin=1e-9)
+    share = F.col("n_wrong") / F.col("n_keys")
+    both = part.select("low", "high").crossJoin(every.select("n_keys", (F.col("n_sampled") == F.col("n_keys")).alias("whole"), F.col("n_different").alias("n_wrong")))  # a row each
+    return both.select("n_keys", ((F.col("low") <= share) & (share <= F.col("high"))).alias("inside"), "whole", "n_wrong")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 11 = 0")
 def recon_orphans(spark, d):
     o = table(spark, d, "orders").where("o_orderkey % 11 <> 0")

@@ -186,21 +186,6 @@ def test_lookup_tables_and_names():
         compile_copybook(RUN_ORDER, Options(filler="warn"), free=True)
 
 
-def test_database_tables(spark):
-    """In the database that Spark's own distribution holds."""
-    url = "jdbc:derby:memory:loads;create=true"
-    rows = spark.createDataFrame([(1, 10, 0), (2, 20, 0)], "k int, v int, at int")
-    load.to_jdbc(rows.drop("at"), url, "t")
-    load.to_jdbc(spark.createDataFrame([(3, 30)], "k int, v int"), url, "t")
-    load.upsert_jdbc(spark.createDataFrame([(2, 21, 1), (2, 22, 2), (4, 40, 1)], "k int, v int, at int"), url, "t", ["k"], ["at"])
-    there = lambda: sorted(map(tuple, spark.read.jdbc(url, "t").collect()))
-    assert there() == [(1, 10), (2, 22), (3, 30), (4, 40)]
-    load.to_jdbc(rows.drop("at"), url, "t", "truncate_load")
-    assert there() == [(1, 10), (2, 20)]
-    with pytest.raises(ValueError):
-        load.upsert_jdbc(rows, url, "t", [])
-
-
 def test_command_line_routes():
     from copperleaf.__main__ import route_of
 
