@@ -20,7 +20,7 @@ them by a bitmap, as long as their number allows one, otherwise by a join with t
 
 Words are maximal runs of anything but space and \\x09-\\x0D, compared by hash (64 bits for the first SAME, 32 for each
 word after). Defined results: null, empty and short texts have no spans, rows without doc_id take no part; a repeat within
-one doc_id alone is none; an empty table gives no rows; other columns are ignored; texts of any length are read whole.
+one doc_id alone is none; rows of one doc_id with other texts have spans of their own, known by the text's hash; an empty table gives no rows; other columns are ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Marks, blocks, cut, partitions, repeated, table, tallied
+from .common import Marks, blocks, cut, parted, partitions, repeated, table, tallied, text_hash
 from .jaccard import WordHashes, mixed
 
 LEAST, WINDOW, SAME = 50, 19, 32
@@ -40,9 +40,9 @@ AROUND = LEAST - SAME  # words on either side that can make a match long enough
 #: Keys of more suffixes are sorted over all tasks.
 HOT = 1 << 14
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SUFFIX = "key long, after binary, doc_id long, at int, before binary, n_before int, n_after int"
+SUFFIX = "key long, after binary, doc_id long, at int, before binary, n_before int, n_after int, h long"
 ORDER = ("key", "after", "before", "doc_id", "at")
-SPAN = "doc_id long, start long, end long, partner long"
+SPAN = "doc_id long, start long, end long, partner long, text_hash long"
 
 
 def suffixes(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,13 +67,13 @@ def suffixes(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """doc_ids, word hashes and each document's first word, by blocks; documents shorter than LEAST have no words."""
+    """Blocks, their word hashes and each document's first word; documents shorter than LEAST have no words."""
     for b in blocks(batches, "text"):
         known, parts = WordHashes(), []
         for text in b.column(1).to_pylist():
             words = (text or "").encode("utf-8", "surrogatepass").split()
             parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) if len(words) >= LEAST else np.empty(0, np.uint64))
-        yield b.column(0).to_pylist(), np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        yield b, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
 def kept_suffixes(docs: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def kept_suffixes(docs: DataFrame) -> DataFrame:
     twice, hot = Marks(counts.select("key")), Marks(cut(counts.where(F.col("n") > HOT).select("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, words, begin in words_of(batches):
+        for b, words, begin in words_of(batches):
             at, key, doc = suffixes(words, begin)
             m = twice.of(key)
             at, key, doc = at[m], key[m], doc[m]
@@ -99,9 +99,10 @@ def kept_suffixes(docs: DataFrame) -> DataFrame:
             after = short[AROUND + at[:, None] + SAME + steps]
             before = short[AROUND + at[:, None] - 1 - steps]
             raw = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * AROUND), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+            hashes = np.fromiter(map(text_hash, b.column(1).to_pylist()), np.int64, b.num_rows)
             n_before, n_after = np.minimum(at - begin[doc], AROUND), np.minimum(begin[doc + 1] - at - SAME, AROUND)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), raw(after), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array((at - begin[doc]).astype(np.int32)), raw(before), pa.array(n_before.astype(np.int32)), pa.array(n_after.astype(np.int32)), pa.array(hot.of(key))],
+                [pa.array(key.view(np.int64)), raw(after), b.column(0).take(pa.array(doc)), pa.array((at - begin[doc]).astype(np.int32)), raw(before), pa.array(n_before.astype(np.int32)), pa.array(n_after.astype(np.int32)), pa.array(hashes[doc]), pa.array(hot.of(key))],
                 [*(x.split()[0] for x in SUFFIX.split(", ")), "hot"],
             )
 
@@ -144,14 +145,14 @@ def neighbours(t: pa.Table) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
-def spans_of(doc: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """SPAN rows of matches (row, start, end, partner)."""
+def spans_of(t: pa.Table, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """SPAN rows of matches (row of t, start, end, partner)."""
     i, start, end, partner = (np.concatenate([x[c] for x in found]) for c in range(4))
-    return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(start), pa.array(end), pa.array(partner)], ["doc_id", "start", "end", "partner"])
+    return pa.RecordBatch.from_arrays([pa.array(t["doc_id"].to_numpy()[i]), pa.array(start), pa.array(end), pa.array(partner), pa.array(t["h"].to_numpy()[i])], ["doc_id", "start", "end", "partner", "text_hash"])
 
 
 def matches(t: pa.Table) -> pa.RecordBatch:
-    return spans_of(t["doc_id"].to_numpy(), neighbours(t))
+    return spans_of(t, neighbours(t))
 
 
 def around(t: pa.Table) -> list[tuple[np.ndarray, ...]]:
@@ -202,7 +203,7 @@ def dealt(rows: DataFrame) -> DataFrame:
                 first[k[same]], last[k[same]] = s[same], e[same]
                 new &= (first[i] > start) | (last[i] < end)
             out.append((i[new], start[new], end[new], partner[new]))
-        return spans_of(doc, out)
+        return spans_of(t, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -261,7 +262,7 @@ def compared(rows: DataFrame) -> DataFrame:
     n = 2 * partitions(rows.sparkSession)
     both = cut(rows.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(run, f"{SPAN}, {SUFFIX.replace('doc_id', 'doc')}"))
     spans = both.where("partner is not null").select(*names)
-    edges = both.where("partner is null").select("key", "after", F.col("doc").alias("doc_id"), "at", "before", "n_before", "n_after")
+    edges = both.where("partner is null").select("key", "after", F.col("doc").alias("doc_id"), "at", "before", "n_before", "n_after", "h")
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = [b for b in batches if b.num_rows]
@@ -279,20 +280,20 @@ def windows(rows: DataFrame) -> DataFrame:
     own = rows.join(some.where(f"n > 2 and (a <> z or least < {AROUND})").select("key"), "key").where(f"n_before + n_after >= {AROUND}")
     own = own.withColumn("l", F.expr(f"explode(sequence({AROUND} - n_after, n_before))"))
     group = F.expr(f"xxhash64(key, l, substring(before, 1, 4 * l), substring(after, 1, 4 * ({AROUND} - l)))")
-    met = own.select(group.alias("g"), "doc_id", (F.col("at") - F.col("l")).cast("long").alias("start"))
+    met = own.select(group.alias("g"), "doc_id", (F.col("at") - F.col("l")).cast("long").alias("start"), "h")
     # written, so that a window that very many documents hold can be split in the join
     holders = cut(met.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi"))
     partner = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
-    return met.join(holders, "g").select("doc_id", "start", (F.col("start") + LEAST).alias("end"), partner.alias("partner"))
+    return met.join(holders, "g").select("doc_id", "start", (F.col("start") + LEAST).alias("end"), partner.alias("partner"), F.col("h").alias("text_hash"))
 
 
 def united(found: DataFrame) -> DataFrame:
     """SPAN rows of a document that touch, as one with the smallest partner."""
-    w = Window.partitionBy("doc_id").orderBy("start")  # a document's own spans
+    w = Window.partitionBy("doc_id", "text_hash").orderBy("start")  # a document's own spans
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("reach") >= F.col("start"), 0).otherwise(1)).over(w)
-    out = found.groupBy("doc_id", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner")).withColumn("reach", reach).withColumn("island", island)
-    return out.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner")).drop("island")
+    out = found.groupBy("doc_id", "text_hash", "start").agg(F.max("end").alias("end"), F.min("partner").alias("partner")).withColumn("reach", reach).withColumn("island", island)
+    return out.groupBy("doc_id", "text_hash", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner")).select(*(x.split()[0] for x in SPAN.split(", ")))
 
 
 def matched(docs: DataFrame) -> DataFrame:
@@ -303,7 +304,8 @@ def matched(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (words, end exclusive), partner (another document that holds part of the span, the smallest one met)."""
+    """doc_id, start, end (words, end exclusive), partner (another document that holds part of the span, the smallest one met),
+    text_hash (of the row's text, which tells it from other rows of its doc_id)."""
     return united(matched(docs))
 
 
@@ -312,7 +314,7 @@ def without_repeats(docs: DataFrame, found: DataFrame | None = None) -> DataFram
 
     found: rows of matched(). Only words that a smaller doc_id holds go, so the smallest holder of a passage keeps it."""
     found = matched(docs) if found is None else found
-    gone = united(found.where("partner < doc_id")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    gone = cut(united(found.where("partner < doc_id")).groupBy("doc_id", F.col("text_hash").alias("__h")).agg(F.collect_list(F.struct("start", "end")).alias("gone")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,11 +328,12 @@ def without_repeats(docs: DataFrame, found: DataFrame | None = None) -> DataFram
                 out.append(text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, text string")
+    others, concerned = parted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), gone.select("__h"))
+    return others.unionAll(concerned.join(gone, ["doc_id", "__h"], "left").select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, text string"))
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans(table(spark, sf_dir, "documents")).select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("partner").alias("partner_doc_id"))
+    return spans(table(spark, sf_dir, "documents")).select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("partner").alias("partner_doc_id"), "text_hash")
 
 
 QUERIES = {"op8_suffix_array": op8_suffix_array}

@@ -68,6 +68,20 @@ def test_a_copy_of_each_passage_is_left(spark):
     assert left == {1: words[:60], 2: words[60:], 3: []}
 
 
+@pytest.mark.parametrize("hot", [1 << 14, 1])
+def test_rows_of_one_doc_id_are_told_apart(spark, monkeypatch, hot):
+    """Only the row that holds the passage loses it, not another text of its doc_id."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"o{i}" for i in range(100))
+    rows = [(1, passage), (7, f"begin {passage} end"), (7, other), (7, None), (7, f"begin {passage} end"), (7, f"{other} again {passage}")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, text_hash string")
+    left = sorted((r.doc_id, r.text or "") for r in repeats.without_repeats(docs).collect())
+    assert left == sorted([(1, passage), (7, "begin end"), (7, other), (7, ""), (7, "begin end"), (7, f"{other} again")])
+    spans = {(r.doc_id, r.start, r.end, r.partner, r.text_hash) for r in repeats.spans(docs).collect()}
+    hashes = [common.text_hash(t) for _, t in rows]
+    assert spans == {(1, 0, 60, 7, hashes[0]), (7, 1, 61, 1, hashes[1]), (7, 101, 161, 1, hashes[5])}
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {k: set() for k, _ in rows}
