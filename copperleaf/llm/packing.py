@@ -5,7 +5,7 @@ rounded up, so the histogram has WINDOW/GRAIN bins whatever the input. The combi
 fill a window are enumerated; non-negative least squares finds how often to repeat each so that together they use up
 the histogram; the counts are rounded down, and what is left is packed greedily, longest first. That plan is a few
 hundred rows. Pieces carry their ids (little-endian, four bytes each), and the row of a sequence's first piece holds the
-whole sequence, padded with END. A piece's rank among those of its length, from counts by length and hash, gives its place in the plan.
+whole sequence, padded with END to WINDOW ids, except where its length is a power of two: such a sequence stays as it is. A piece's rank among those of its length, from counts by length and hash, gives its place in the plan.
 
 Tokens are read once: pieces are written to the shared folder before they are counted and placed. Ranks are taken
 within (length, hash of the piece), so that a length that a third of all pieces have is spread over all tasks.
@@ -31,6 +31,9 @@ from .common import blocks, cut, partitions, table
 WINDOW, GRAIN, END = 1024, 8, 0
 UNITS = WINDOW // GRAIN
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PAD = np.array([END], "<u4").tobytes()
+#: Sequences that are put together at once.
+AT_ONCE = 256
 RANKS_OF_ONE = np.int64(1) << 44  # more pieces than one length can have
 
 
@@ -131,8 +134,8 @@ def slots(steps: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndar
 
 
 def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, rank_file: str = tokens.RANKS) -> DataFrame:
-    """PIECE columns but ids, with sequence_id, offset, and sequence: the ids of all its pieces and its padding, WINDOW of
-    them, in the row of offset 0, null in others."""
+    """PIECE columns but ids, with sequence_id, offset, and sequence: the ids of all its pieces and its padding, in the row of
+    offset 0, null in others."""
     spark = docs.sparkSession
     own = cut(pieces(docs, vocabulary, rank_file).withColumn("units", F.expr(f"(length + {GRAIN - 1}) div {GRAIN}")))
     histogram = np.zeros(UNITS + 1, np.int64)
@@ -157,15 +160,37 @@ def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, rank_file: str =
             )
 
     out = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "units", "rank").mapInArrow(placed, f"{PIECE}, sequence_id long, place long")
-    held = Window.partitionBy("sequence_id").orderBy("place")  # WINDOW rows at most
-    above, every = held.rowsBetween(Window.unboundedPreceding, -1), held.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = out.withColumn("offset", F.coalesce(F.sum("length").over(above), F.lit(0)).cast("long")).withColumn("all", F.collect_list("ids").over(every))
-    joined = F.expr(f"rpad(aggregate(all, X'', (x, y) -> concat(x, y)), {4 * WINDOW}, X'{END:02x}')")
-    return out.withColumn("sequence", F.when(F.col("offset") == 0, joined)).drop("place", "ids", "all")
+    return assembled(out.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("place", *(x.split()[0] for x in PIECE.split(", "))))).alias("pieces")))
+
+
+def assembled(sequences: DataFrame) -> DataFrame:
+    """Rows of pieces from sequence_id and pieces (WINDOW of them at most): PIECE columns but ids, sequence_id, offset, and
+    sequence, in the row of offset 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, AT_ONCE):
+                b = batch.slice(begin, AT_ONCE)
+                flat = b.column(1).flatten()
+                field = {x: flat.field(x) for x in names}
+                n = np.diff(b.column(1).offsets.to_numpy())
+                first = np.cumsum(n) - n
+                length = field["length"].to_numpy()
+                before = np.cumsum(length) - length
+                offset, ids = before - np.repeat(before[first], n), field["ids"].to_pylist()
+                whole: list[bytes | None] = [None] * len(ids)
+                for i, k, total in zip(first.tolist(), n.tolist(), np.add.reduceat(length, first).tolist(), strict=True):
+                    whole[i] = b"".join(ids[i : i + k]) + PAD * (0 if total & (total - 1) == 0 else WINDOW - total)
+                yield pa.RecordBatch.from_arrays([*(field[x] for x in names[:-1]), b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(offset), pa.array(whole, pa.binary())], [*names[:-1], "sequence_id", "offset", "sequence"])
+
+    names = [x.split()[0] for x in PIECE.split(", ")]
+    return sequences.mapInArrow(run, f"{PIECE.removesuffix(', ids binary')}, sequence_id long, offset long, sequence binary")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).drop("sequence")
+    """Pieces, and the tokens of their padded sequence in the row of its first one."""
+    out = pack(table(spark, sf_dir, "documents"))
+    return out.withColumn("sequence_tokens", F.expr("cast(octet_length(sequence) div 4 as bigint)")).drop("sequence")
 
 
 QUERIES = {"op5_packing": op5_packing}

@@ -53,12 +53,19 @@ def test_sequences_hold_their_tokens(spark):
         assert (r.sequence is None) == (r.offset > 0)
         if r.offset == 0:
             held[r.sequence_id] = np.frombuffer(r.sequence, "<u4")
-            assert len(held[r.sequence_id]) == packing.WINDOW
     for r in rows:
         ids = [*tk.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, packing.END]
         assert held[r.sequence_id][r.offset : r.offset + r.length].tolist() == ids[r.start : r.start + r.length]
         used[r.sequence_id] += r.length
     assert all((x[used[k] :] == packing.END).all() for k, x in held.items())
+    assert all(len(x) == (used[k] if used[k] & (used[k] - 1) == 0 else packing.WINDOW) for k, x in held.items())
+
+
+def test_sequences_of_a_power_of_two_are_not_padded(spark):
+    for n in (1, 512, 513, 1024):
+        docs = spark.createDataFrame([(1, " a" * (n - 1))], "doc_id long, text string")
+        [r] = packing.pack(docs).collect()
+        assert (r.length, len(r.sequence)) == (n, 4 * (1024 if n == 513 else n))
 
 
 def test_characters_of_latin_texts_are_of_one_kind_in_both_files():
