@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,20 +53,41 @@ def full_layout(records: DataFrame, t: ir.Table, options: DecodeOptions = Decode
     return out
 
 
+def nested_rows(records: DataFrame, path: Sequence[ir.Array], keys: list[ir.Column], counters: Sequence[ir.Column] = (), options: DecodeOptions = DecodeOptions()) -> DataFrame:
+    """One row for each element of the last array of a path, each array inside an element of the one before: the record's
+    keys, an index from 1 for each array, the element's columns and errors. A counter is a column of the element around
+    its array, or one of counters, columns of the record; what an inner counter leaves out keeps its place."""
+    raw, of_record = F.col("raw"), {c.name: c for c in counters}
+    others = [x for x in records.columns if x != "raw"]
+    counts = {a.counter: decoded(of_record[a.counter], raw, options)[0].alias(f"__n_{a.counter}") for a in path if a.counter in of_record}
+    rows = records.select(*others, "raw", *(decoded(k, raw, options)[0].alias(k.name) for k in keys), *counts.values())
+    around: dict[str, ir.Column] = {}
+    for depth, a in enumerate(path, 1):
+        count = None
+        if a.counter in around:
+            count = decoded(around[a.counter], raw, options)[0]
+        elif a.counter:
+            count = F.col(f"__n_{a.counter}")
+        rows = rows.select(*(c for c in rows.columns if c != "raw"), F.posexplode(elements(a, raw, count)).alias("__at", "raw"))
+        rows = rows.withColumn(ir.index_name(depth), (F.col("__at") + 1).cast("short")).drop("__at")
+        around = {c.name: c for c in a.columns}
+    return decode(rows.drop(*(f"__n_{c}" for c in counts)), path[-1].columns, options, on_error="null")
+
+
 def child_rows(records: DataFrame, a: ir.Array, keys: list[ir.Column], counter: ir.Column | None = None, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """One row for each element: the parent's keys, occurrence_index from 1, the element's columns and errors."""
-    raw = F.col("raw")
-    of_key = [decoded(k, raw, options)[0].alias(k.name) for k in keys]
-    count = decoded(counter, raw, options)[0] if counter else None
-    others = [x for x in records.columns if x != "raw"]
-    rows = records.select(*others, *of_key, F.posexplode(elements(a, raw, count)).alias("__at", "raw"))
-    numbered = rows.withColumn("occurrence_index", (F.col("__at") + 1).cast("short")).drop("__at")
-    return decode(numbered, a.columns, options, on_error="null")
+    return nested_rows(records, [a], keys, [counter] if counter else [], options)
 
 
 def element_structs(a: ir.Array, raw: Column, counter: Column | None = None, options: DecodeOptions = DecodeOptions()) -> Column:
-    """array<struct> of the elements' columns."""
-    return F.transform(elements(a, raw, counter), lambda x: F.struct(*(decoded(c, x, options)[0].alias(c.name) for c in a.columns)))
+    """array<struct> of the elements' columns and, as arrays of the same kind, of the arrays in them."""
+
+    def of(x: Column) -> Column:
+        own = {c.name: c for c in a.columns}
+        inner = [element_structs(b, x, decoded(own[b.counter], x, options)[0] if b.counter in own else None, options).alias(b.name) for b in a.arrays]
+        return F.struct(*(decoded(c, x, options)[0].alias(c.name) for c in a.columns), *inner)
+
+    return F.transform(elements(a, raw, counter), of)
 
 
 def wide_columns(a: ir.Array, raw: Column, options: DecodeOptions = DecodeOptions(), most: int | None = None) -> list[Column]:

@@ -627,6 +627,39 @@ def run_files(spark, d) -> str:
     return path
 
 
+RUN_BOXES = """
+01 RUN-BOXES.
+   05 RB-KEY PIC 9(9).
+   05 RB-STATUS PIC X.
+      88 RB-KNOWN VALUE 'O' 'F'.
+   05 RB-BOX OCCURS 2 TIMES.
+      10 BX-NO PIC 9(3).
+      10 BX-COUNT PIC 9.
+      10 BX-ITEM OCCURS 3 TIMES.
+         15 IT-PART PIC 9(9).
+         15 IT-QTY PIC 9(2).
+   05 FILLER PIC X.
+"""
+BOXES = "orders, (SELECT unnest([1, 2]) AS i), (SELECT unnest([1, 2, 3]) AS j)"
+
+
+@query(
+    "SELECT CAST(o_orderkey AS INT) AS rb_key, CAST(i AS SMALLINT) AS occurrence_index, CAST(j AS SMALLINT) AS occurrence_index_2, CAST(o_custkey + 10 * i + j AS INT) AS it_part, "
+    f"CAST((o_orderkey + j) % 100 AS SMALLINT) AS it_qty FROM {BOXES} WHERE o_orderstatus IN ('O', 'F')"
+)
+def run_nested_arrays(spark, d):
+    """Arrays inside arrays as tables of their own, loaded with their parents."""
+    number = lambda x, n: enc.zoned(x, n, signed=False)
+    item = lambda i, j: (number(F.col("o_custkey") + (10 * i + j), 9), number((F.col("o_orderkey") + j) % 100, 2))
+    box = lambda i: (number(F.lit(i), 3), number(F.lit(3), 1), *(x for j in (1, 2, 3) for x in item(i, j)))
+    files, folder = scratch(spark), scratch(spark)
+    rows = table(spark, d, "orders").select(F.concat(number(F.col("o_orderkey"), 9), "o_orderstatus", *box(1), *box(2)).alias("value"))
+    rows.write.option("lineSep", ";").text(files)
+    config = engine.RunConfig("boxes", RUN_BOXES, [engine.Source(files)], f"{folder}/target", f"{folder}/state", decoding=DecodeOptions(ascii=True), free=True)
+    engine.run(spark, config)
+    return spark.read.parquet(f"{config.target}/run_boxes_rb_box_bx_item")
+
+
 def ran(spark, d, **options) -> tuple[engine.RunConfig, str]:
     folder = scratch(spark)
     config = engine.RunConfig("orders", RUN_ORDER, [engine.Source(run_files(spark, d))], f"{folder}/target", f"{folder}/state", options=Options(**options), decoding=DecodeOptions(ascii=True), free=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from copperleaf.operators import load as loading
 from copperleaf.operators import reconcile
 from copperleaf.operators.decode import DecodeOptions, decode
-from copperleaf.operators.reshape import child_rows, element_structs, full_layout, of_table, overlay_json, routed
+from copperleaf.operators.reshape import element_structs, full_layout, nested_rows, of_table, overlay_json, routed
 from copperleaf.plans import ddl
 from copperleaf.plans.schema import Array, Options, Schema, Table, compile_copybook, snake
 from copperleaf.plans.state import Store
@@ -78,9 +78,13 @@ def with_derived(rows: DataFrame, t: Table, decoding: DecodeOptions) -> DataFram
     return rows.withColumns({k: F.when(good, x) for k, x in columns.items()}) if columns else rows
 
 
-def children_of(schema: Schema, t: Table) -> list[tuple[Table, Array]]:
-    """The tables of a table's arrays."""
-    return list(zip([x for x in schema.tables if x.kind == "occurs_child" and x.parent == t.name], t.arrays, strict=False))
+def children_of(schema: Schema, t: Table, arrays: list[Array] | None = None, path: tuple[Array, ...] = ()) -> list[tuple[Table, tuple[Array, ...]]]:
+    """The tables of a table's arrays with the arrays that lead there, those of arrays inside others after theirs."""
+    out = []
+    own = [x for x in schema.tables if x.kind == "occurs_child" and x.parent == t.name]
+    for child, a in zip(own, t.arrays if arrays is None else arrays, strict=False):
+        out += [(child, (*path, a)), *children_of(schema, child, a.arrays, (*path, a))]
+    return out
 
 
 def extracted(spark: SparkSession, schema: Schema, source: Source, config: RunConfig) -> dict[str, tuple[Table, DataFrame]]:
@@ -101,27 +105,32 @@ def extracted(spark: SparkSession, schema: Schema, source: Source, config: RunCo
         r = full_layout(r, t, config.decoding)
         r = r.withColumn("__raw", F.col("raw"))
         out[name] = t, with_derived(decode(r, t, config.decoding, config.on_error), t, config.decoding)
-        for child, a in children_of(schema, t):
-            keys = [t.column(k) for k in t.primary_key]
-            of = child_rows(r, a, keys, t.column(a.counter) if a.counter else None, config.decoding)
-            out[child.name] = child, of
+        for child, path in children_of(schema, t):
+            out[child.name] = child, nested_rows(r, path, [t.column(k) for k in t.primary_key], t.columns, config.decoding)
     return out
 
 
+def place_of(t: Table) -> list[str]:
+    """Columns that tell the record that a row came from, and its element."""
+    return ["__file", "__line_num", *(c.name for c in t.columns if c.kind == "row_number")]
+
+
 def lost(rows: DataFrame, refused: DataFrame, t: Table, config: RunConfig) -> DataFrame:
-    """__file, __line_num, reason of the records of a table that have no row of their own in the target: undecodable ones,
-    refused ones, and, for upserts, those that a later record of their key replaces. rows: all decoded ones."""
-    own = refused.select("__file", "__line_num", F.col("reject_reason").alias("reason"))
+    """place_of() and reason of the records of a table (or elements of an array) that have no row of their own in the
+    target: undecodable ones, refused ones, and, for upserts, those that a later record of their key replaces. rows: all
+    decoded ones."""
+    place = place_of(t)
+    own = refused.select(*place, F.col("reject_reason").alias("reason"))
     good = rows
     if config.on_error == "reject":
         good = rows.where(F.size("errors") == 0)
         bad = rows.where(F.size("errors") > 0)
-        own = own.unionAll(bad.select("__file", "__line_num", F.concat(F.get("errors", F.lit(0))["column"], F.lit(": "), F.get("errors", F.lit(0))["message"])))
+        own = own.unionAll(bad.select(*place, F.concat(F.get("errors", F.lit(0))["column"], F.lit(": "), F.get("errors", F.lit(0))["message"])))
     if config.mode == "upsert" and t.primary_key:
         last = F.row_number().over(Window.partitionBy(*t.primary_key).orderBy(F.desc("__file"), F.desc("__line_num")))
-        fine = good.join(refused.select("__file", "__line_num"), ["__file", "__line_num"], "left_anti")
-        replaced = fine.select("__file", "__line_num", last.alias("n")).where("n > 1")
-        own = own.unionAll(replaced.select("__file", "__line_num", F.lit("replaced by a later record")))
+        fine = good.join(refused.select(*place), place, "left_anti")
+        replaced = fine.select(*place, last.alias("n")).where("n > 1")
+        own = own.unionAll(replaced.select(*place, F.lit("replaced by a later record")))
     return own
 
 
@@ -130,8 +139,9 @@ def with_parents(rows: DataFrame, parent: Table, gone: DataFrame | None, target:
     table, or, by key, no row there refers to."""
     reason = F.lit(None).cast("string")
     if gone is not None:
-        why = gone.groupBy("__file", "__line_num").agg(F.min("reason").alias("__why"))
-        rows = rows.join(why, ["__file", "__line_num"], "left")
+        place = place_of(parent)
+        why = gone.groupBy(*place).agg(F.min("reason").alias("__why"))
+        rows = rows.join(why, place, "left")
         reason = F.when(F.col("__why").isNotNull(), F.concat(F.lit(f"{parent.name}: "), "__why"))
     if parent.primary_key:
         there = rows.sparkSession.read.parquet(f"{target}/{parent.name}").select(*parent.primary_key).distinct().withColumn("__there", F.lit(True))

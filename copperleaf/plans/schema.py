@@ -108,6 +108,11 @@ def snake(name: str) -> str:
     return "".join(kept).strip("_") or "field"
 
 
+def index_name(depth: int) -> str:
+    """The column that numbers the elements of an array that lies in depth - 1 others."""
+    return "occurrence_index" if depth == 1 else f"occurrence_index_{depth}"
+
+
 def sql_type(item: Item) -> SqlType:
     """The target type of an elementary item. Usage goes before category, so floats need no picture."""
     p = analyse(item.picture)
@@ -231,15 +236,27 @@ class Analyzer:
             if seen[c.name] > 1:
                 c.name = f"{c.name}_{seen[c.name]}"
 
-    def _derived(self, schema: Schema, table: Table, used: dict[str, int]) -> None:
+    def _children(self, schema: Schema, parent: Table, arrays: list[Array], keys: list[Column], used: dict[str, int], depth: int, size: int) -> None:
+        """A table for each array, and below it one for each array in its elements, which refers to it."""
         number = SqlType("smallint", "SMALLINT", "SMALLINT")
-        for a in table.arrays if self.options.occurs == "child" else []:
-            name = self._unique(f"{table.name}_{a.name}", used)
-            keys = [dataclasses.replace(table.column(k), nullable=False) for k in table.primary_key]
-            columns = [*keys, Column("occurrence_index", "", number, 0, 0, "row_number", nullable=False), *a.columns]
-            schema.tables.append(Table(name, columns, table.record_length, "occurs_child", table.name, [*table.primary_key, "occurrence_index"]))
+        for a in arrays:
+            name = self._unique(f"{parent.name}_{a.name}", used)
+            index = Column(index_name(depth), "", number, 0, 0, "row_number", nullable=False)
+            own = [dataclasses.replace(k, nullable=False) for k in keys]
+            taken = {k.name for k in own} | {index.name}
+            for c in a.columns:
+                while c.name in taken:  # a key or an index has the name
+                    c.name += "_2"
+                taken.add(c.name)
+            child = Table(name, [*own, index, *a.columns], size, "occurs_child", parent.name, [*(k.name for k in own), index.name])
+            schema.tables.append(child)
             if keys:
-                schema.relationships.append(Relationship(name, table.name, [k.name for k in keys], f"fk_{name}_{table.name}"))
+                schema.relationships.append(Relationship(name, parent.name, [k.name for k in own], f"fk_{name}_{parent.name}"))
+            self._children(schema, child, a.arrays, [*own, index], used, depth + 1, size)
+
+    def _derived(self, schema: Schema, table: Table, used: dict[str, int]) -> None:
+        if self.options.occurs == "child":
+            self._children(schema, table, table.arrays, [table.column(k) for k in table.primary_key], used, 1, table.record_length)
         for a in table.arrays if self.options.occurs == "wide" else []:
             table.columns += [dataclasses.replace(c, name=f"{c.name}_{k + 1}", offset=a.offset + k * a.stride + c.offset) for k in range(a.most) for c in a.columns]
         json_type = SqlType("string", "JSONB", "NVARCHAR(MAX)")

@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,54 @@ def test_children_of_a_failed_table_fail(spark, tmp_path, monkeypatch):
     assert states == {"run_order": "failed", "run_order_ro_parts": "failed"}
 
 
+BOXES = """
+01 SHIP.
+   05 S-KEY PIC 9(2).
+   05 S-BOXES PIC 9.
+   05 BOX OCCURS 0 TO 2 TIMES DEPENDING ON S-BOXES.
+      10 B-NO PIC 9.
+      10 B-ITEMS PIC 9.
+      10 ITEM OCCURS 0 TO 3 TIMES DEPENDING ON B-ITEMS.
+         15 I-NO PIC 9.
+         15 TAG PIC X OCCURS 2 TIMES.
+"""
+
+
+def test_arrays_inside_arrays(spark, tmp_path):
+    """Three levels: counters of the record and of the element around, a bad element takes what lies in it along."""
+    schema = compile_copybook(BOXES, free=True)
+    assert [(t.name, t.parent, t.primary_key) for t in schema.tables] == [
+        ("ship", None, ["s_key"]),
+        ("ship_box", "ship", ["s_key", "occurrence_index"]),
+        ("ship_box_item", "ship_box", ["s_key", "occurrence_index", "occurrence_index_2"]),
+        ("ship_box_item_tag", "ship_box_item", ["s_key", "occurrence_index", "occurrence_index_2", "occurrence_index_3"]),
+    ]
+    assert [(r.child, r.parent) for r in schema.relationships] == [("ship_box", "ship"), ("ship_box_item", "ship_box"), ("ship_box_item_tag", "ship_box_item")]
+    assert 'REFERENCES "public"."ship_box_item"' in ddl.script(schema)
+    folder = tmp_path / "data"
+    folder.mkdir()
+    rows = ["012" + "12" + "1ab2cd000" + "21" + "3ef000000", "021" + "x1" + "1gh000000" + "90" + "000000000", "031" + "41" + "xij000000" + "00000000000"]
+    (folder / "a.dat").write_text("".join(rows))
+    c = engine.RunConfig("p", BOXES, [engine.Source(str(folder))], str(tmp_path / "out"), str(tmp_path / "state"), decoding=engine.DecodeOptions(ascii=True), free=True)
+    engine.run(spark, c)
+    of = lambda t: sorted(map(tuple, spark.read.parquet(f"{c.target}/{t}").collect()))
+    assert of("ship") == [(1, 2), (2, 1), (3, 1)]
+    assert of("ship_box") == [(1, 1, 1, 2), (1, 2, 2, 1), (3, 1, 4, 1)]
+    assert of("ship_box_item") == [(1, 1, 1, 1), (1, 1, 2, 2), (1, 2, 1, 3)]
+    assert of("ship_box_item_tag") == [(1, 1, 1, 1, "a"), (1, 1, 1, 2, "b"), (1, 1, 2, 1, "c"), (1, 1, 2, 2, "d"), (1, 2, 1, 1, "e"), (1, 2, 1, 2, "f")]
+    why = sorted({(r.source_line_num, r.error_message) for r in Store(spark, c.state).rows("rejection_log").collect() if ": " in r.error_message and r.error_message.startswith("ship")})
+    assert {n for n, _ in why} == {2, 3} and any(m.startswith("ship_box_item: ") for _, m in why)
+
+
+def test_nested_arrays_as_json(spark, tmp_path):
+    (tmp_path / "a.dat").write_text("012" + "12" + "1ab2cd000" + "21" + "3ef000000")
+    c = engine.RunConfig("p", BOXES, [engine.Source(str(tmp_path / "a.dat"))], str(tmp_path / "out"), str(tmp_path / "state"), decoding=engine.DecodeOptions(ascii=True), free=True, options=Options(occurs="json"))
+    engine.run(spark, c)
+    [r] = spark.read.parquet(f"{c.target}/ship").collect()
+    boxes = json.loads(r.box_array)
+    assert [[i["i_no"] for i in b["item"]] for b in boxes] == [[1, 2], [3]] and [t["tag"] for t in boxes[0]["item"][1]["tag"]] == ["c", "d"]
+
+
 def test_unknown_columns_are_named():
     with pytest.raises(ValueError, match="no column nowhere"):
         compile_copybook(RUN_ORDER, free=True).tables[0].column("nowhere")
