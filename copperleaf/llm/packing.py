@@ -4,8 +4,8 @@ Each document's ids, ended by END, are cut into pieces of WINDOW tokens and a re
 rounded up, so the histogram has WINDOW/GRAIN bins whatever the input. The combinations of one to three lengths that
 fill a window are enumerated; non-negative least squares finds how often to repeat each so that together they use up
 the histogram; the counts are rounded down, and what is left is packed greedily, longest first. That plan is a few
-hundred rows. Pieces carry their ids (little-endian, four bytes each), and the row of a sequence's first piece holds the
-whole sequence, padded with END to WINDOW ids, except where its length is a power of two: such a sequence stays as it is. A piece's rank among those of its length, from counts by length and hash, gives its place in the plan.
+hundred rows. Pieces carry their ids, compressed, through two shuffles, and the row of a sequence's first piece holds the
+whole sequence (little-endian, four bytes each), padded with END to WINDOW ids, except where its length is a power of two: such a sequence stays as it is. A piece's rank among those of its length, from counts by length and hash, gives its place in the plan.
 
 Tokens are read once: pieces are written to the shared folder before they are counted and placed. Ranks are taken
 within (length, hash of the piece), so that a length that a third of all pieces have is spread over all tasks.
@@ -22,10 +22,12 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
+from .bpe import numbers, planes
 from .common import blocks, cut, partitions, table
 
 WINDOW, GRAIN, END = 1024, 8, 0
@@ -41,11 +43,12 @@ def pieces(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, rank_file: str
     """PIECE rows, each document's in order; without shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in blocks(batches, "text"):
             out: list[tuple] = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(tokens.vocabulary_ids(text, vocabulary, rank_file), np.uint32(END)).astype("<u4")
-                out += [(key, i, len(x), zlib.crc32(x.tobytes()), len(ids), x.tobytes()) for i in range(0, len(ids), window) for x in (ids[i : i + window],)]
+                out += [(key, i, len(x), zlib.crc32(x.tobytes()), len(ids), squeeze(planes(x))) for i in range(0, len(ids), window) for x in (ids[i : i + window],)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.binary()), strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
@@ -177,7 +180,8 @@ def assembled(sequences: DataFrame) -> DataFrame:
                 first = np.cumsum(n) - n
                 length = field["length"].to_numpy()
                 before = np.cumsum(length) - length
-                offset, ids = before - np.repeat(before[first], n), field["ids"].to_pylist()
+                offset = before - np.repeat(before[first], n)
+                ids = [numbers(zstandard.decompress(x), size).tobytes() for x, size in zip(field["ids"].to_pylist(), length.tolist(), strict=True)]
                 whole: list[bytes | None] = [None] * len(ids)
                 for i, k, total in zip(first.tolist(), n.tolist(), np.add.reduceat(length, first).tolist(), strict=True):
                     whole[i] = b"".join(ids[i : i + k]) + PAD * (0 if total & (total - 1) == 0 else WINDOW - total)
