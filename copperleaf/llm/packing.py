@@ -3,12 +3,13 @@
 Each document's ids, ended by END, are cut into pieces of WINDOW tokens and a rest. Lengths count in units of GRAIN,
 rounded up, so the histogram has WINDOW/GRAIN bins whatever the input. The combinations of one to three lengths that
 fill a window are enumerated; non-negative least squares finds how often to repeat each so that together they use up
-the histogram; the counts are rounded down, and what is left is packed greedily, longest first. That plan is a few
-hundred rows. Pieces carry their ids, compressed, through two shuffles, and the row of a sequence's first piece holds the
-whole sequence (little-endian, four bytes each), padded with END to WINDOW ids, except where its length is a power of two: such a sequence stays as it is. A piece's rank among those of its length, from counts by length and hash, gives its place in the plan.
+the histogram of all pieces. Pieces are dealt by hash into buckets of about BUCKET, and each bucket takes its share of those
+counts, rounded down; what is left of it is packed greedily, longest first. Pieces carry their ids, compressed, through one
+shuffle, and the row of a sequence's first piece holds the whole sequence (little-endian, four bytes each), padded with END to
+WINDOW ids, except where its length is a power of two: such a sequence stays as it is.
 
-Tokens are read once: pieces are written to the shared folder before they are counted and placed. Ranks are taken
-within (length, hash of the piece), so that a length that a third of all pieces have is spread over all tasks.
+Tokens are read once: pieces are written to the shared folder before they are counted and dealt. Buckets are dealt by a
+number of the written row, so that neither a length nor a text that a third of all pieces have makes one larger.
 
 Defined results: a null or empty text is the piece that holds END alone; repeated rows are packed as often as they
 occur; an empty table gives no rows; of any length, a text is encoded whole.
@@ -23,19 +24,19 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
 from .bpe import numbers, planes
-from .common import blocks, cut, partitions, table
+from .common import blocks, cut, table
 
 WINDOW, GRAIN, END = 1024, 8, 0
 UNITS = WINDOW // GRAIN
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PAD = np.array([END], "<u4").tobytes()
-#: Sequences that are put together at once.
-AT_ONCE = 256
+#: Pieces of a bucket, about, and bits of the numbers of its sequences.
+BUCKET, OF_BUCKET = 8192, 24
 RANKS_OF_ONE = np.int64(1) << 44  # more pieces than one length can have
 
 
@@ -88,26 +89,35 @@ def least_squares(a: np.ndarray, h: np.ndarray) -> np.ndarray:
     return x
 
 
-def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that use each bin of the histogram up; bin u counts pieces of u units, bin 0 is empty."""
+def repeats(histogram: np.ndarray) -> list[tuple[tuple[int, ...], float]]:
+    """Combinations of lengths that fill a window, with how often to repeat each so that they use the histogram up as well
+    as can be; bin u counts pieces of u units, bin 0 is empty."""
+    units = len(histogram) - 1
+    present = set(np.flatnonzero(histogram[:units]).tolist())
+    columns = [c for c in combinations(units) if present.issuperset(c)]
+    if not columns:
+        return []
+    a = np.zeros((units, len(columns)))
+    for j, c in enumerate(columns):
+        for u in c:
+            a[u, j] += 1
+    return [(c, float(x)) for c, x in zip(columns, least_squares(a, histogram[:units].astype(float)), strict=True) if x > 0]
+
+
+def plan(histogram: np.ndarray, wanted: list[tuple[tuple[int, ...], float]] | None = None, share: int = 1) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) that use each bin of the histogram up: a share of the wanted repeats, rounded down, then, of what
+    is left, the longest that fit."""
     left = histogram.astype(np.int64).copy()
     units, out = len(left) - 1, []
     if left[units]:
         out.append(((units,), int(left[units])))
         left[units] = 0
-    present = set(np.flatnonzero(left).tolist())
-    columns = [c for c in combinations(units) if present.issuperset(c)]
-    if columns:
-        a = np.zeros((units, len(columns)))
-        for j, c in enumerate(columns):
+    for c, x in repeats(histogram) if wanted is None else wanted:
+        times = min(int(np.floor(x / share + 1e-9)), *(int(left[u]) // c.count(u) for u in c))
+        if times > 0:
+            out.append((c, times))
             for u in c:
-                a[u, j] += 1
-        for c, x in zip(columns, np.floor(least_squares(a, left[:units].astype(float)) + 1e-9), strict=True):
-            times = min(int(x), *(int(left[u]) // c.count(u) for u in c))
-            if times > 0:
-                out.append((c, times))
-                for u in c:
-                    left[u] -= times
+                left[u] -= times
     while left.any():
         free, c = units, []
         now = left.copy()
@@ -139,56 +149,41 @@ def slots(steps: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndar
 def pack(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, rank_file: str = tokens.RANKS) -> DataFrame:
     """PIECE columns but ids, with sequence_id, offset, and sequence: the ids of all its pieces and its padding, in the row of
     offset 0, null in others."""
-    spark = docs.sparkSession
-    own = cut(pieces(docs, vocabulary, rank_file).withColumn("units", F.expr(f"(length + {GRAIN - 1}) div {GRAIN}")))
+    units = F.expr(f"(length + {GRAIN - 1}) div {GRAIN}")
+    own = cut(pieces(docs, vocabulary, rank_file).withColumns({"units": units, "row": F.monotonically_increasing_id()}))
     histogram = np.zeros(UNITS + 1, np.int64)
     for u, n in own.groupBy("units").count().collect():  # at most UNITS rows
         histogram[u] = n
-    first, sequence, place = slots(plan(histogram))
-
-    own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(16, 2 * partitions(spark)))))
-    before = Window.partitionBy("units").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = own.groupBy("units", "salt").agg(F.count(F.lit(1)).alias("n")).select("units", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("units", "salt").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = own.withColumn("n", within).join(offsets, ["units", "salt"]).withColumn("rank", F.col("base") + F.col("n") - 1)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = {x: b.column(b.schema.get_field_index(x)).to_numpy() for x in ("units", "rank")}
-            key = at["units"] * RANKS_OF_ONE + at["rank"]
-            i = np.searchsorted(first, key, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in range(6)), pa.array(sequence[i] + key - first[i]), pa.array(place[i])],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "place"],
-            )
-
-    out = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "units", "rank").mapInArrow(placed, f"{PIECE}, sequence_id long, place long")
-    return assembled(out.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("place", *(x.split()[0] for x in PIECE.split(", "))))).alias("pieces")))
-
-
-def assembled(sequences: DataFrame) -> DataFrame:
-    """Rows of pieces from sequence_id and pieces (WINDOW of them at most): PIECE columns but ids, sequence_id, offset, and
-    sequence, in the row of offset 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, AT_ONCE):
-                b = batch.slice(begin, AT_ONCE)
-                flat = b.column(1).flatten()
-                field = {x: flat.field(x) for x in names}
-                n = np.diff(b.column(1).offsets.to_numpy())
-                first = np.cumsum(n) - n
-                length = field["length"].to_numpy()
-                before = np.cumsum(length) - length
-                offset = before - np.repeat(before[first], n)
-                ids = [numbers(zstandard.decompress(x), size).tobytes() for x, size in zip(field["ids"].to_pylist(), length.tolist(), strict=True)]
-                whole: list[bytes | None] = [None] * len(ids)
-                for i, k, total in zip(first.tolist(), n.tolist(), np.add.reduceat(length, first).tolist(), strict=True):
-                    whole[i] = b"".join(ids[i : i + k]) + PAD * (0 if total & (total - 1) == 0 else WINDOW - total)
-                yield pa.RecordBatch.from_arrays([*(field[x] for x in names[:-1]), b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(offset), pa.array(whole, pa.binary())], [*names[:-1], "sequence_id", "offset", "sequence"])
-
-    names = [x.split()[0] for x in PIECE.split(", ")]
-    return sequences.mapInArrow(run, f"{PIECE.removesuffix(', ids binary')}, sequence_id long, offset long, sequence binary")
+    wanted, buckets = repeats(histogram), max(1, -(-int(histogram.sum()) // BUCKET))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        return sequenced(t, wanted, buckets, key[0].as_py())
+
+    return own.groupBy(F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("bucket")).applyInArrow(run, f"{PIECE.removesuffix(', ids binary')}, sequence_id long, offset long, sequence binary")
+
+
+def sequenced(t: pa.Table, wanted: list[tuple[tuple[int, ...], float]], buckets: int, bucket: int) -> pa.Table:
+    """The pieces of one of the buckets, placed by its share of the wanted repeats, with their sequences."""
+    t = t.sort_by([("units", "ascending"), ("row", "ascending")])
+    units = t["units"].to_numpy()
+    begin = np.searchsorted(units, units)  # of those of a length
+    first, sequence, place = slots(plan(np.bincount(units, minlength=UNITS + 1), wanted, buckets))
+    key = units * RANKS_OF_ONE + np.arange(len(units)) - begin
+    i = np.searchsorted(first, key, "right") - 1
+    number, at = sequence[i] + key - first[i], place[i]
+    order = np.lexsort((at, number))
+    t, number = t.take(pa.array(order)), number[order]
+    length = t["length"].to_numpy()
+    starts = np.flatnonzero(np.diff(number, prepend=-1))
+    n = np.diff(starts, append=len(number))
+    before = np.cumsum(length) - length
+    ids = [numbers(zstandard.decompress(x), size).tobytes() for x, size in zip(t["ids"].to_pylist(), length.tolist(), strict=True)]
+    whole: list[bytes | None] = [None] * len(ids)
+    for k, m, total in zip(starts.tolist(), n.tolist(), np.add.reduceat(length, starts).tolist(), strict=True):
+        whole[k] = b"".join(ids[k : k + m]) + PAD * (0 if total & (total - 1) == 0 else WINDOW - total)
+    own = number + (bucket << OF_BUCKET)
+    names = [x.split()[0] for x in PIECE.split(", ")][:-1]
+    return pa.table([*(t[x] for x in names), pa.array(own), pa.array(before - np.repeat(before[starts], n)), pa.array(whole, pa.binary())], [*names, "sequence_id", "offset", "sequence"])
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

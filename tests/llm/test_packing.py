@@ -37,6 +37,20 @@ def test_query(spark, sf):
     assert whole(packing.op5_packing(spark, sf).collect(), texts) < 0.05
 
 
+def test_buckets(spark, sf, monkeypatch):
+    """Many buckets, each with a share of the plan."""
+    monkeypatch.setattr(packing, "BUCKET", 60)
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    assert whole(packing.pack(df).collect(), texts) < 0.15
+    same = spark.createDataFrame([(None, "a b c")] * 500, "doc_id long, text string")
+    rows = packing.pack(same).collect()
+    used = defaultdict(int)
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert len(rows) == 500 and max(used.values()) <= packing.WINDOW and len(used) < 30
+
+
 def test_edges(spark):
     texts = {1: None, 2: "", 3: "a<|endoftext|>b", 4: "word " * 5000, 5: "中文 \U0001f600 it's", 6: "x\x85\xa0 y"}
     docs = spark.createDataFrame([(k, t, 7) for k, t in texts.items()], "doc_id long, text string, start long")
