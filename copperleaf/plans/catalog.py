@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from copperleaf.functions import codecs
 from copperleaf.functions import encoders as enc
-from copperleaf.operators import database, load, reconcile, reshape, transform
+from copperleaf.operators import database, load, reconcile, reshape, subtypes, transform
 from copperleaf.operators.decode import DecodeOptions, accepted, byte_histogram, decode, once, page_ranking, page_scores, rejected
 from copperleaf.plans import engine, state
 from copperleaf.plans.schema import Options, Table, compile_copybook
@@ -608,6 +608,21 @@ def redefines_json(spark, d):
     return rows.select(F.col("event_id").alias("ev_id"), F.get_json_object(reshape.overlay_json(t.overlays[0], F.col("raw")), "$.ev_amt").cast("decimal(9,2)").alias("amount"))
 
 
+@query(
+    "SELECT 'EV-TYPE' AS field, event_type AS value, CASE event_type WHEN 'purchase' THEN 'event_rec_ev_purchase' WHEN 'error' THEN 'event_rec_ev_error' ELSE 'event_rec' END AS table_name, "
+    "count(*) AS n FROM events GROUP BY event_type"
+)
+def subtype_discriminator(spark, d):
+    """The field that tells the overlays of events apart, found from their bytes, with the table of each value."""
+    schema = compile_copybook(EVENT, Options(redefines="subtype"), free=True)
+    t, rows = schema.tables[0], event_records(table(spark, d, "events")).select("raw")
+    area = subtypes.areas(t)[0]
+    found = subtypes.discriminator(rows, t, area)
+    names = F.array(*(F.lit(x.name) for x in schema.tables))
+    each = subtypes.judged(subtypes.costs(rows, t, area, [found.column]))
+    return each.select(F.lit(found.column.source).alias("field"), "value", F.get(names, F.col("layout")).alias("table_name"), "n")
+
+
 @query("SELECT count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) AS n_bad FROM orders")
 def level88_check(spark, d):
     check = load.Check("known", "ord_status", ("O", "F"))
@@ -660,6 +675,41 @@ def run_nested_arrays(spark, d):
     return spark.read.parquet(f"{config.target}/run_boxes_rb_box_bx_item")
 
 
+RUN_KINDS = """
+01 RUN-KINDS.
+   05 RK-KEY PIC 9(9).
+   05 RK-YEAR PIC 9(4).
+   05 RK-KIND PIC X.
+   05 RK-BODY PIC X(10).
+   05 RK-PRICE REDEFINES RK-BODY.
+      10 RK-TOTAL PIC 9(8)V99.
+   05 RK-DONE REDEFINES RK-BODY.
+      10 RK-DATE PIC 9(8).
+      10 RK-MARK PIC X(2).
+   05 FILLER PIC X.
+"""
+
+
+@query(
+    "SELECT CASE o_orderstatus WHEN 'F' THEN 'run_kinds_rk_price' WHEN 'P' THEN 'run_kinds_rk_done' ELSE 'run_kinds' END AS table_name, CAST(o_orderkey AS INT) AS rk_key, "
+    "CASE WHEN o_orderstatus NOT IN ('F', 'P') THEN trim(substr(o_orderpriority, 1, 10)) END AS rk_body, CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(10,2)) END AS rk_total, "
+    "CASE WHEN o_orderstatus = 'P' THEN CAST(strftime(o_orderdate, '%Y%m%d') AS INT) END AS rk_date FROM orders"
+)
+def run_subtypes(spark, d):
+    """A run that finds by itself which records have which layout, and loads the tables of the overlays."""
+    number = lambda x, n: enc.zoned(x, n, signed=False)
+    status, files, folder = F.col("o_orderstatus"), scratch(spark), scratch(spark)
+    body = F.when(status == "F", F.lpad((money("o_totalprice", 10) * 100).cast("long").cast("string"), 10, "0"))
+    body = body.when(status == "P", F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("ok"))).otherwise(F.rpad(F.substring("o_orderpriority", 1, 10), 10, " "))
+    rows = table(spark, d, "orders").select(F.concat(number(F.col("o_orderkey"), 9), F.date_format("o_orderdate", "yyyy"), status, body).alias("value"))
+    rows.write.option("lineSep", ";").text(files)
+    config = engine.RunConfig("kinds", RUN_KINDS, [engine.Source(files, discriminate=True)], f"{folder}/target", f"{folder}/state", options=Options(redefines="subtype"), decoding=DecodeOptions(ascii=True), free=True)
+    engine.run(spark, config)
+    names = ("run_kinds", "run_kinds_rk_price", "run_kinds_rk_done")
+    parts = [spark.read.parquet(f"{config.target}/{x}").withColumn("table_name", F.lit(x)) for x in names]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select("table_name", "rk_key", "rk_body", "rk_total", "rk_date")
+
+
 def ran(spark, d, **options) -> tuple[engine.RunConfig, str]:
     folder = scratch(spark)
     config = engine.RunConfig("orders", RUN_ORDER, [engine.Source(run_files(spark, d))], f"{folder}/target", f"{folder}/state", options=Options(**options), decoding=DecodeOptions(ascii=True), free=True)

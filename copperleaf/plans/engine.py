@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import warnings
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copperleaf.operators import load as loading
-from copperleaf.operators import reconcile
+from copperleaf.operators import reconcile, subtypes
 from copperleaf.operators.decode import DecodeOptions, decode
 from copperleaf.operators.reshape import element_structs, full_layout, nested_rows, of_table, overlay_json, routed
 from copperleaf.plans import ddl
+from copperleaf.plans.copybook import program_facts
 from copperleaf.plans.schema import Array, Options, Schema, Table, compile_copybook, snake
 from copperleaf.plans.state import Store
 from copperleaf.sources import records
@@ -29,6 +31,7 @@ class Source:
     table: str | None = None
     route: tuple[int, int, dict[str, str]] | None = None  # offset, length, values to tables
     unmatched: str = "default"  # default, skip
+    discriminate: bool = False  # find the route to the tables of overlays (options.redefines "subtype") from the records
 
 
 @dataclass
@@ -43,7 +46,7 @@ class RunConfig:
     options: Options = field(default_factory=Options)
     free: bool = False  # the copybook's lines have no columns of their own
     decoding: DecodeOptions = field(default_factory=DecodeOptions)
-
+    program: str | None = None  # text of a program that tests the fields
 
     def __post_init__(self) -> None:
         for value, known in ((self.mode, loading.MODES), (self.on_error, ("reject", "null")), *((s.unmatched, ("default", "skip")) for s in self.sources)):
@@ -91,9 +94,17 @@ def extracted(spark: SparkSession, schema: Schema, source: Source, config: RunCo
     """For each table of the source, its decoded rows with __file, __line_num, __raw and errors; child tables after theirs."""
     rows = records.read_records(spark, source.path, source.recfm, source.record_length or schema.table(source.table or "").record_length, source.skip)
     rows = rows.withColumnsRenamed({"file": "__file", "line_num": "__line_num"})  # a copybook may have fields of these names
-    if source.route:
-        offset, length, types = source.route
-        default = schema.table("").name if source.unmatched == "default" else None
+    route, first = source.route, schema.table("").name
+    if route is None and source.discriminate:
+        t = schema.table(source.table or "")
+        rows, first = full_layout(rows, t, config.decoding), t.name
+        tested = [name.upper() for name, _ in program_facts(config.program, config.free)["tested"]] if config.program else []
+        route = subtypes.route_of(rows, t, [x.name for x in schema.tables if x.kind == "redefines_subtype" and x.parent == t.name], config.decoding, tested)
+        if route is None:
+            warnings.warn(f"no field tells the layouts of {t.name} apart; all records go to that table", stacklevel=2)
+    if route:
+        offset, length, types = route
+        default = first if source.unmatched == "default" else None
         rows = routed(rows, offset, length, types, default, config.decoding)
         parts = {n: of_table(rows, n).drop("table_name") for n in dict.fromkeys([*types.values(), *([default] if default else [])])}
     else:
@@ -168,7 +179,8 @@ def run(spark: SparkSession, config: RunConfig) -> str:
             state = store.start_table(run_id, name, checksum)
             staged, refused = (f"{store.path('staged')}/{run_id}/{state}-{x}" for x in ("decoded", "refused"))
             try:
-                if t.parent in failed:
+                around = t.parent if t.kind == "occurs_child" else None
+                if around in failed:
                     raise ValueError(f"the parent's table {t.parent} failed")
                 columns = [c.name for c in t.columns]
                 rows.write.parquet(staged)
@@ -178,11 +190,11 @@ def run(spark: SparkSession, config: RunConfig) -> str:
                 n_bad = bad.count() if config.on_error == "reject" else 0
                 good = rows.where(F.size("errors") == 0) if config.on_error == "reject" else rows
                 good = good.drop("errors")
-                if t.parent in tables:
-                    good = with_parents(good, tables[t.parent][0], gone.get(t.parent), config.target)
+                if around in tables:
+                    good = with_parents(good, tables[around][0], gone.get(around), config.target)
                 # arrival order decides between equal keys
                 stats = loading.load(good, f"{config.target}/{name}", config.mode, t.primary_key or None, checks_of(t), ["__file", "__line_num"], refused, columns)
-                if any(x.parent == name for x, _ in tables.values()):
+                if any(x.parent == name and x.kind == "occurs_child" for x, _ in tables.values()):
                     without = f"{store.path('staged')}/{run_id}/{state}-lost"
                     lost(rows, spark.read.parquet(refused), t, config).write.parquet(without)
                     gone[name] = spark.read.parquet(without)

@@ -57,11 +57,13 @@ class Array:
 
 @dataclass
 class Overlay:
-    """Columns that redefine others."""
+    """Columns that redefine others, at the same place; length is the longer one's of the two."""
 
     name: str
     base: str
     columns: list[Column]
+    offset: int = 0
+    length: int = 0
 
 
 @dataclass
@@ -217,7 +219,8 @@ class Analyzer:
                 self._names(elements.columns)
                 table.arrays.append(elements)
             elif item.redefines and isinstance(table, Table):
-                over = Overlay(snake(item.name), snake(item.redefines), [])
+                under = next((x.size for x in items if x.name == item.redefines), 0)
+                over = Overlay(snake(item.name), snake(item.redefines), [], item.offset - base, max(item.size, under))
                 group = Table("", over.columns, 0)
                 self._fill(group, item.children or [item], f"{snake(item.name)}_" if item.children and self.options.redefines == "wide" else "", base)
                 table.overlays.append(over)
@@ -266,7 +269,7 @@ class Analyzer:
             if self.options.redefines == "json":
                 table.columns.append(Column(f"{o.name}_json", o.name, json_type, min(c.offset for c in o.columns), 0, "overlay"))
             if self.options.redefines == "subtype":
-                base = [c for c in table.columns if c.source != o.base.upper().replace("_", "-")]
+                base = [c for c in table.columns if not o.offset <= c.offset < o.offset + o.length]
                 schema.tables.append(Table(self._unique(f"{table.name}_{o.name}", used), [*base, *o.columns], table.record_length, "redefines_subtype", table.name))
 
 
