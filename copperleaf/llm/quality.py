@@ -123,11 +123,15 @@ def measure(text: str | None, ids: defaultdict[bytes, int], coverage: dict[int,
     return n, word_chars, n_symbols, len(lines) - len(seen), repeat, failed, not failed and good, line_share, shares
 
 
+#: Words that are numbered at once; numbers are compared within a text only, so texts get new ones beyond.
+KNOWN = 1 << 17
+
+
 def judged(batch: pa.RecordBatch, text: str, coverage: dict[int, float], line_coverage: float) -> list[tuple]:
     out, ids = [], defaultdict(count().__next__)
     for x in batch.column(batch.schema.get_field_index(text)).to_pylist():
         out.append(measure(x, ids, coverage, line_coverage))
-        if len(ids) > 1 << 20:
+        if len(ids) > KNOWN:
             ids = defaultdict(count().__next__)
     return out
 
