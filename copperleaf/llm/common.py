@@ -88,7 +88,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the text column of each piece holds about `limit` bytes at most."""
+    """The batches, cut so that the text column of each piece holds about `limit` bytes at most. After the last one, what
+    Arrow holds unused goes back: a worker serves many tasks."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         if batch.num_rows <= 1 or column.nbytes <= limit:
@@ -102,6 +103,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
                 begin, size = i, 0
             size += n or 0
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()
 
 
 class Marks:
