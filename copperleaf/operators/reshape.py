@@ -56,7 +56,8 @@ def full_layout(records: DataFrame, t: ir.Table, options: DecodeOptions = Decode
 def nested_rows(records: DataFrame, path: Sequence[ir.Array], keys: list[ir.Column], counters: Sequence[ir.Column] = (), options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """One row for each element of the last array of a path, each array inside an element of the one before: the record's
     keys, an index from 1 for each array, the element's columns and errors. A counter is a column of the element around
-    its array, or one of counters, columns of the record; what an inner counter leaves out keeps its place."""
+    its array, or one of counters, columns of the record; what an inner counter leaves out keeps its place. Of an array whose
+    counter is neither, all places are there."""
     raw, of_record = F.col("raw"), {c.name: c for c in counters}
     others = [x for x in records.columns if x != "raw"]
     counts = {a.counter: decoded(of_record[a.counter], raw, options)[0].alias(f"__n_{a.counter}") for a in path if a.counter in of_record}
@@ -66,7 +67,7 @@ def nested_rows(records: DataFrame, path: Sequence[ir.Array], keys: list[ir.Colu
         count = None
         if a.counter in around:
             count = decoded(around[a.counter], raw, options)[0]
-        elif a.counter:
+        elif a.counter in counts:
             count = F.col(f"__n_{a.counter}")
         rows = rows.select(*(c for c in rows.columns if c != "raw"), F.posexplode(elements(a, raw, count)).alias("__at", "raw"))
         rows = rows.withColumn(ir.index_name(depth), (F.col("__at") + 1).cast("short")).drop("__at")

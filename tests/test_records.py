@@ -1,10 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from copperleaf.operators import load
+from copperleaf.operators import load, reshape
 from copperleaf.operators.decode import accepted, decode, rejected
 from copperleaf.plans import engine
-from copperleaf.plans.catalog import CUSTOMER, customer_records, layout, table
+from copperleaf.plans.catalog import CUSTOMER, ORDER_LINES, customer_records, layout, table
 from copperleaf.plans.state import Store, run_summary
 from copperleaf.sources import records
 from copperleaf.streaming import incremental
@@ -111,3 +111,12 @@ def test_incremental_files(spark, tmp_path):
     go()
     go()
     assert seen == [1, 1]
+
+
+def test_an_array_read_without_its_counter_has_all_places(spark):
+    t = layout(ORDER_LINES)
+    body = b"".join(k.to_bytes(2, "big") + b"\x00\x00\x1c" + bytes(6) + b"\x0c" for k in (7, 8))
+    rows = spark.createDataFrame([(bytearray((1).to_bytes(8, "big") + b"\x00\x01" + body.ljust(240, b"\0")),)], "raw binary")
+    of = lambda *counter: [(r.occurrence_index, r.ol_num) for r in accepted(reshape.child_rows(rows, t.arrays[0], [t.column("oo_key")], *counter)).collect()]
+    assert of() == [(1, 7), (2, 8)] and of(t.column("oo_count")) == [(1, 7)]
+    assert reshape.child_rows(rows, t.arrays[0], [t.column("oo_key")]).count() == 20
