@@ -6,7 +6,7 @@ VB) are a chain of descriptors, each of which says where the next is, so a range
 It is worked out in three steps, each one job over all ranges:
 
 1. For every place where a chain may enter a range (its first 64 KB, the longest record) the place where it enters the
-   next one is found. Chains that meet go on as one; in the first window all are advanced at once by pointer jumping.
+   next one is found. Chains that meet go on as one; in a window that many enter all are advanced at once by pointer jumping.
 2. From a file's begin on, its ranges are followed one after the other by looking up one number in each: a stream of small
    rows, one for each range.
 3. Each range walks its own records, counts them, and, from the sums of those before it, numbers and returns them.
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of a range; what a record may reach beyond it.
 RANGE, OVER = 64 << 20, 1 << 16
-#: Tasks of a scan at most; further ranges share them.
-MOST_TASKS = 1 << 17
+#: Tasks of a scan at most; further ranges share them. Ranges that are small share a task of so many bytes, as long as that
+#: leaves each core some tasks.
+MOST_TASKS, SHARE, TASKS_OF_CORE = 1 << 17, 16 << 20, 4
 #: As few chains as this are followed one by one.
 FEW = 8
 RECORD = "file string, line_num long, raw binary"
@@ -68,6 +69,12 @@ def ranges(files: DataFrame, size: int) -> DataFrame:
     return every.withColumn("begin", F.col("number") * size)
 
 
+def tasks_of(files: DataFrame, size: int) -> int:
+    """How many tasks read the ranges of files (file, length); 0 without any."""
+    n, total = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / size)), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return min(int(n), max(-(-int(total) // SHARE), TASKS_OF_CORE * files.sparkSession.sparkContext.defaultParallelism))
+
+
 def spread(rows: DataFrame, n: int) -> DataFrame:
     """Rows that stand for much work, dealt to as many tasks."""
     return rows.repartition(max(1, min(n, MOST_TASKS)), "file", "number")
@@ -107,32 +114,38 @@ def spans(data: bytes, at: int, size: int, final: int, in_blocks: bool) -> Itera
             yield -1, 0
 
 
+def leaving(raw: np.ndarray, begin: int, end: int, final: int) -> np.ndarray:
+    """For each place from begin to end, where a chain from there is when it has left that window, or END if the file ends
+    before: all of them at once, by pointer jumping."""
+    own = raw[begin : end + 1].astype(np.int32)
+    own = np.pad(own, (0, end + 1 - begin - len(own)))
+    n, place = own[:-1] << 8 | own[1:], np.arange(begin, end, dtype=np.int32)
+    over = (place + 4 > final) | ((n > 4) & (place + n > final))
+    place = np.where(over, np.int32(END), place + np.maximum(n, 4))
+    inside = np.flatnonzero((place >= 0) & (place < end))
+    while len(inside):
+        place[inside] = place[place[inside] - begin]
+        inside = inside[(place[inside] >= 0) & (place[inside] < end)]
+    return place
+
+
 def exits(data: bytes, size: int, final: int) -> np.ndarray:
     """For each of the first OVER places of a range, where a chain from there goes on in the next one (from its begin), or
     END if the file ends before."""
-    raw = np.frombuffer(data, np.uint8)
-
-    def after(p: np.ndarray) -> np.ndarray:
-        n = raw[np.minimum(p, len(raw) - 1)].astype(np.int64) << 8 | raw[np.minimum(p + 1, len(raw) - 1)]
-        over = (p + 4 > final) | ((n > 4) & (p + n > final))
-        return np.where(over, END, p + np.maximum(n, 4))
-
-    edge = min(OVER, size)
-    place = np.arange(OVER)
-    place[:edge] = after(place[:edge])
-    while (inside := (place >= 0) & (place < edge) & (np.arange(OVER) < edge)).any():
-        place[inside] = place[place[inside]]
+    raw, edge = np.frombuffer(data, np.uint8), min(OVER, size)
+    place = np.arange(OVER, dtype=np.int32)
+    place[:edge] = leaving(raw, 0, edge, final)
     heads, which = np.unique(place, return_inverse=True)
     while edge < size:
-        edge = min(edge + OVER, size)
+        begin, edge = edge, min(edge + OVER, size)
         todo = np.flatnonzero((heads >= 0) & (heads < edge))
-        while len(todo) > FEW:
-            heads[todo] = after(heads[todo])
-            todo = todo[(heads[todo] >= 0) & (heads[todo] < edge)]
-        for i in todo.tolist():
-            for at, _ in descriptors(data, int(heads[i]), edge, final):
-                pass
-            heads[i] = at
+        if len(todo) > FEW:
+            heads[todo] = leaving(raw, begin, edge, final)[heads[todo] - begin]
+        else:
+            for i in todo.tolist():
+                for at, _ in descriptors(data, int(heads[i]), edge, final):
+                    pass
+                heads[i] = at
         heads, inverse = np.unique(heads, return_inverse=True)
         which = inverse[which]
     return np.where(heads < 0, END, heads - size)[which].astype(np.int32)
@@ -169,10 +182,10 @@ COUNTS = "file string, length long, number long, begin long, entry long, n long,
 
 def counted(spark: SparkSession, path: str, in_blocks: bool, size: int, opener: Callable = opened) -> tuple[DataFrame, int]:
     """COUNTS of each range that its file's chain enters (records, empty records, bytes that no record has), and how many
-    ranges there are."""
+    tasks read them."""
     files = sizes(spark, path)
     every = ranges(files, size)
-    n = int(files.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 0)
+    n = tasks_of(files, size)
     several = ranges(files.where(F.col("length") > size), size)
     entries = entered(several, n, size, opener)
     ones = every.where(F.col("length") <= size).withColumn("entry", F.lit(0).cast("long"))
@@ -229,7 +242,7 @@ def fixed(spark: SparkSession, path: str | list[str], record_length: int, size:
     """RECORD rows of fixed files that may have a short tail, which is left out."""
     step = max(1, (size or RANGE) // record_length) * record_length
     files = sizes(spark, path).withColumn("length", F.expr(f"length - length % {record_length}"))
-    n = int(files.agg(F.sum(F.ceil(F.col("length") / step))).first()[0] or 0)
+    n = tasks_of(files, step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,7 +259,7 @@ def fixed(spark: SparkSession, path: str | list[str], record_length: int, size:
 def digests(spark: SparkSession, path: str, size: int | None = None, opener: Callable = opened) -> DataFrame:
     """number, raw: the SHA-256 of each range of each file at a path."""
     files, size = sizes(spark, path), size or RANGE
-    n = int(files.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 0)
+    n = tasks_of(files, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

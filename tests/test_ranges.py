@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from copperleaf.sources import ranges, records
 
@@ -97,3 +99,18 @@ def test_lines_of_split_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [("a", i + 1, r) for i, r in enumerate(rows)] + [("b", 1, b"one"), ("b", 2, b""), ("b", 3, b"two")]
+
+
+def test_small_ranges_share_tasks_and_many_chains_go_on_at_once(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    body = lambda: bytes(rng.integers(48, 122, int(rng.integers(1, 60)), dtype=np.uint8))
+    data = b"".join((len(b) + 4).to_bytes(2, "big") + b"\0\0" + b for b in (body() for _ in range(6000)))
+    (tmp_path / "a").write_bytes(data)
+    own, _ = ranges.counted(spark, str(tmp_path), False, 1000)
+    assert own.rdd.getNumPartitions() <= ranges.TASKS_OF_CORE * spark.sparkContext.defaultParallelism < len(data) // 1000
+    assert own.agg(F.sum("n")).first()[0] == 6000
+    monkeypatch.setattr(ranges, "FEW", 0)
+    got = ranges.exits(data, size := 150_000, len(data))
+    for p in rng.integers(0, ranges.OVER, 200).tolist():
+        *_, (at, _) = ranges.descriptors(data, p, size, len(data))
+        assert got[p] == (at - size if at != ranges.END else ranges.END)
