@@ -39,10 +39,30 @@ def judged(rows: DataFrame, pk: list[str] | None = None, checks: tuple[Check, ..
     if REFUSED in rows.columns:
         reason = F.coalesce(F.col(REFUSED), reason)
     out = rows.withColumn("reject_reason", reason).drop(REFUSED)
-    if pk and order:
-        n = F.row_number().over(Window.partitionBy(*pk, F.col("reject_reason").isNull()).orderBy(*order))
-        out = out.withColumn("__n", n).withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & (F.col("__n") > 1), F.lit("duplicate key")).otherwise(F.col("reject_reason"))).drop("__n")
-    return out
+    return without_repeats(out, pk, order) if pk and order else out
+
+
+DUPLICATE = "duplicate key"
+
+
+def without_repeats(rows: DataFrame, pk: list[str], order: list[str]) -> DataFrame:
+    """Judged rows; of those that could land, the later ones of a key can't."""
+    n = F.row_number().over(Window.partitionBy(*pk, F.col("reject_reason").isNull()).orderBy(*order))
+    return rows.withColumn("__n", n).withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & (F.col("__n") > 1), F.lit(DUPLICATE)).otherwise(F.col("reject_reason"))).drop("__n")
+
+
+def with_repeats_found(rows: DataFrame, pk: list[str], order: list[str], path: str) -> DataFrame:
+    """without_repeats() where most keys occur once: the keys that occur more often are found and written first, so that only
+    keys are shuffled, and of whole rows those with such a key."""
+    own = rows.where("reject_reason is null").groupBy(*pk).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*pk)
+    own.write.mode("overwrite").parquet(path)
+    repeated = rows.sparkSession.read.schema(own.schema).parquet(path)
+    if repeated.isEmpty():
+        return rows
+    can_land = F.col("reject_reason").isNull()
+    alone = rows.where(can_land).join(repeated, pk, "left_anti").select(*rows.columns)
+    several = rows.where(can_land).join(repeated, pk, "left_semi").select(*rows.columns)
+    return rows.where(~can_land).unionAll(alone).unionAll(without_repeats(several, pk, order))
 
 
 def landed(rows: DataFrame) -> DataFrame:
@@ -76,7 +96,9 @@ def load(rows: DataFrame, path: str, mode: str = "truncate_load", pk: list[str]
     if mode == "upsert" and not pk:
         raise ValueError("upsert needs the primary key's columns")
     spark, seen = rows.sparkSession, Observation()
-    out = judged(rows, pk, checks, None if mode == "upsert" else order)
+    out, repeats = judged(rows, pk, checks), f"{path.rstrip('/')}__repeated"
+    if pk and order and mode != "upsert":
+        out = with_repeats_found(out, pk, order, repeats)
     counted = out.observe(seen, F.count_if(F.expr("reject_reason is null")).alias("loaded"), F.count_if(F.expr("reject_reason is not null")).alias("rejected"))
     good, columns = landed(counted), keep or [c for c in rows.columns if c != REFUSED]
     recover(spark, path)
@@ -91,6 +113,7 @@ def load(rows: DataFrame, path: str, mode: str = "truncate_load", pk: list[str]
         _take_place(spark, path, staged)
     if rejects:
         refused(out).write.mode("append").parquet(rejects)
+    remove(spark, repeats)
     return dict(seen.get)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,22 @@ def nested_rows(records: DataFrame, path: Sequence[ir.Array], keys: list[ir.Colu
     return decode(rows.drop(*(f"__n_{c}" for c in counts)), path[-1].columns, options, on_error="null")
 
 
+def rows_within(elements_around: DataFrame, path: Sequence[ir.Array], counters: Sequence[ir.Column] = (), options: DecodeOptions = DecodeOptions()) -> DataFrame:
+    """nested_rows() of a path of several arrays from the rows of the array before the last: raw is the whole record, keys and
+    indexes are columns."""
+    *around, a = path
+    raw, others = F.col("raw"), [x for x in elements_around.columns if x != "raw"]
+    begin = reduce(lambda x, y: x + y, ((F.col(ir.index_name(k)) - 1) * b.stride + b.offset for k, b in enumerate(around, 1)))
+    element, inside, of_record = F.substring(raw, begin + 1, F.lit(around[-1].stride)), {c.name: c for c in around[-1].columns}, {c.name: c for c in counters}
+    count = None
+    if a.counter in inside:
+        count = decoded(inside[a.counter], element, options)[0]
+    elif a.counter in of_record:
+        count = decoded(of_record[a.counter], raw, options)[0]
+    rows = elements_around.select(*others, F.posexplode(elements(a, element, count)).alias("__at", "raw"))
+    return decode(rows.withColumn(ir.index_name(len(path)), (F.col("__at") + 1).cast("short")).drop("__at"), a.columns, options, on_error="null")
+
+
 def child_rows(records: DataFrame, a: ir.Array, keys: list[ir.Column], counter: ir.Column | None = None, options: DecodeOptions = DecodeOptions()) -> DataFrame:
     """One row for each element: the parent's keys, occurrence_index from 1, the element's columns and errors."""
     return nested_rows(records, [a], keys, [counter] if counter else [], options)

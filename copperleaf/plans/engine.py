@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from copperleaf.operators import load as loading
 from copperleaf.operators import reconcile, subtypes
 from copperleaf.operators.decode import DecodeOptions, decode
-from copperleaf.operators.reshape import element_structs, full_layout, nested_rows, of_table, overlay_json, routed
+from copperleaf.operators.reshape import element_structs, full_layout, nested_rows, of_table, overlay_json, routed, rows_within
 from copperleaf.plans import ddl
 from copperleaf.plans.copybook import program_facts
 from copperleaf.plans.schema import Array, Options, Schema, Table, compile_copybook, snake
@@ -161,18 +161,48 @@ def with_parents(rows: DataFrame, parent: Table, gone: DataFrame | None, target:
     return rows.withColumn(loading.REFUSED, reason).drop("__why", "__there")
 
 
+def with_reasons(rows: DataFrame, t: Table, refused: DataFrame, path: str, config: RunConfig) -> DataFrame:
+    """Decoded rows of a table that this run loaded, with the reason why they have no row in the target (loading.REFUSED): what
+    lost() says of them, without a join. Only repeated keys, of which most files have few, are looked up by their places."""
+    reason = loading.judged(rows, t.primary_key or None, checks_of(t))
+    if config.on_error == "reject":
+        first = F.get("errors", F.lit(0))
+        reason = reason.withColumn("reject_reason", F.when(F.size("errors") > 0, F.concat(first["column"], F.lit(": "), first["message"])).otherwise(F.col("reject_reason")))
+    if t.kind != "occurs_child":  # the rows of an array differ in their index, and repeated records have a reason
+        place = place_of(t)
+        refused.where(F.col("reject_reason") == loading.DUPLICATE).select(*place).write.parquet(path)
+        repeated = rows.sparkSession.read.schema(refused.select(*place).schema).parquet(path)
+        if not repeated.isEmpty():
+            reason = reason.join(repeated.withColumn("__again", F.lit(True)), place, "left")
+            reason = reason.withColumn("reject_reason", F.when(F.col("__again"), F.lit(loading.DUPLICATE)).otherwise(F.col("reject_reason"))).drop("__again")
+    return reason.withColumnRenamed("reject_reason", loading.REFUSED)
+
+
+def from_parents(rows: DataFrame, root: Table, parent: Table, path: tuple[Array, ...], config: RunConfig) -> DataFrame:
+    """Decoded rows of a child table, made of its parent's (with_reasons), so that each brings its parent's reason along."""
+    keys = parent.primary_key if parent.kind == "occurs_child" else []
+    why = F.when(F.col(loading.REFUSED).isNotNull(), F.concat(F.lit(f"{parent.name}: "), loading.REFUSED)).alias(loading.REFUSED)
+    own = rows.select("__file", "__line_num", "__raw", why, *keys, F.col("__raw").alias("raw"))
+    if parent.kind == "occurs_child":
+        return rows_within(own, path, root.columns, config.decoding)
+    return nested_rows(own, path, [root.column(k) for k in root.primary_key], root.columns, config.decoding)
+
+
 def run(spark: SparkSession, config: RunConfig) -> str:
     """Loads every source whose checksum is not already loaded; returns the run's id. A failing table fails alone, and the
     run is failed then; a cancelled run takes no further table. What is decoded is written once, then counted, logged and
     loaded from there. A child's rows land with their parent: where that was refused, they are, with its reason; where the
-    parent's table failed, theirs does."""
+    parent's table failed, theirs does. They are made of their parent's rows where this run loads both, so neither parents nor
+    keys are joined."""
     schema, store = compiled(config.copybook, config.options, config.free), Store(spark, config.state)
     run_id, failed = store.start_run(config.project), []
     for source in config.sources:
         checksum = records.source_checksum(spark, source.path, source.recfm, source.record_length or schema.table(source.table or "").record_length)
-        tables, gone = extracted(spark, schema, source, config), {}
+        tables, gone, reasons = extracted(spark, schema, source, config), {}, {}
+        paths = {child.name: (t, path) for t, _ in tables.values() if t.kind != "occurs_child" for child, path in children_of(schema, t)}
         for name, (t, rows) in tables.items():
             if store.status(run_id) == "cancelled":
+                loading.remove(spark, f"{store.path('staged')}/{run_id}")
                 return run_id
             if store.completed(config.project, name, checksum):
                 continue
@@ -182,7 +212,9 @@ def run(spark: SparkSession, config: RunConfig) -> str:
                 around = t.parent if t.kind == "occurs_child" else None
                 if around in failed:
                     raise ValueError(f"the parent's table {t.parent} failed")
-                columns = [c.name for c in t.columns]
+                columns, order = [c.name for c in t.columns], ["__file", "__line_num"]  # arrival order decides between equal keys
+                if around in reasons:
+                    rows, order = from_parents(reasons[around], paths[name][0], tables[around][0], paths[name][1], config), None
                 rows.write.parquet(staged)
                 rows = spark.read.schema(rows.schema).parquet(staged)
                 bad = rows.where(F.size("errors") > 0)
@@ -190,14 +222,16 @@ def run(spark: SparkSession, config: RunConfig) -> str:
                 n_bad = bad.count() if config.on_error == "reject" else 0
                 good = rows.where(F.size("errors") == 0) if config.on_error == "reject" else rows
                 good = good.drop("errors")
-                if around in tables:
+                if around in tables and around not in reasons:
                     good = with_parents(good, tables[around][0], gone.get(around), config.target)
-                # arrival order decides between equal keys
-                stats = loading.load(good, f"{config.target}/{name}", config.mode, t.primary_key or None, checks_of(t), ["__file", "__line_num"], refused, columns)
+                stats = loading.load(good, f"{config.target}/{name}", config.mode, t.primary_key or None, checks_of(t), order, refused, columns)
                 if any(x.parent == name and x.kind == "occurs_child" for x, _ in tables.values()):
-                    without = f"{store.path('staged')}/{run_id}/{state}-lost"
-                    lost(rows, spark.read.parquet(refused), t, config).write.parquet(without)
-                    gone[name] = spark.read.parquet(without)
+                    without, own = f"{store.path('staged')}/{run_id}/{state}-lost", spark.read.parquet(refused)
+                    if config.mode != "upsert" and t.primary_key and (t.kind != "occurs_child" or around in reasons):
+                        reasons[name] = with_reasons(rows, t, own, without, config)
+                    else:
+                        lost(rows, own, t, config).write.parquet(without)
+                        gone[name] = spark.read.parquet(without)
                 store.log_refusals(run_id, state, spark.read.parquet(refused).withColumnsRenamed({"__line_num": "line_num", "__raw": "raw"}).drop("__file"))
                 store.finish_table(state, stats["loaded"] + stats["rejected"] + n_bad, stats["loaded"], stats["rejected"] + n_bad)
                 store.tell(run_id, "table_progress", name, stats["loaded"], stats["rejected"] + n_bad)
@@ -205,9 +239,10 @@ def run(spark: SparkSession, config: RunConfig) -> str:
                 failed.append(name)
                 store.finish_table(state, 0, 0, 0, "failed", str(e)[:2000])
                 store.tell(run_id, "table_progress", name)
-            for path in (staged, refused):
-                loading.remove(spark, path)
-    loading.remove(spark, f"{store.path('staged')}/{run_id}")
+            if name not in reasons:  # children are made of what is staged
+                for path in (staged, refused):
+                    loading.remove(spark, path)
+        loading.remove(spark, f"{store.path('staged')}/{run_id}")
     store.finish_run(run_id, "failed" if failed else "completed", f"failed: {', '.join(failed)}" if failed else None)
     store.tell(run_id, "run_complete")
     return run_id

@@ -239,3 +239,15 @@ def test_command_line_routes():
     from copperleaf.__main__ import route_of
 
     assert route_of("0,1,O=order_rec,L=line_rec") == (0, 1, {"O": "order_rec", "L": "line_rec"}) and route_of(None) is None
+
+
+def test_children_land_without_joins_and_only_repeated_keys_are_sorted(spark, tmp_path, monkeypatch):
+    seen, real = [], load.without_repeats
+    monkeypatch.setattr(engine, "with_parents", None)  # not called where a run loads parents and children
+    monkeypatch.setattr(load, "without_repeats", lambda rows, *a: seen.append(rows.count()) or real(rows, *a))
+    c = config(tmp_path, [row(1, "O"), row(2, "Z"), row(3, "F"), row(3, "F"), *(row(k, "O") for k in range(4, 40))])
+    run = engine.run(spark, c)
+    assert Store(spark, c.state).status(run) == "completed" and seen == [2]
+    assert spark.read.parquet(f"{c.target}/run_order").count() == 38 and spark.read.parquet(f"{c.target}/run_order_ro_parts").count() == 3 * 38
+    why = Store(spark, c.state).rows("rejection_log").groupBy("source_line_num", "error_message").count().collect()
+    assert sorted(map(tuple, why)) == [(2, "check chk_run_order_ro_status", 1), (2, "run_order: check chk_run_order_ro_status", 3), (4, "duplicate key", 1), (4, "run_order: duplicate key", 3)]
